@@ -90,8 +90,10 @@ def number_tokens(text: Column) -> Column:
     plain = F.regexp_replace(clean, SCIENTIFIC, " ")
     pieces = F.split(F.regexp_replace(plain, NUMBER_IN_TEXT, f"{_OPEN}$1{_CLOSE}"), _OPEN)
 
-    def token(piece: Column, i: Column) -> Column:
-        ahead = F.regexp_replace(F.get(pieces, i), _CLOSE, "")
+    n = F.greatest(F.size(pieces) - 1, F.lit(0))
+
+    def token(before: Column, piece: Column) -> Column:
+        ahead = F.regexp_replace(before, _CLOSE, "")
         body = F.substring_index(piece, _CLOSE, 1)
         glued = ahead.rlike(r"[\p{L}_]$") | ahead.rlike(r"\p{L}[+]$") | ahead.rlike(r"_[+-]$")
         sign = F.when(ahead.rlike(r"[+-]$") & ~ahead.rlike(r"[0-9.)\]}][+-]$") & ~ahead.rlike(r"\p{L}-$"),
@@ -100,8 +102,8 @@ def number_tokens(text: Column) -> Column:
         return F.when(~glued, F.struct(word.alias("text"), token_value(word).alias("value"),
                                        token_decimals(word).alias("decimals")))
 
-    rest = F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0)))
-    return F.array_compact(F.transform(rest, token))
+    # Neighbouring pieces are paired up front, so the text is split once and not once per token.
+    return F.array_compact(F.zip_with(F.slice(pieces, F.lit(1), n), F.slice(pieces, F.lit(2), n), token))
 
 
 _JSON_PART = r'"(?:[^"\\]|\\.)*"\s*:?|-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?'

@@ -16,8 +16,8 @@ def norm(a: Column) -> Column:
 
 
 def unit(a: Column) -> Column:
-    """The vector at length one; a zero vector stays null."""
-    return F.transform(a, lambda x: F.try_divide(x.cast("double"), norm(a)))
+    """The vector at length one; components of a zero vector become null."""
+    return F.zip_with(a, F.array_repeat(norm(a), F.size(a)), lambda x, n: F.try_divide(x.cast("double"), n))
 
 
 def cosine_distance(a: Column, b: Column) -> Column:

@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from auditkit.plans.views import Views, with_ctes
+from auditkit.plans.sqlviews import with_ctes
+from auditkit.plans.views import Views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from auditkit.functions import dates, encode
-from auditkit.operators import prep, profile
+from auditkit.operators import attribution, prep, profile
+from auditkit.plans.run_views import RunViews
+from auditkit.plans.sqlviews import cte
 from auditkit.sources.staging import stage
 
 TRAIN_VINTAGES = (1996, 1997, 1998)
@@ -20,7 +22,7 @@ LATE_TAX_FROM = "1997-10-01"
 GRADES = {"A": 1, "B": 2, "C": 3, "D": 4, "E": 5}
 
 
-class Views:
+class Views(RunViews):
     """Lazily built views over one data folder. Stage tables are shared by all queries of the application."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
@@ -122,6 +124,18 @@ class Views:
         """(scope, feature, value, n, pos, neg) over the matrix."""
         return self._stage("hist", lambda: profile.by_scope(profile.histogram(self.matrix(), self.features())))
 
+    # ---------------------------------------------------------------- attributions
+    def attributions_wide(self) -> DataFrame:
+        """Attributions of a fixed linear model on test, about the train means."""
+        rows = profile.moments(self.hist().filter(F.col("scope") == "train")).select("feature", F.round("mean", 6).alias("m"))
+        means = {r["feature"]: r["m"] for r in rows.collect()}  # one row per feature
+        wide = attribution.linear(self.matrix().filter(F.col("split") == "test"), WEIGHTS, means)
+        return wide.select("row_id", *[F.round(f"`{f}`", 9).alias(f) for f in WEIGHTS])
+
+    def attributions(self) -> DataFrame:
+        """(row_id, feature, shap_value), one folder per feature."""
+        return self._stage("attributions", lambda: attribution.to_long(self.attributions_wide()), ("feature",))
+
 
 PLAN = prep.Plan(
     numeric=("o_totalprice", "n_items", "qty", "avg_disc", "history_months", "acctbal", "late_tax", "mths_since_prev",
@@ -133,31 +147,6 @@ _fitted: dict[tuple, prep.Fitted] = {}
 
 
 # ---------------------------------------------------------------------------------------------- the same in SQL
-_CTES: dict[str, tuple[tuple[str, ...], str]] = {}
-
-
-def cte(name: str, needs: tuple[str, ...], body: str) -> None:
-    _CTES[name] = (needs, body)
-
-
-def with_ctes(names: tuple[str, ...], body: str) -> str:
-    """A statement with the named views (and what they need) as common table expressions."""
-    order: list[str] = []
-
-    def visit(n: str) -> None:
-        if n in order:
-            return
-        for need in _CTES[n][0]:
-            visit(need)
-        order.append(n)
-
-    for n in names:
-        visit(n)
-    if not order:
-        return body
-    return "WITH " + ",\n".join(f"{n} AS ({_CTES[n][1]})" for n in order) + "\n" + body
-
-
 cte("raw_loans", (), """
   SELECT o.o_orderkey AS row_id, o.o_custkey AS cust, o.o_orderstatus AS status,
          strftime(o.o_orderdate, '%b-%Y') AS issue_d, strftime(i.first_ship, '%b-%Y') AS first_ship_d,
@@ -279,3 +268,17 @@ cte("univariate", ("auc", "scopes"), """
                  AS point_biserial_test,
                count(DISTINCT value) AS n_unique_test, count(DISTINCT value) < 2 AS is_constant_test
         FROM scopes WHERE scope = 'test' GROUP BY feature) t ON t.feature = a.feature""")
+
+_SCALE = {"o_totalprice": 1e-6, "qty": 1e-2, "acctbal": 1e-4, "mths_since_prev": 1e-3, "history_months": 1e-2}
+WEIGHTS = {f: (i % 7 - 3) * _SCALE.get(f, 0.1) for i, f in enumerate(MATRIX_FEATURES)}
+
+cte("shap", ("scopes",), """
+  SELECT s.row_id, s.label, s.feature, round(w.w * (s.value - m.m), 9) + 0.0::DOUBLE AS shap_value
+  FROM (SELECT * FROM scopes WHERE scope = 'test') s
+  JOIN (SELECT feature, round(avg(value), 6) AS m FROM scopes WHERE scope = 'train' GROUP BY feature) m
+    ON m.feature = s.feature
+  JOIN (VALUES """ + ", ".join(f"('{f}', {w!r}::DOUBLE)" for f, w in WEIGHTS.items()) + """) w(feature, w)
+    ON w.feature = s.feature""")
+cte("shap_global", ("shap",), """
+  SELECT feature, m AS mean_abs_shap, row_number() OVER (ORDER BY round(m, 12) DESC, feature) AS rank
+  FROM (SELECT feature, avg(abs(shap_value)) AS m FROM shap GROUP BY feature)""")
