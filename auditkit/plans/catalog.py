@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from auditkit.plans import q_columns, q_functions, q_profile  # noqa: F401
+from auditkit.plans import q_aggregates, q_columns, q_functions, q_profile, q_sources  # noqa: F401
 from auditkit.plans.registry import ORACLES, QUERIES  # noqa: F401

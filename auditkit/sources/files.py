@@ -27,9 +27,10 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 # ---------------------------------------------------------------- JSON
-def read_document(spark: SparkSession, path: str, schema: str | T.StructType | None = None) -> DataFrame:
-    """One JSON document per file."""
-    reader = spark.read.option("multiLine", True)
+def read_document(spark: SparkSession, path: str, schema: str | T.StructType | None = None,
+                  lines: bool = False) -> DataFrame:
+    """One JSON document per file, or per line."""
+    reader = spark.read.option("multiLine", not lines)
     return (reader.schema(schema) if schema is not None else reader).json(path)
 
 
@@ -76,13 +77,17 @@ def _with_run(df: DataFrame) -> DataFrame:
     return df.withColumn("run", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2))
 
 
-def read_runs(spark: SparkSession, root: str, layout: dict[str, str] | None = None) -> dict[str, DataFrame]:
-    """Tables runs, calls, messages, blocks and answers over all run directories below ``root``."""
+def read_runs(spark: SparkSession, root: str, layout: dict[str, str] | None = None,
+              line_documents: bool = False) -> dict[str, DataFrame]:
+    """Tables runs, calls, messages, blocks and answers over all run directories below ``root``.
+
+    A record file is one document; with ``line_documents`` it is one small document per line.
+    """
     at = {k: f"{root}/{p}" for k, p in {**LAYOUT, **(layout or {})}.items()}
-    runs = _with_run(read_document(spark, at["manifest"], MANIFEST))
-    calls = (_with_run(read_document(spark, at["calls"], CALL_LOG))
+    runs = _with_run(read_document(spark, at["manifest"], MANIFEST, line_documents))
+    calls = (_with_run(read_document(spark, at["calls"], CALL_LOG, line_documents))
              .select("run", F.inline("calls")).withColumn("arguments", F.to_json("arguments")))
-    messages = (_with_run(read_document(spark, at["messages"], MESSAGES))
+    messages = (_with_run(read_document(spark, at["messages"], MESSAGES, line_documents))
                 .select("run", F.posexplode("messages").alias("turn", "m"))
                 .select("run", "turn", F.col("m.role").alias("role"), F.col("m.content").alias("content")))
     block = "array<struct<type string, id string, name string, tool_use_id string, content string>>"
