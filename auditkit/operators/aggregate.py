@@ -14,8 +14,8 @@ from auditkit.operators.profile import long_form
 def value_counts(df: DataFrame, column: str) -> DataFrame:
     """Count and share of every value, nulls under ``<missing>``. The total is summed over the counts, not the rows."""
     per = df.groupBy(F.coalesce(q(column), F.lit("<missing>")).alias("value")).agg(F.count("*").alias("n"))
-    total = per.agg(F.sum("n").alias("total"))
-    return per.join(F.broadcast(total), F.lit(True)).select("value", "n", pct(F.col("n"), F.col("total")).alias("pct"))
+    total = per.agg(F.sum("n")).scalar()
+    return per.select("value", "n", pct(F.col("n"), total).alias("pct"))
 
 
 def date_range(df: DataFrame, parsed: Column) -> DataFrame:
@@ -70,7 +70,7 @@ def agreed_rows(coverage: DataFrame, scopes: tuple[str, ...]) -> int:
 
 def tallies(runs: DataFrame, calls: DataFrame, keys: list[str], tools: list[str]) -> DataFrame:
     """Run sums per configuration and calls per tool; calls shrink to (run, tool) counts before the join."""
-    per_run = calls.groupBy("run").pivot("tool", tools).agg(F.count("*"))
+    per_run = calls.groupBy("run").agg(*[F.count_if(F.col("tool") == t).alias(t) for t in tools])
     joined = runs.join(per_run, "run", "left")
     return joined.groupBy(*keys).agg(
         F.count("*").alias("runs"), F.sum("true_positive_count").alias("tp"), F.sum("false_positive_count").alias("fp"),

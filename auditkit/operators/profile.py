@@ -116,7 +116,7 @@ def correlation(df: DataFrame, features: list[str]) -> DataFrame:
 def neighbours(pairs: DataFrame, k: int = 15) -> DataFrame:
     """The k nearest columns by absolute correlation; a column without any keeps one row of nulls."""
     known = pairs.filter(F.col("r").isNotNull())
-    top = first_by(known, ["feature"], [F.abs("r").desc(), F.col("neighbour")], k)
+    top = first_by(known, ["feature"], [F.round(F.abs("r"), 12).desc(), F.col("neighbour")], k)
     return (pairs.select("feature").distinct().join(top, "feature", "left")
             .select("feature", F.coalesce("rank", F.lit(1)).alias("rank"), "neighbour",
                     r6(F.col("r")).alias("pearson_r"), r6(F.abs("r")).alias("abs_pearson_r")))

@@ -7,11 +7,9 @@ from pyspark.sql import functions as F
 from auditkit.functions import calls as callfn
 from auditkit.functions import dates, encode, numbers, text, vectors
 from auditkit.plans.registry import query
+from auditkit.plans.run_views import CALL_ARGS, CALL_DEFAULTS, TIERS
 from auditkit.plans.views import GRADES
 
-# Phrase tiers applied in this order, first match wins.
-TIERS = [("A", "explicit event", ["red", "after the"]), ("B", "accumulation", ["small", "to date"]),
-         ("C", "names a programme", ["ring", "bolt"])]
 TERMS = ["leak", "ring", "blue", "large", "populated"]
 
 
@@ -113,10 +111,6 @@ def retrieval_segment(v):
     return v.table("orders").select("o_orderkey", text.retrieval_segment(F.expr(_CONFIG)).alias("segment"))
 
 
-CALL_ARGS = {"view": ("feature",), "click": ("feature",), "purchase": ("top_n",)}
-CALL_DEFAULTS = {"purchase": {"top_n": 20}}
-
-
 @query("fn_12_canonical_form", """
   SELECT tool || '?' || CASE WHEN tool = 'purchase' AND arguments = '{}' THEN 'top_n=20'
       WHEN tool = 'purchase' THEN 'top_n=' || CAST(k AS VARCHAR)

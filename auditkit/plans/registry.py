@@ -10,7 +10,7 @@ from auditkit.plans.sqlviews import with_ctes
 from auditkit.plans.views import Views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+_SQL: dict[str, tuple[tuple[str, ...], str]] = {}
 
 
 def query(name: str, sql: str | None = None, ctes: tuple[str, ...] = ()):
@@ -19,7 +19,12 @@ def query(name: str, sql: str | None = None, ctes: tuple[str, ...] = ()):
     def wrap(fn: Callable[[Views], DataFrame]):
         QUERIES[name] = lambda spark, sf_dir: fn(Views(spark, sf_dir))
         if sql is not None:
-            ORACLES[name] = with_ctes(ctes, sql)
+            _SQL[name] = (ctes, sql)
         return fn
 
     return wrap
+
+
+def oracles() -> dict[str, str]:
+    """The statements, composed once every view is known."""
+    return {name: with_ctes(ctes, sql) for name, (ctes, sql) in _SQL.items()}

@@ -7,6 +7,8 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from auditkit.functions.calls import canonical_arguments
+from auditkit.operators import findings, scoring, search, sets
 from auditkit.operators.cumulate import positions
 from auditkit.plans.sqlviews import cte
 
@@ -51,6 +53,34 @@ class RunViews:
                         F.when(wrong, "other").otherwise(F.col("tool")).alias("tool_use_name"), content.alias("content"),
                         "k", "value"))
 
+    def canonical_calls(self) -> DataFrame:
+        """Calls with the canonical form of their arguments."""
+        form = canonical_arguments(F.col("tool"), F.col("arguments"), CALL_ARGS, CALL_DEFAULTS)
+        return self.calls().withColumn("form", form)
+
+    def flags(self) -> DataFrame:
+        """Flagged names per run as an answer lists them: untrimmed, with derivatives and blanks."""
+        k, f = F.col("k"), F.concat(F.lit("f"), "k")
+        name = (F.when(k % 10 == 7, F.concat(f, F.lit("_was_missing"))).when(k % 10 == 8, F.concat(F.lit("unseen_"), "k")).otherwise(f))
+        views = self.calls().filter(F.col("tool") == "view")
+        named = views.select("run", F.col("seq").alias("pos"), F.concat(F.when(F.col("value") < 10, " ").otherwise(""), name).alias("flag"))
+        return named.unionByName(views.filter(F.col("value") < 1).select("run", F.col("seq").alias("pos"), F.lit("  ").alias("flag")))
+
+    def dictionary(self) -> DataFrame:
+        """One documented column per part: feature, description, populated, removed."""
+        size = F.col("p_size") % 4
+        return self.table("part").select(
+            F.concat(F.lit("f"), "p_partkey").alias("feature"), F.concat("p_name", F.lit(" of type "), "p_type").alias("description"),
+            F.when(size == 0, "at application").when(size == 1, "at origination")
+            .when(size == 2, F.concat(F.lit("at application; "), F.lit(CLAUSE))).otherwise("during the life of the item").alias("populated"),
+            (F.col("p_partkey") % 3 == 0).alias("removed"))
+
+    def answer_key(self) -> DataFrame:
+        return self._stage("answer_key", lambda: scoring.answer_key(self.dictionary(), CLAUSE, TIERS))
+
+    def resolved(self) -> DataFrame:
+        return self._stage("resolved", lambda: scoring.resolve(sets.clean_flags(self.flags()), self.answer_key()))
+
     def runs(self) -> DataFrame:
         """One row of facts per run."""
         return self._stage("runs", self._build_runs)
@@ -107,6 +137,15 @@ class RunViews:
                 .otherwise(lines(start, rec, end)))
         return docs.select(F.col("doc_id").alias("run"), text.alias("text"))
 
+    def parsed_answers(self) -> DataFrame:
+        return self._stage("parsed_answers", lambda: findings.parse(self.answers()))
+
+    def finding_chunks(self) -> DataFrame:
+        return self._stage("finding_chunks", lambda: findings.chunk_table(self.parsed_answers()))
+
+    def scores(self) -> DataFrame:
+        return self._stage("scores", lambda: scoring.score(self.runs(), self.resolved(), self.answer_key()))
+
     # ---------------------------------------------------------------- vectors
     def centroids(self) -> DataFrame:
         """(label, vector): the mean vector of every label, the retrieval queries. Their number is checked."""
@@ -117,6 +156,33 @@ class RunViews:
             raise ValueError(f"more than {MAX_LABELS} labels")
         return df
 
+    def vec_docs(self) -> DataFrame:
+        """(vec_id, feature, embedding, label): the vector index with the names of its documents."""
+        d = self.table("documents").select("doc_id", "source", "lang")
+        joined = self.table("embeddings").join(d, F.col("vec_id") == F.col("doc_id"), "left")
+        name = F.concat_ws("_", F.coalesce(F.concat_ws("_", *[F.when(F.col("doc_id").isNotNull(), F.col(c)) for c in ("source", "lang")]),
+                                           F.lit("none")), "vec_id")
+        return joined.select("vec_id", F.when(F.col("doc_id").isNull(), F.concat(F.lit("none_"), "vec_id")).otherwise(name).alias("feature"),
+                             "embedding", "label")
+
+    def probes(self) -> DataFrame:
+        """One probe per label (its mean vector) and one, expecting nothing, at the opposite vector."""
+        c = self.centroids()
+        real = c.select(F.col("label").cast("long").alias("query"), F.when(F.col("label") % 2 == 0, "even").otherwise("odd").alias("family"),
+                        F.concat(F.lit("src"), "label", F.lit("_")).alias("text"), "vector", "label")
+        none = c.select((F.col("label") + 100_000).cast("long").alias("query"), F.lit("none").alias("family"), F.lit("zzz").alias("text"),
+                        F.transform("vector", lambda x: -x).alias("vector"), F.lit(None).cast("int").alias("label"))
+        return real.unionByName(none)
+
+    def expected(self) -> DataFrame:
+        return self.table("embeddings").select(F.col("label").cast("long").alias("query"), "vec_id")
+
+    def topk_hits(self) -> DataFrame:
+        return self._stage("topk_hits", lambda: search.two_tier(self.vec_docs(), self.probes()))
+
+    def band_hits(self) -> DataFrame:
+        return self._stage("band_hits", lambda: search.band_search(self.vec_docs(), self.probes()))
+
 
 cte("calls", (), """
   SELECT user_id AS run, event_id, event_type AS tool, event_type <> 'error' AS ok, k, value, args AS arguments,
@@ -153,3 +219,59 @@ cte("centroids", (), """
     SELECT label, pos, avg(CAST(x AS DOUBLE)) AS m
     FROM (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings)
     GROUP BY label, pos) GROUP BY label""")
+
+# Arguments and defaults of the tools, and the phrase tiers (first match wins).
+CALL_ARGS = {"view": ("feature",), "click": ("feature",), "purchase": ("top_n",)}
+CALL_DEFAULTS = {"purchase": {"top_n": 20}}
+TIERS = [("A", "explicit event", ["red", "after the"]), ("B", "accumulation", ["small", "to date"]),
+         ("C", "names a programme", ["ring", "bolt"])]
+CLAUSE = "collected for items priced from 2015 onward"
+
+
+def key_members(v) -> DataFrame:
+    """(set, name) of every set the key rules speak about."""
+    key, d = v.answer_key(), v.dictionary()
+    pos = key.filter(F.col("set") == "positive")
+    return (key.select("set", "name")
+            .unionByName(d.select(F.when(F.col("removed"), "removed").otherwise("model").alias("set"), F.col("feature").alias("name")))
+            .unionByName(pos.select(F.when(F.col("tier").isNull(), "clean").otherwise("residual").alias("set"), "name")))
+
+
+cte("dictionary", (), """
+  SELECT 'f' || p_partkey AS feature, p_name || ' of type ' || p_type AS description,
+         CASE p_size % 4 WHEN 0 THEN 'at application' WHEN 1 THEN 'at origination'
+           WHEN 2 THEN 'at application; collected for items priced from 2015 onward' ELSE 'during the life of the item' END
+           AS populated, p_partkey % 3 = 0 AS removed, p_partkey FROM part""")
+cte("answer_key", ("dictionary",), """
+  SELECT *, CASE WHEN NOT positive THEN NULL WHEN regexp_matches(lower(description), 'red|after the') THEN 'A'
+      WHEN regexp_matches(lower(description), 'small|to date') THEN 'B' WHEN regexp_matches(lower(description), 'ring|bolt') THEN 'C' END AS tier,
+      CASE WHEN positive THEN 'positive' WHEN out_of_scope THEN 'out_of_scope' ELSE 'hard' END AS "set"
+  FROM (SELECT *, removed AND NOT starts_with(populated, 'at ') AS positive, removed AND starts_with(populated, 'at ') AS out_of_scope,
+               NOT removed AND contains(populated, 'collected for items') AS hard FROM dictionary)
+  WHERE positive OR out_of_scope OR hard""")
+cte("resolved", ("clean_flags", "answer_key"), """
+  SELECT f.run, f.flag, f.pos, CASE WHEN o.feature IS NULL AND p.feature IS NOT NULL THEN f.parent ELSE f.flag END AS scored_as,
+         CASE WHEN o.feature IS NULL AND p.feature IS NOT NULL THEN f.kind END AS kind, coalesce(o."set", p."set") AS "set",
+         coalesce(o.tier, p.tier) AS tier
+  FROM (SELECT *, CASE WHEN ends_with(flag, '_was_missing') THEN replace(flag, '_was_missing', '')
+               WHEN regexp_matches(flag, '^(o_orderpriority|c_mktsegment|unseen)_') THEN
+                 regexp_extract(flag, '^(o_orderpriority|c_mktsegment|unseen)_', 1) END AS parent,
+               CASE WHEN ends_with(flag, '_was_missing') THEN 'was_missing' ELSE 'one_hot' END AS kind FROM clean_flags) f
+  LEFT JOIN answer_key o ON o.feature = f.flag LEFT JOIN answer_key p ON p.feature = f.parent""")
+cte("run_scores", ("resolved", "runs", "answer_key"), """
+  SELECT *, round(p, 4) AS precision, round(r, 4) AS recall,
+         round(CASE WHEN p + r = 0 THEN 0 ELSE 2 * p * r / (p + r) END, 4) AS f1
+  FROM (SELECT *, scored_count - true_positive_count AS false_positive_count, k.n - positives_reached AS false_negative_count,
+          CASE WHEN scored_count = 0 THEN 0 ELSE true_positive_count::DOUBLE / scored_count END AS p,
+          CASE WHEN k.n = 0 THEN 0 ELSE positives_reached::DOUBLE / k.n END AS r
+        FROM (SELECT u.run, count(x.flag) AS flagged_count,
+                count(x.flag) FILTER ("set" IS DISTINCT FROM 'out_of_scope') AS scored_count,
+                count(*) FILTER ("set" = 'positive') AS true_positive_count,
+                count(*) FILTER ("set" = 'out_of_scope') AS out_of_scope_count,
+                count(DISTINCT scored_as) FILTER ("set" = 'positive') AS positives_reached,
+                count(*) FILTER ("set" = 'hard') AS hard_negatives_flagged,
+                count(*) FILTER ("set" = 'hard' AND kind IS NULL) AS hard_negatives_raw,
+                count(*) FILTER ("set" = 'hard' AND kind IS NOT NULL) AS hard_negatives_via_derivative,
+                count(DISTINCT scored_as) FILTER ("set" = 'hard') AS hard_negatives_distinct
+              FROM runs u LEFT JOIN resolved x ON x.run = u.run GROUP BY u.run)
+        CROSS JOIN (SELECT count(*) AS n FROM answer_key WHERE positive) k)""")

@@ -81,7 +81,7 @@ class Views(RunViews):
             .otherwise(F.col("c_mktsegment")).alias("unseen"),
             F.lit(1).alias("policy_code"),
             F.lit(None).cast("string").alias("desc"),
-            F.when(F.col("o_orderstatus") == BAD_STATUS, F.round(F.coalesce("returned", F.lit(0.0)), 2))
+            F.when(F.col("o_orderstatus") == BAD_STATUS, F.round(F.coalesce("returned", F.lit(0.0)), 4))
             .otherwise(0.0).alias("recoveries"))
 
     def loans(self) -> DataFrame:
@@ -163,7 +163,7 @@ cte("raw_loans", (), """
          o.o_orderpriority, c.c_mktsegment,
          CASE WHEN year(o.o_orderdate) = 1999 AND o.o_orderkey % 97 = 0 THEN 'NONE' ELSE c.c_mktsegment END AS unseen,
          1 AS policy_code, CAST(NULL AS VARCHAR) AS "desc",
-         CASE WHEN o.o_orderstatus = 'F' THEN round(coalesce(i.returned, 0), 2) ELSE 0 END AS recoveries
+         CASE WHEN o.o_orderstatus = 'F' THEN round(coalesce(i.returned, 0), 4) ELSE 0 END AS recoveries
   FROM orders o
   LEFT JOIN (SELECT l_orderkey, count(*) AS n_items, sum(l_quantity) AS qty, avg(l_discount) AS avg_disc,
                     avg(l_tax) AS avg_tax, min(l_shipdate) AS first_ship,

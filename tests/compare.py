@@ -43,8 +43,7 @@ def compare(spark, con, name, fn, sql, sf_dir):
     want = sorted(tuple(norm(r[i]) for i in order) for r in rows)
     if got == want:
         return "" if got else "equal but no rows"
-    only_s = [r for r in got if r not in set(want)][:3]
-    only_d = [r for r in want if r not in set(got)][:3]
+    only_s, only_d = sorted(set(got) - set(want))[:3], sorted(set(want) - set(got))[:3]
     return f"{len(got)} rows against {len(want)}; {cols}\n   spark {only_s}\n   sql   {only_d}"
 
 
