@@ -31,6 +31,6 @@ def canonical_arguments(tool: Column, arguments: Column, schema_args: dict[str,
     shown = F.transform_values(given, written)
     absent = F.map_filter(F.coalesce(fill, F.expr("map()").cast("map<string,string>")),
                           lambda k, _: ~F.map_contains_key(given, k))
-    entries = F.array_sort(F.map_entries(F.map_concat(shown, absent)))
+    entries = F.sort_array(F.map_entries(F.map_concat(shown, absent)))
     text = F.array_join(F.transform(entries, lambda e: F.concat(e["key"], F.lit("="), e["value"])), "&")
     return F.when(F.trim(arguments).startswith("{"), text).otherwise(arguments)

@@ -13,6 +13,7 @@ from auditkit.sources.staging import materialize
 NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double")
 MIN_PROBES, N_PROBES = 4, 6
 TIE_EPSILON = 1e-9
+MAX_PLACES = 64
 MATERIAL = ((0.002, "negligible"), (0.005, "small"))
 
 
@@ -101,17 +102,20 @@ def band_match(tokens: DataFrame, numbers: DataFrame, key: str = "run") -> DataF
     also spreads a run with very many numbers over its cells, and figures find their two cells by an equi-join.
     """
     cells = tokens.select(key, "value", "decimals").distinct()
-    by_run = numbers.select(key, F.col("x").cast("double").alias("x")).distinct()
-    wanted = cells.select(key, "decimals").distinct()
+    places = sorted(r[0] for r in tokens.select("decimals").distinct().limit(MAX_PLACES + 1).collect())
+    if len(places) > MAX_PLACES:
+        raise CheckFailed(f"figures with more than {MAX_PLACES} different numbers of decimals")
     step = F.pow(F.lit(10.0), F.col("decimals"))
     half = F.lit(0.5) * F.pow(F.lit(10.0), -F.col("decimals"))
     on_grid = F.col("x") * step
-    placed = by_run.join(wanted, key).withColumn("cell", F.floor(on_grid))
-    per_cell = placed.groupBy(key, "decimals", "cell").agg(F.min("x").alias("low"), F.max("x").alias("high"))
+    # Placing every number on each of the few grids in use needs no join, which a run with very many numbers would skew.
+    placed = (numbers.select(key, F.col("x").cast("double").alias("x"), F.explode(F.array(*[F.lit(p) for p in places])).alias("decimals"))
+              .withColumn("cell", F.floor(on_grid)))
     # Numbers next to the middle of a cell are the possible ties of the two figures at its ends.
     middle = F.abs(on_grid - F.col("cell") - 0.5) <= TIE_EPSILON * 4 + F.abs(on_grid) * 1e-15
-    ties = placed.filter(middle).groupBy(key, "decimals", "cell").agg(F.min("x").alias("tie_low"), F.max("x").alias("tie_high"))
-    per_cell = per_cell.join(ties, [key, "decimals", "cell"], "left")
+    per_cell = placed.groupBy(key, "decimals", "cell").agg(
+        F.min("x").alias("low"), F.max("x").alias("high"),
+        F.min(F.when(middle, F.col("x"))).alias("tie_low"), F.max(F.when(middle, F.col("x"))).alias("tie_high"))
 
     ends = cells.withColumn("at", F.round(F.col("value") * step).cast("long"))
     ends = ends.withColumn("cell", F.explode(F.array(F.col("at") - 1, F.col("at"))))

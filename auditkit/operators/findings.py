@@ -17,8 +17,12 @@ CONFIDENCE = ("high", "medium", "low")
 _LINE_END = "\\r\\n|[\\n\\r\\x0B\\f\\x1C-\\x1E\\x85\\u2028\\u2029]"
 
 
+# The characters that count as blank at the ends of a text.
+_BLANK = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(_BLANK))
 
 
 def occurrences(text: Column, mark: str) -> Column:
@@ -108,15 +112,16 @@ def warnings(parsed: DataFrame, chunks: DataFrame, documented: DataFrame) -> Dat
         missing.append(F.when(F.col(f.lower()).isNull(), F.lit(f)))
     full = F.col("n_lines") > 0
     has_flag = F.coalesce("flag", F.lit("")) != ""
-    each = F.array_compact(F.array(
+    # Every further mention of a field is a warning of its own.
+    again = F.array_repeat(F.lit("repeated field"), F.col("repeated"))
+    each = F.concat(again, F.array_compact(F.array(
         F.when(~full, "empty record"),
-        F.when(F.col("repeated") > 0, F.concat(F.lit("repeated fields: "), F.col("repeated"))),
         F.when(F.col("stray") > 0, F.concat(F.lit("stray lines: "), F.col("stray"))),
         F.when(full & ~whole, F.concat(F.lit("missing fields: "), F.array_join(F.array_compact(F.array(*missing)), ", "))),
         F.when(whole & (F.col("order") != F.array(*[F.lit(f) for f in FIELDS])), "fields out of order"),
         F.when(has_flag & F.col("_doc").isNull(), "undocumented flag"),
         F.when(F.col("confidence").isNotNull() & ~F.col("confidence").isin(*CONFIDENCE), "unknown confidence"),
-        F.when(full & ~has_flag, "no usable flag")))
+        F.when(full & ~has_flag, "no usable flag"))))
     return top.unionByName(rows.select("run", "record", F.explode(each).alias("warning")))
 
 

@@ -99,7 +99,7 @@ def tool_coverage(calls: DataFrame, runs: DataFrame, surfaces: dict[str, tuple[s
     got = per.groupBy("run", "tool_layer_version").agg(
         F.count_if(inside).alias("distinct_tool_count"),
         # At most one entry per tool name, and names come from a fixed vocabulary of outcomes.
-        F.array_join(F.array_sort(F.collect_set(F.when(~inside, F.col("tool")))), ",").alias("outside"))
+        F.array_join(F.sort_array(F.collect_set(F.when(~inside, F.col("tool")))), ",").alias("outside"))
     size = F.size(offered[F.col("tool_layer_version")])
     return got.select("run", "distinct_tool_count", size.cast("long").alias("tools_available"),
                       share(F.col("distinct_tool_count"), size).alias("coverage"), "outside")

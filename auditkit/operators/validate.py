@@ -92,24 +92,33 @@ def stability(observations: DataFrame, case: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- JSON replies
-def is_object(text: Column) -> Column:
-    """Exactly one JSON object, with only blanks around it.
+def sole_value(text: Column) -> Column:
+    """The one JSON value of a text as a variant; null when there is none, or more than one.
 
-    The parser ignores what follows the first value, so the text is also read inside brackets and inside braces: text that
+    The parser ignores what follows the first value, so the text is read inside brackets and inside braces: text that
     closes the one early is invalid in the other.
     """
-    alone = F.schema_of_variant(F.try_parse_json(text)).startswith("OBJECT")
-    one = F.size(F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), "$", "array<variant>")) == 1
+    items = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), "$", "array<variant>")
     member = F.try_parse_json(F.concat(F.lit('{"x":'), text, F.lit("}"))).isNotNull()
-    return F.coalesce(alone & one & member, F.lit(False))
+    return F.when(member & (F.size(items) == 1), F.get(items, F.lit(0)))
+
+
+def is_object(text: Column) -> Column:
+    """Exactly one JSON object, with only blanks around it."""
+    return F.coalesce(_kind_of(sole_value(text)) == "{", F.lit(False))
+
+
+def _kind_of(v: Column) -> Column:
+    """First character of the value as JSON: ``{``, ``[``, ``"``, ``n`` for null."""
+    return F.substring(F.to_json(v), 1, 1)
 
 
 def _kind(v: Column, path: str) -> Column:
-    return F.coalesce(F.schema_of_variant(F.try_variant_get(v, path, "variant")), F.lit("ABSENT"))
+    return F.coalesce(_kind_of(F.try_variant_get(v, path, "variant")), F.lit(""))
 
 
 def _keys(v: Column) -> Column:
-    return F.array_sort(F.map_keys(F.try_variant_get(v, "$", "map<string,variant>")))
+    return F.sort_array(F.map_keys(F.try_variant_get(v, "$", "map<string,variant>")))
 
 
 def _is(keys: Column, names: tuple[str, ...]) -> Column:
@@ -118,40 +127,50 @@ def _is(keys: Column, names: tuple[str, ...]) -> Column:
 
 def _text(v: Column, path: str) -> Column:
     """A text that is not blank."""
-    return (_kind(v, path) == "STRING") & (F.trim(F.try_variant_get(v, path, "string")) != "")
-
-
-def detector_error(text: Column, tools: tuple[str, ...]) -> Column:
-    """What is wrong with a detector reply, the first fault found; null when it is as specified."""
-    v = F.try_parse_json(text)
-    label = F.try_variant_get(v, "$.label", "string")
-    calls = F.try_variant_get(v, "$.calls", "array<variant>")
-    dom = _kind(v, "$.difference_or_missing")
-
-    def every(test) -> Column:
-        return F.forall(calls, test)
-
-    return (F.when(text.isNull() | (F.trim(text) == ""), "no_text").when(~is_object(text), "not_one_object")
-            .when(~_is(_keys(v), DETECTOR_KEYS), "wrong_keys")
-            .when((_kind(v, "$.label") != "STRING") | ~label.isin(*LABELS), "bad_label")
-            .when(~_kind(v, "$.calls").startswith("ARRAY") | (F.size(calls) == 0), "no_calls")
-            .when(~every(lambda c: F.schema_of_variant(c).startswith("OBJECT")), "call_not_object")
-            .when(~every(lambda c: _is(_keys(c), CALL_KEYS)), "call_keys")
-            .when(~every(lambda c: (_kind(c, "$.tool") == "STRING") & F.try_variant_get(c, "$.tool", "string").isin(*tools)), "unknown_tool")
-            .when(~every(lambda c: _kind(c, "$.arguments").startswith("OBJECT")), "arguments_not_object")
-            .when(~every(lambda c: _text(c, "$.field")), "empty_field")
-            .when((label == "answerable") & (dom != "VOID"), "needs_null")
-            .when((label != "answerable") & ~_text(v, "$.difference_or_missing"), "needs_text"))
-
-
-def spec_error(text: Column) -> Column:
-    """What is wrong with a spec reply: either one ``decline`` text or one complete ``spec``."""
-    v = F.try_parse_json(text)
-    spec = F.try_variant_get(v, "$.spec", "variant")
-    declines = _is(_keys(v), ("decline",))
+    return (_kind(v, path) == '"') & (F.trim(F.try_variant_get(v, path, "string")) != "")
+
+
+def _parsed(df: DataFrame, text: str) -> DataFrame:
+    """Adds the parsed reply once, so that the checks below do not parse it again: _v, _object, _keys."""
+    return (df.withColumn("_v", sole_value(F.col(text)))
+            .withColumns({"_object": F.coalesce(_kind_of(F.col("_v")) == "{", F.lit(False)), "_keys": _keys(F.col("_v")), "_blank": F.coalesce(F.trim(text) == "", F.lit(True))}))
+
+
+def detector_errors(df: DataFrame, text: str, tools: tuple[str, ...], name: str = "detector_error") -> DataFrame:
+    """Adds what is wrong with a detector reply, the first fault found; null when it is as specified."""
+    v = F.col("_v")
+    rows = _parsed(df, text).withColumns({
+        "_label": F.try_variant_get(v, "$.label", "string"), "_label_kind": _kind(v, "$.label"),
+        "_calls_kind": _kind(v, "$.calls"), "_dom": _kind(v, "$.difference_or_missing"),
+        "_calls": F.transform(F.try_variant_get(v, "$.calls", "array<variant>"), lambda c: F.struct(
+            (_kind_of(c) == "{").alias("object"), _is(_keys(c), CALL_KEYS).alias("keys"),
+            ((_kind(c, "$.tool") == '"') & F.try_variant_get(c, "$.tool", "string").isin(*tools)).alias("tool"),
+            (_kind(c, "$.arguments") == "{").alias("arguments"), _text(c, "$.field").alias("field")))})
+
+    def some_lacks(part: str) -> Column:
+        return ~F.forall("_calls", lambda c: F.coalesce(c[part], F.lit(False)))
+
+    label, dom = F.col("_label"), F.col("_dom")
+    error = (F.when(F.col("_blank"), "no_text").when(~F.col("_object"), "not_one_object")
+             .when(~_is(F.col("_keys"), DETECTOR_KEYS), "wrong_keys")
+             .when((F.col("_label_kind") != '"') | ~label.isin(*LABELS), "bad_label")
+             .when((F.col("_calls_kind") != "[") | (F.size("_calls") == 0), "no_calls")
+             .when(some_lacks("object"), "call_not_object").when(some_lacks("keys"), "call_keys")
+             .when(some_lacks("tool"), "unknown_tool").when(some_lacks("arguments"), "arguments_not_object")
+             .when(some_lacks("field"), "empty_field").when((label == "answerable") & (dom != "n"), "needs_null")
+             .when((label != "answerable") & ~_text(v, "$.difference_or_missing"), "needs_text"))
+    return rows.select(*df.columns, error.alias(name))
+
+
+def spec_errors(df: DataFrame, text: str, name: str = "spec_error") -> DataFrame:
+    """Adds what is wrong with a spec reply: it is either one ``decline`` text or one complete ``spec``."""
+    v, keys = F.col("_v"), F.col("_keys")
+    rows = _parsed(df, text).withColumn("_spec", F.try_variant_get(v, "$.spec", "variant"))
+    spec, declines = F.col("_spec"), _is(keys, ("decline",))
     bad_text = ~(_text(spec, "$.name") & _text(spec, "$.description") & _text(spec, "$.data_source"))
-    return (F.when(text.isNull() | (F.trim(text) == ""), "no_text").when(~is_object(text), "not_one_object")
-            .when(declines & ~_text(v, "$.decline"), "empty_decline").when(declines, None)
-            .when(~_is(_keys(v), ("spec",)), "wrong_keys").when(~_kind(v, "$.spec").startswith("OBJECT"), "spec_not_object")
-            .when(~_is(_keys(spec), SPEC_KEYS), "spec_keys").when(bad_text, "empty_text")
-            .when(~_kind(spec, "$.input_schema").startswith("OBJECT"), "schema_not_object"))
+    error = (F.when(F.col("_blank"), "no_text").when(~F.col("_object"), "not_one_object")
+             .when(declines & ~_text(v, "$.decline"), "empty_decline").when(declines, None)
+             .when(~_is(keys, ("spec",)), "wrong_keys").when((_kind(v, "$.spec") != "{"), "spec_not_object")
+             .when(~_is(_keys(spec), SPEC_KEYS), "spec_keys").when(bad_text, "empty_text")
+             .when((_kind(spec, "$.input_schema") != "{"), "schema_not_object"))
+    return rows.select(*df.columns, error.alias(name))

@@ -144,8 +144,8 @@ def _reply(rows):
   SELECT event_id, {_case_sql(_REPLIES)} AS detector_error, {_case_sql(_SPECS)} AS spec_error FROM events""")
 def reply_shape(v):
     rows = v.table("events").select("event_id", _reply(_REPLIES).alias("d"), _reply(_SPECS).alias("s"))
-    return rows.select("event_id", validate.detector_error(F.col("d"), ("view", "click")).alias("detector_error"),
-                       validate.spec_error(F.col("s")).alias("spec_error"))
+    rows = validate.spec_errors(validate.detector_errors(rows, "d", ("view", "click")), "s")
+    return rows.select("event_id", "detector_error", "spec_error")
 
 
 @query("va_08_stability", """

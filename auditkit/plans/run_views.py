@@ -160,10 +160,9 @@ class RunViews:
         """(vec_id, feature, embedding, label): the vector index with the names of its documents."""
         d = self.table("documents").select("doc_id", "source", "lang")
         joined = self.table("embeddings").join(d, F.col("vec_id") == F.col("doc_id"), "left")
-        name = F.concat_ws("_", F.coalesce(F.concat_ws("_", *[F.when(F.col("doc_id").isNotNull(), F.col(c)) for c in ("source", "lang")]),
-                                           F.lit("none")), "vec_id")
-        return joined.select("vec_id", F.when(F.col("doc_id").isNull(), F.concat(F.lit("none_"), "vec_id")).otherwise(name).alias("feature"),
-                             "embedding", "label")
+        named = F.when(F.col("doc_id").isNull(), F.concat_ws("_", F.lit("none"), "vec_id")).otherwise(
+            F.concat_ws("_", "source", "lang", "vec_id"))
+        return joined.select("vec_id", named.alias("feature"), "embedding", "label")
 
     def probes(self) -> DataFrame:
         """One probe per label (its mean vector) and one, expecting nothing, at the opposite vector."""
