@@ -89,7 +89,7 @@ class RunViews:
         r = F.col("run")
         n = self.calls().groupBy("run").agg(
             F.count("*").alias("tool_calls"), F.count_if("ok").alias("turns"),
-            F.floor(F.sum("value")).alias("input_tokens"), F.count_distinct("k").alias("output_tokens"))
+            F.expr("sum(cast(round(value * 100) AS bigint)) div 100").alias("input_tokens"), F.count_distinct("k").alias("output_tokens"))
         version = F.when(r % 4 == 0, "1.0").otherwise("2.0")
         config = F.concat(F.lit("tools"), version,
                           F.when(r % 3 == 0, "").when(r % 3 == 1, "-retrieval-vector-index").otherwise("-retrieval-keyword-fallback"),
@@ -201,7 +201,7 @@ cte("runs", ("calls",), """
   SELECT *, 'tools' || tool_layer_version
            || CASE run % 3 WHEN 0 THEN '' WHEN 1 THEN '-retrieval-vector-index' ELSE '-retrieval-keyword-fallback' END
            || CASE WHEN run % 5 = 0 THEN '-canary' ELSE '-layer1' END AS config_id
-  FROM (SELECT run, count(*) AS tool_calls, count(*) FILTER (ok) AS turns, CAST(floor(sum(value)) AS BIGINT) AS input_tokens,
+  FROM (SELECT run, count(*) AS tool_calls, count(*) FILTER (ok) AS turns, CAST(sum(CAST(round(value * 100) AS BIGINT)) // 100 AS BIGINT) AS input_tokens,
            count(DISTINCT k) AS output_tokens,
            CASE WHEN run % 13 = 0 THEN 'MOCK' ELSE 'REAL' END AS mode, run % 6 <> 5 AS is_usable,
            CASE WHEN run % 2 = 0 THEN run % 5 = 0 END AS canary,

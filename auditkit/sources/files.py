@@ -22,8 +22,9 @@ def read_csv(spark: SparkSession, path: str, schema: str | T.StructType | None =
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """CSV with a header; null is an empty cell and an empty text is quoted, so both read back as written."""
-    df.write.option("header", True).option("nullValue", "").option("emptyValue", '""').csv(path)
+    """CSV with a header; null is an empty cell. An empty text reads back as null, too."""
+    df.write.option("header", True).option("nullValue", "").option("ignoreLeadingWhiteSpace", False).option(
+        "ignoreTrailingWhiteSpace", False).csv(path)
 
 
 # ---------------------------------------------------------------- JSON
