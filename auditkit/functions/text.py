@@ -86,14 +86,12 @@ def number_tokens(text: Column) -> Column:
     Every candidate is first fenced by two control characters; what stands before its opening fence then tells whether a
     sign belongs to it (``-3``), separates it (``0.6-0.7``, ``top-6``) or makes it part of an identifier (``a1``, ``x_2``).
     """
-    clean = F.regexp_replace(text, f"[{_OPEN}{_CLOSE}]", " ")
+    clean = F.translate(text, _OPEN + _CLOSE, "  ")
     plain = F.regexp_replace(clean, SCIENTIFIC, " ")
     pieces = F.split(F.regexp_replace(plain, NUMBER_IN_TEXT, f"{_OPEN}$1{_CLOSE}"), _OPEN)
 
-    n = F.greatest(F.size(pieces) - 1, F.lit(0))
-
     def token(before: Column, piece: Column) -> Column:
-        ahead = F.regexp_replace(before, _CLOSE, "")
+        ahead = F.regexp_replace(F.substring(before, -4, 4), _CLOSE, "")
         body = F.substring_index(piece, _CLOSE, 1)
         glued = ahead.rlike(r"[\p{L}_]$") | ahead.rlike(r"\p{L}[+]$") | ahead.rlike(r"_[+-]$")
         sign = F.when(ahead.rlike(r"[+-]$") & ~ahead.rlike(r"[0-9.)\]}][+-]$") & ~ahead.rlike(r"\p{L}-$"),
@@ -102,8 +100,12 @@ def number_tokens(text: Column) -> Column:
         return F.when(~glued, F.struct(word.alias("text"), token_value(word).alias("value"),
                                        token_decimals(word).alias("decimals")))
 
-    # Neighbouring pieces are paired up front, so the text is split once and not once per token.
-    return F.array_compact(F.zip_with(F.slice(pieces, F.lit(1), n), F.slice(pieces, F.lit(2), n), token))
+    def tokens(p: Column) -> Column:
+        n = F.greatest(F.size(p) - 1, F.lit(0))
+        return F.array_compact(F.zip_with(F.slice(p, F.lit(1), n), F.slice(p, F.lit(2), n), token))
+
+    # The split text is the one element of an array, so that it is worked out once per text and not once per use.
+    return F.get(F.transform(F.array(F.when(text.rlike("[0-9]"), pieces).otherwise(F.array(F.lit("")))), tokens), F.lit(0))
 
 
 _JSON_PART = r'"(?:[^"\\]|\\.)*"\s*:?|-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?'

@@ -124,7 +124,7 @@ def canonical_form(v):
 
 @query("fn_13_number_tokens")
 def number_tokens(v):
-    return (v.table("documents").select("doc_id", F.posexplode(text.number_tokens(F.col("text"))).alias("pos", "t"))
+    return (v.texts().select("doc_id", F.posexplode(text.number_tokens(F.col("text"))).alias("pos", "t"))
             .select("doc_id", "pos", "t.text", "t.value", "t.decimals"))
 
 

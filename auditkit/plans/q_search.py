@@ -10,7 +10,7 @@ from auditkit.plans.sqlviews import cte
 
 
 def text_docs(v):
-    d = v.table("documents")
+    d = v.texts()
     return d.select(F.col("doc_id").alias("pos"), F.concat_ws("_", "source", "lang", "doc_id").alias("feature"),
                     F.col("text").alias("description"))
 
@@ -165,7 +165,7 @@ def diagnosis(v):
 
 @query("ret_10_embed")
 def embed(v):
-    out = search.embed(v.table("documents").select("doc_id", "text"), dim=64)
+    out = search.embed(v.texts().select("doc_id", "text"), dim=64)
     from auditkit.functions import vectors
     return out.select("doc_id", F.size("embedding").alias("dim"), F.round(vectors.norm(F.col("embedding")), 4).alias("norm"))
 

@@ -78,17 +78,21 @@ def json_document(v):
 def run_directories(v):
     root = _path(v, "runs")
 
-    def put(df, kind, doc):
-        df.select(F.col("run").alias("dir"), doc.alias("value")).write.partitionBy("dir").text(f"{root}/{kind}")
+    tasks = int(v.spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def put(df, kind, doc, at=F.lit(0)):
+        # One task per directory and stretch of rows: few files per directory, and a very large run is split over tasks.
+        rows = df.select(F.col("run").alias("dir"), doc.alias("value"), F.floor(at / 100_000).alias("stretch"))
+        rows.repartition(tasks, "dir", "stretch").drop("stretch").write.partitionBy("dir").text(f"{root}/{kind}")
 
     skip_null = {"ignoreNullFields": "true"}
     put(v.runs(), "manifest", F.to_json(F.struct("config_id", "mode", "canary", "is_usable", "tool_calls", "turns"), skip_null))
     # One small document per line, so that a run with very many calls is never one row.
     call = F.struct("seq", "tool", F.parse_json("arguments").alias("arguments"), "ok", "outcome")
-    put(v.calls(), "calls", F.to_json(F.struct(F.array(call).alias("calls"))))
+    put(v.calls(), "calls", F.to_json(F.struct(F.array(call).alias("calls"))), F.col("seq"))
     block = F.struct(F.lit("tool_result").alias("type"), F.col("pos").cast("string").alias("tool_use_id"), "content")
     put(v.results(), "messages", F.to_json(F.struct(F.array(F.struct(
-        F.lit("user").alias("role"), F.array(block).alias("content"))).alias("messages"))))
+        F.lit("user").alias("role"), F.array(block).alias("content"))).alias("messages"))), F.col("pos"))
     put(v.runs(), "answers", F.concat(F.lit("run "), F.col("run")))
     got = files.read_runs(v.spark, root, {k: f"{k}/*/*.txt" for k in files.LAYOUT}, line_documents=True)
     logged = got["calls"].groupBy("run").agg(F.count("*").alias("logged"), F.count_if(~F.col("ok")).alias("rejected"),

@@ -8,6 +8,7 @@ from auditkit.operators import attribution, profile, validate
 from auditkit.operators.columns import first_by
 from auditkit.plans.registry import query
 from auditkit.plans.sqlviews import cte
+from auditkit.sources.staging import spread
 
 TOP = 10
 
@@ -143,7 +144,7 @@ def _reply(rows):
 @query("va_07_reply_shape", f"""
   SELECT event_id, {_case_sql(_REPLIES)} AS detector_error, {_case_sql(_SPECS)} AS spec_error FROM events""")
 def reply_shape(v):
-    rows = v.table("events").select("event_id", _reply(_REPLIES).alias("d"), _reply(_SPECS).alias("s"))
+    rows = spread(v.table("events").select("event_id")).select("event_id", _reply(_REPLIES).alias("d"), _reply(_SPECS).alias("s"))
     rows = validate.spec_errors(validate.detector_errors(rows, "d", ("view", "click")), "s")
     return rows.select("event_id", "detector_error", "spec_error")
 

@@ -113,7 +113,7 @@ class RunViews:
 
     def _build_answers(self) -> DataFrame:
         facts = self.calls().groupBy("run").agg(F.count("*").alias("n"), F.max("value").alias("top"))
-        docs = self.table("documents").join(facts, F.col("doc_id") == F.col("run"), "left")
+        docs = self.texts().join(facts, F.col("doc_id") == F.col("run"), "left")
         body = F.regexp_replace("text", r"[\r\n]+", " ")
         evidence = F.concat(F.lit("view returned "), F.coalesce(F.col("top"), F.lit(0.0)), F.lit(" over "),
                             F.coalesce(F.col("n"), F.lit(0)), F.lit(" calls; "), body)

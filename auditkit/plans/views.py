@@ -9,7 +9,7 @@ from auditkit.functions import dates, encode
 from auditkit.operators import attribution, prep, profile
 from auditkit.plans.run_views import RunViews
 from auditkit.plans.sqlviews import cte
-from auditkit.sources.staging import stage
+from auditkit.sources.staging import spread, stage
 
 TRAIN_VINTAGES = (1996, 1997, 1998)
 FIT_VINTAGES = (1996, 1997)
@@ -32,6 +32,10 @@ class Views(RunViews):
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
+    def texts(self) -> DataFrame:
+        """The documents, dealt out to all cores."""
+        return spread(self.table("documents"))
+
     def _stage(self, name: str, build, partition_by: tuple[str, ...] = ()) -> DataFrame:
         return stage(self.spark, (self.dir, name), build, partition_by)
 

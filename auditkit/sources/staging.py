@@ -30,6 +30,12 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_dirs[app]
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan with fewer tasks than cores, dealt out to all cores, for work that is heavy per row. Large inputs pass unchanged."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def materialize(df: DataFrame, name: str = "tmp", partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Write a frame once and return the written table."""
     spark = df.sparkSession

@@ -24,9 +24,9 @@ CASES = {
 
 def plain_tokens(s):
     """The rule, spelled out by scanning left to right."""
-    s = re.sub(r"(?<![A-Za-z_\d.])[+-]?\d+(?:\.\d+)?[eE][+-]?\d+(?![A-Za-z_\d])", " ", s)
+    s = re.sub(text.SCIENTIFIC, " ", s)
     out = []
-    for m in re.finditer(r"(?<![\d.])((?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d+)?%?)(?![A-Za-z_\d]|\.\d)", s):
+    for m in re.finditer(text.NUMBER_IN_TEXT, s):
         a, b = m.span(1)
         one, two = (s[a - 1] if a > 0 else ""), (s[a - 2] if a > 1 else "")
         if one.isalpha() or one == "_":
@@ -66,7 +66,7 @@ def leaves(node):
     if isinstance(node, (int, float)):
         return [float(node)]
     if isinstance(node, str):
-        ok = re.fullmatch(r"[+-]?(?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d+)?%?", node)
+        ok = re.fullmatch("[+-]?" + text.NUMBER, node)
         return [float(node.replace(",", "").rstrip("%"))] if ok else []
     return [x for v in (node.values() if isinstance(node, dict) else node) for x in leaves(v)]
 
