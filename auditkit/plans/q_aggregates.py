@@ -25,7 +25,7 @@ def value_counts(v):
   SELECT CAST(min(CAST(strptime(issue_d, '%b-%Y') AS DATE)) AS VARCHAR) AS first,
          CAST(max(CAST(strptime(issue_d, '%b-%Y') AS DATE)) AS VARCHAR) AS last, count(*) AS n_rows FROM raw_loans""", ("raw_loans",))
 def date_range(v):
-    return aggregate.date_range(v.raw_loans(), dates.month_date(F.col("issue_d")).cast("string"))
+    return aggregate.date_range(v.heads(), dates.month_date(F.col("issue_d")).cast("string"))
 
 
 _COLS = ["row_id", "status", "first_ship_d", "n_items", "qty", "avg_disc", "acctbal", "late_tax", "mths_since_prev", "desc"]

@@ -17,14 +17,14 @@ NAME_PATTERNS = [("^small_", "small goods"), ("_ring$", "rings"), ("^red_", "red
 
 @query("prj_01_keep_statuses", "SELECT row_id, status FROM raw_loans WHERE status IN ('F', 'O')", ("raw_loans",))
 def keep_statuses(v):
-    return v.raw_loans().filter(F.col("status").isin(*KEEP_STATUSES)).select("row_id", "status")
+    return v.heads().filter(F.col("status").isin(*KEEP_STATUSES)).select("row_id", "status")
 
 
 @query("prj_02_keep_years", """SELECT row_id, issue_d FROM raw_loans
    WHERE year(strptime(issue_d, '%b-%Y')) IN (1996, 1997, 1998, 1999)""", ("raw_loans",))
 def keep_years(v):
     year = F.year(dates.month_date(F.col("issue_d")))
-    return v.raw_loans().filter(year.isin(*WINDOW)).select("row_id", "issue_d")
+    return v.heads().filter(year.isin(*WINDOW)).select("row_id", "issue_d")
 
 
 @query("prj_03_row_funnel", """
@@ -34,7 +34,7 @@ def keep_years(v):
 def row_funnel(v):
     kept = F.col("status").isin(*KEEP_STATUSES)
     in_window = F.year(dates.month_date(F.col("issue_d"))).isin(*WINDOW)
-    return v.raw_loans().agg(F.count("*").alias("raw_rows"), F.count_if(kept).alias("after_status"),
+    return v.heads().agg(F.count("*").alias("raw_rows"), F.count_if(kept).alias("after_status"),
                              F.count_if(kept & in_window).alias("after_year"))
 
 

@@ -17,7 +17,7 @@ TERMS = ["leak", "ring", "blue", "large", "populated"]
   SELECT row_id, CAST(CAST(strptime(issue_d, '%b-%Y') AS DATE) AS VARCHAR) AS issue,
          CAST(CAST(try_strptime(status || issue_d, '%b-%Y') AS DATE) AS VARCHAR) AS unparsed FROM raw_loans""", ("raw_loans",))
 def month_date(v):
-    return v.raw_loans().select(
+    return v.heads().select(
         "row_id", dates.month_date(F.col("issue_d")).cast("string").alias("issue"),
         dates.month_date(F.concat("status", "issue_d")).cast("string").alias("unparsed"))
 
@@ -27,7 +27,7 @@ def month_date(v):
   FROM raw_loans""", ("raw_loans",))
 def year_quarter(v):
     d = dates.month_date(F.col("issue_d"))
-    return v.raw_loans().select("row_id", F.year(d).alias("year"), F.quarter(d).alias("quarter"))
+    return v.heads().select("row_id", F.year(d).alias("year"), F.quarter(d).alias("quarter"))
 
 
 @query("fn_03_history_months", "SELECT row_id, CAST(history_months AS INTEGER) AS history_months FROM parsed", ("parsed",))

@@ -40,6 +40,11 @@ class Views(RunViews):
         return stage(self.spark, (self.dir, name), build, partition_by)
 
     # ---------------------------------------------------------------- loans
+    def heads(self) -> DataFrame:
+        """Id, status and month text of every order, straight from its scan; filters on the status reach the file."""
+        return self.table("orders").select(F.col("o_orderkey").alias("row_id"), F.col("o_orderstatus").alias("status"),
+                                           F.date_format("o_orderdate", dates.MONTH_FORMAT).alias("issue_d"))
+
     def raw_loans(self) -> DataFrame:
         """One row per order, before any filter."""
         return self._stage("raw_loans", self._build_raw_loans)
