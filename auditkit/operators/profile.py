@@ -7,12 +7,12 @@ from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditkit.functions.numbers import pct, r6
+from auditkit.functions.numbers import null_if_nan, pct, r6
 from auditkit.operators.columns import WAS_MISSING, first_by
 from auditkit.operators.cumulate import cumulate, q, quantiles
 
 SENTINEL = 999
-MAX_CORR_COLUMNS = 4_096
+MAX_CORR_COLUMNS = 2_000
 
 
 def long_form(df: DataFrame, features: list[str], ids: list[str]) -> DataFrame:
@@ -108,9 +108,9 @@ def correlation(df: DataFrame, features: list[str]) -> DataFrame:
     vec = VectorAssembler(inputCols=features, outputCol="v").transform(
         df.select(*[q(f).cast("double").alias(f) for f in features])).select("v")
     m = Correlation.corr(vec, "v").head()[0].toArray()
-    rows = [(a, b, None if m[i, j] != m[i, j] else float(m[i, j]))
-            for i, a in enumerate(features) for j, b in enumerate(features) if i != j]
-    return df.sparkSession.createDataFrame(rows, "feature string, neighbour string, r double")
+    rows = df.sparkSession.createDataFrame([(a, m[i].tolist()) for i, a in enumerate(features)], "feature string, rs array<double>")
+    cells = F.zip_with(F.array(*[F.lit(b) for b in features]), "rs", lambda b, r: F.struct(b.alias("neighbour"), null_if_nan(r).alias("r")))
+    return rows.select("feature", F.inline(cells)).filter(F.col("feature") != F.col("neighbour"))
 
 
 def neighbours(pairs: DataFrame, k: int = 15) -> DataFrame:

@@ -56,7 +56,7 @@ class RunViews:
     def canonical_calls(self) -> DataFrame:
         """Calls with the canonical form of their arguments."""
         form = canonical_arguments(F.col("tool"), F.col("arguments"), CALL_ARGS, CALL_DEFAULTS)
-        return self.calls().withColumn("form", form)
+        return self._stage("canonical_calls", lambda: self.calls().select("run", "seq", "tool", form.alias("form")))
 
     def flags(self) -> DataFrame:
         """Flagged names per run as an answer lists them: untrimmed, with derivatives and blanks."""
