@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from auditkit.llm import chat, hosts
+from auditkit.llm import chat, discriminant, hosts, packing, rules, tokens, topk
 from auditkit.llm.registry import query, table
+from auditkit.sources.staging import materialize
 
 RULES = [hosts.Rule("block", "com", "/en/"), hosts.Rule("allow", "example.com", "/en/7"), hosts.Rule("block", "net", "/de/"),
          hosts.Rule("allow", "example.net", "/de/8"), hosts.Rule("block", "org", "/es/")]
@@ -83,3 +84,41 @@ def url_filter(spark, sf_dir):
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("number"), bad.alias("bad"))
     outcomes = pages.select("url", number.alias("number")).join(labels, "number").select("url", "bad")
     return hosts.judge_pages(pages, outcomes, RULES)
+
+
+@query("op8_quality_rules")
+def quality_rules(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    r = F.col("rules")
+    return rules.judge(docs, rules.language_references(docs)).select(
+        "doc_id", *[r[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")])
+
+
+@query("op9_quality_classifier")
+def quality_classifier(spark, sf_dir):
+    """Features are written once: labelled rows teach, then all rows are scored."""
+    docs = table(spark, sf_dir, "documents")
+    rows = materialize(docs.select("doc_id", discriminant.features(F.col("text")).alias("x")), "features")
+    model = discriminant.fit(discriminant.labelled(rows, table(spark, sf_dir, "labels")))
+    scored = rows.select("doc_id", discriminant.held_out(F.col("doc_id")).alias("held_out"), discriminant.score(model, F.col("x")).alias("score"))
+    return scored.withColumn("predicted", F.when(F.col("score") >= 0.7, 1).otherwise(0).cast("int"))
+
+
+@query("op10_best_fit_packing")
+def best_fit_packing(spark, sf_dir):
+    return packing.pack(packing.cut(table(spark, sf_dir, "documents"), tokens.public_path("word_bpe_49k.json")))
+
+
+TOPK_SQL = """
+WITH v AS (SELECT vec_id, [CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum([p[1] * p[2] FOR p IN list_zip(q.v, c.v)]) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id)
+SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score FROM s
+WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 20"""
+
+
+@query("op2_exact_top_k", TOPK_SQL)
+def exact_top_k(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), topk.quantised(F.col("embedding")).alias("v"))
+    return topk.search(rows.filter(F.col("id") % 20 == 0), rows)
