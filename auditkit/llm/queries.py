@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from auditkit.llm import chat, discriminant, hosts, packing, rules, tokens, topk
+from auditkit.llm import bpe, chat, discriminant, hosts, neardup, packing, pii, rules, tokenfiles, tokens, topk
 from auditkit.llm.registry import query, table
-from auditkit.sources.staging import materialize
+from auditkit.sources.staging import materialize, shared_dir
 
 RULES = [hosts.Rule("block", "com", "/en/"), hosts.Rule("allow", "example.com", "/en/7"), hosts.Rule("block", "net", "/de/"),
          hosts.Rule("allow", "example.net", "/de/8"), hosts.Rule("block", "org", "/es/")]
@@ -122,3 +124,39 @@ WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_numb
 def exact_top_k(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), topk.quantised(F.col("embedding")).alias("v"))
     return topk.search(rows.filter(F.col("id") % 20 == 0), rows)
+
+
+@query("op1_minhash_near_dedup")
+def minhash_near_dedup(spark, sf_dir):
+    found = neardup.link(table(spark, sf_dir, "documents"), size=4, percent=80)
+    return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
+@query("op6_pii_spans")
+def pii_spans(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = pii.fit(docs)
+    text = F.coalesce("text", F.lit(""))
+    found = docs.select("doc_id", text.alias("text"), pii.base_spans(text).alias("base"))
+    n = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    return found.select("doc_id", *map(n, pii.BASE), F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"),
+                        pii.listed(pii.detect(F.col("text"), F.col("base"), model)).alias("spans"))
+
+
+@query("op3_token_files")
+def token_files(spark, sf_dir):
+    """Written, then everything is taken from the files."""
+    folder = f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex[:12]}"
+    tokenfiles.write_ids(table(spark, sf_dir, "documents"), folder, tokens.public_path("byte_bpe_50k.json"), end_id=2)
+    return tokenfiles.read_ids(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query("op5_byte_bpe")
+def byte_bpe(spark, sf_dir):
+    import public_tokenizers
+
+    path = tokens.public_path("byte_bpe_50k.tiktoken")
+    coded = bpe.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+                        F.sha2(bpe.decode(F.col("ids"), path), 256).alias("decoded_sha256"))
