@@ -4,11 +4,13 @@ Ids are cut into blocks. Every block has its own model and coder state, starts a
 ids, so a damaged block is found and costs no other. Blocks of one call are coded in step, one numpy operation for all
 blocks at a time.
 
-An id is coded as nibbles, high to low. Three predictions are mixed into the weights of the 16 next symbols:
+Three predictions share the code space of the next id:
 
-* order 0: counts of the symbols seen after the same high nibbles (the lowest share ``TAILS`` tables by hash);
-* order 1 and order 2: the id last seen after the same one or two ids. It adds weight to its own nibble while it
-  agrees with the nibbles coded so far. How much is learned: each order keeps hits and misses by confidence.
+* order 2 and order 1 each name the id last seen after the same two ids, or the same one. How likely they are right is
+  learned by how often they were before: each order keeps hits and misses by the confidence of its guess. What order 2
+  leaves goes to order 1 by its own record, and what that leaves to order 0;
+* order 0 spells an id neither guessed, in nibbles from high to low, by counts of the symbols seen after the same higher
+  nibbles (below the third nibble, tables are shared by hash).
 
 Block format: ``TIB1``, nibbles of an id (1 byte), ids (4), crc32 of the ids as little-endian 32-bit integers (4), then
 16-bit little-endian words of the range coder.
@@ -26,63 +28,64 @@ _HEAD = struct.Struct("<4sBII")
 TAILS, SLOTS, CONFIDENCES = 256, 1024, 8
 _NODES = 1 + 16 + 256 + TAILS
 STEP, LIMIT = 24, 4096
-_TRIANGLE = np.triu(np.ones((16, 16), np.float32))
+#: Code space that orders 2, 1 and 0 share: 2^12, of which order 0 always has some.
+_SPACE, _LEAST = 12, 64
+_ADDED = np.triu(np.full((16, 16), STEP, np.uint16))
 _U = np.uint64
-_MASK, _WORD, _LOW = _U(2**48 - 1), _U(0xFFFF), _U(2**32 - 1)
+_MASK, _LOW = _U(2**48 - 1), _U(2**32 - 1)
 
 
 class _Model:
     """What a block knows of the ids before, for all blocks side by side."""
 
     def __init__(self, lanes: int):
-        self.counts = np.ones((lanes * _NODES, 16), np.uint16)
+        self.sums = np.tile(np.arange(1, 17, dtype=np.uint16), (lanes * _NODES, 1))  # running sums of 16 counts
         self.guess = [np.zeros(lanes * SLOTS, np.int64) for _ in range(2)]
-        self.trust = [np.zeros(lanes * SLOTS, np.int64) for _ in range(2)]
+        self.trust = [np.zeros(lanes * SLOTS, np.int8) for _ in range(2)]
         self.hits = [np.ones(lanes * CONFIDENCES, np.int64) for _ in range(2)]
-        self.misses = [np.ones(lanes * CONFIDENCES, np.int64) for _ in range(2)]
+        self.tries = [np.full(lanes * CONFIDENCES, 3, np.int64) for _ in range(2)]
         self.last = np.zeros(lanes, np.int64)
         self.before = np.zeros(lanes, np.int64)
         self.lane = np.arange(lanes)
 
-    def look(self, a: int) -> None:
-        """Predictions for the next id of the first ``a`` blocks."""
+    def look(self, a: int) -> tuple:
+        """Guesses of order 2 and order 1 for the next id of the first ``a`` blocks, and their code space."""
         last, lane = self.last[:a], self.lane[:a]
         two = (last * 40503 + self.before[:a] * 30011) >> 2
-        self.slots = [lane * SLOTS + (last & (SLOTS - 1)), lane * SLOTS + (two & (SLOTS - 1))]
+        self.slots = (lane * SLOTS + (two & (SLOTS - 1)), lane * SLOTS + (last & (SLOTS - 1)))
         self.ids = [g[s] for g, s in zip(self.guess, self.slots)]
         self.levels = [t[s] for t, s in zip(self.trust, self.slots)]
         self.kinds = [lane * CONFIDENCES + c for c in self.levels]
-        self.odds = [np.where(c > 0, (h[k] << 6) // m[k], 0) for c, h, m, k in zip(self.levels, self.hits, self.misses, self.kinds)]
-
-    def weights(self, a: int, node: np.ndarray, prefix: np.ndarray, shift: int):
-        """Running sums of the order-0 weights, and nibble and weight of each guess that still agrees."""
-        self.row = self.lane[:a] * _NODES + node
-        self.own = self.counts[self.row]
-        sums = (self.own.astype(np.float32) @ _TRIANGLE).astype(np.int64)
-        total, guesses = sums[:, 15], []
-        for x, odds in zip(self.ids, self.odds):
-            agrees = (x >> (shift + 4)) == prefix
-            guesses.append(((x >> shift) & 15, np.minimum((total * odds) >> 6, 16 * LIMIT // 3) * agrees))
-        self.full = total
-        return sums, guesses
-
-    def count(self, symbol: np.ndarray) -> None:
-        self.counts[self.row, symbol] += np.uint16(STEP)
-        over = np.flatnonzero(self.full > LIMIT)
-        if len(over):
-            rows = self.row[over]
-            self.counts[rows] = (self.counts[rows] >> np.uint16(1)) | np.uint16(1)
-
-    def learn(self, a: int, ids: np.ndarray) -> None:
-        """Takes in the ids just coded."""
+        left, space = np.full(a, (1 << _SPACE) - _LEAST), []
+        for o in range(2):
+            f = left * self.hits[o][self.kinds[o]] // self.tries[o][self.kinds[o]]
+            f *= self.levels[o] > 0
+            if o:
+                f *= self.ids[0] != self.ids[1]
+            left = left - f
+            space.append(f)
+        return space[0], space[0] + space[1]
+
+    def learn(self, a: int, ids: np.ndarray, hit: tuple) -> None:
+        """Takes in the ids just coded; ``hit`` says for which of them each order's guess was used."""
         for o in range(2):
-            hit, c = self.ids[o] == ids, self.levels[o]
-            self.hits[o][self.kinds[o]] += hit
-            self.misses[o][self.kinds[o]] += ~hit
-            self.guess[o][self.slots[o]] = np.where(hit | (c <= 1), ids, self.ids[o])
-            self.trust[o][self.slots[o]] = np.where(hit, np.minimum(c + 1, CONFIDENCES - 1), np.where(c <= 1, 1, c >> 1))
+            c, slots, kinds = self.levels[o], self.slots[o], self.kinds[o]
+            right = self.ids[o] == ids
+            self.hits[o][kinds] += hit[o]
+            self.tries[o][kinds] += 1 if o == 0 else ~hit[0]
+            weak = c <= 1
+            self.guess[o][slots] = np.where(weak, ids, self.ids[o])
+            self.trust[o][slots] = np.where(right, np.minimum(c + 1, CONFIDENCES - 1), np.maximum(c >> 1, 1))
         self.before[:a], self.last[:a] = self.last[:a], ids
 
+    def count(self, row: np.ndarray, sums: np.ndarray, symbol: np.ndarray) -> None:
+        """One more ``symbol`` in each table; full tables are halved."""
+        self.sums[row] = sums + _ADDED[symbol]
+        over = np.flatnonzero(sums[:, 15] > LIMIT)
+        if len(over):
+            counts = np.diff(self.sums[row[over]].astype(np.int64), axis=1, prepend=0)
+            self.sums[row[over]] = np.cumsum((counts >> 1) | 1, axis=1)
+
 
 def _node(level: int, prefix: np.ndarray) -> np.ndarray:
     if level < 3:
@@ -90,62 +93,84 @@ def _node(level: int, prefix: np.ndarray) -> np.ndarray:
     return 273 + ((prefix * 40503) >> 3) % TAILS
 
 
+class _Writer:
+    def __init__(self, lanes: int, words: int):
+        self.out = np.zeros((lanes, words), np.int64)
+        self.at = np.zeros(lanes, np.int64)
+        self.low, self.wide = np.zeros(lanes, _U), np.full(lanes, 2**48 - 1, _U)
+
+    def put(self, lanes, unit: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
+        """Narrows ``lanes`` (a slice or an array of numbers) to ``size`` units from ``start`` on."""
+        lo, w = self.low[lanes] + unit * start.astype(_U), unit * size.astype(_U)
+        some = np.flatnonzero((w <= _LOW) | (lo > _MASK))
+        if len(some):
+            numbers = some if isinstance(lanes, slice) else lanes[some]
+            l, v = lo[some], w[some]
+            self._carry(numbers[l > _MASK])
+            l &= _MASK
+            send = v <= _LOW
+            who = numbers[send]
+            self.out[who, self.at[who]] = l[send] >> _U(32)
+            self.at[who] += 1
+            lo[some], w[some] = np.where(send, (l & _LOW) << _U(16), l), np.where(send, v << _U(16), v)
+        self.low[lanes], self.wide[lanes] = lo, w
+
+    def _carry(self, who: np.ndarray) -> None:
+        place = self.at[who] - 1
+        while len(who):
+            self.out[who, place] += 1
+            more = self.out[who, place] > 0xFFFF
+            self.out[who[more], place[more]] = 0
+            who, place = who[more], place[more] - 1
+
+    def words(self, lane: int) -> bytes:
+        tail = [int(self.low[lane]) >> s & 0xFFFF for s in (32, 16, 0)]
+        return np.append(self.out[lane, :self.at[lane]], tail).astype("<u2").tobytes()
+
+
+def _unit(wide: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """A share of ``wide``; one less than a rounded quotient never overshoots."""
+    return (wide.astype(np.float64) / total).astype(_U) - _U(1)
+
+
+def _active(sizes: np.ndarray, steps: int) -> list[int]:
+    """How many blocks have more than t ids; ``sizes`` falls."""
+    return np.searchsorted(-sizes, -np.arange(steps), side="left").tolist()
+
+
 def encode(blocks: list[np.ndarray]) -> list[bytes]:
     """One coded block for each array of ids (below 2^32)."""
     order = sorted(range(len(blocks)), key=lambda i: -len(blocks[i]))
-    sizes = np.array([len(blocks[i]) for i in order])
+    sizes = np.array([len(blocks[i]) for i in order], np.int64)
     steps = int(sizes.max(initial=0))
     ids = np.zeros((steps, len(order)), np.int64)
     for lane, i in enumerate(order):
         ids[:len(blocks[i]), lane] = blocks[i]
     nibbles = max(4, (int(ids.max(initial=0)).bit_length() + 3) // 4)
-    model = _Model(len(order))
-    out = np.zeros((len(order), steps * nibbles + 8), np.int64)
-    at = np.zeros(len(order), np.int64)
-    low, wide = np.zeros(len(order), _U), np.full(len(order), 2**48 - 1, _U)
-    active = np.searchsorted(-sizes, -np.arange(steps), side="left")  # blocks with more than t ids
-    for t in range(steps):
-        a = int(active[t])
-        now, lane = ids[t, :a], model.lane[:a]
-        model.look(a)
-        prefix = np.zeros(a, np.int64)
+    model, writer = _Model(len(order)), _Writer(len(order), steps * (nibbles + 1) + 8)
+    for t, a in enumerate(_active(sizes, steps)):
+        now = ids[t, :a]
+        first, both = model.look(a)
+        hit2 = (model.ids[0] == now) & (first > 0)
+        hit1 = (model.ids[1] == now) & (both > first) & ~hit2
+        start = np.where(hit2, 0, np.where(hit1, first, both))
+        size = np.where(hit2, first, np.where(hit1, both, 1 << _SPACE)) - start
+        writer.put(slice(0, a), writer.wide[:a] >> _U(_SPACE), start, size)
+        spell = np.flatnonzero(~(hit2 | hit1))
+        prefix, rows = np.zeros(len(spell), np.int64), model.lane[:len(spell)]
         for level in range(nibbles):
-            shift = 4 * (nibbles - 1 - level)
-            symbol = (now >> shift) & 15
-            sums, guesses = model.weights(a, _node(level, prefix), prefix, shift)
-            own = model.own[lane, symbol].astype(np.int64)
-            start, total = sums[lane, symbol] - own, model.full
-            for nibble, weight in guesses:
-                start = start + weight * (nibble < symbol)
-                own = own + weight * (nibble == symbol)
-                total = total + weight
-            unit = (wide[:a].astype(np.float64) / total).astype(_U) - _U(1)
-            lo = low[:a] + unit * start.astype(_U)
-            w = unit * own.astype(_U)
-            carry = np.flatnonzero(lo > _MASK)
-            if len(carry):
-                lo[carry] &= _MASK
-                place = at[carry] - 1
-                while len(carry):
-                    out[carry, place] += 1
-                    more = out[carry, place] > 0xFFFF
-                    out[carry[more], place[more]] = 0
-                    carry, place = carry[more], place[more] - 1
-            send = np.flatnonzero(w <= _LOW)
-            if len(send):
-                out[send, at[send]] = (lo[send] >> _U(32)).astype(np.int64)
-                at[send] += 1
-                lo[send] = (lo[send] & _LOW) << _U(16)
-                w[send] <<= _U(16)
-            low[:a], wide[:a] = lo, w
-            model.count(symbol)
+            symbol = (now[spell] >> (4 * (nibbles - 1 - level))) & 15
+            row = spell * _NODES + _node(level, prefix)
+            sums = model.sums[row]
+            end = sums[rows, symbol].astype(np.int64)
+            start = np.where(symbol > 0, sums[rows, symbol - 1], 0)
+            writer.put(spell, _unit(writer.wide[spell], sums[:, 15]), start, end - start)
+            model.count(row, sums, symbol)
             prefix = (prefix << 4) | symbol
-        model.learn(a, now)
+        model.learn(a, now, (hit2, hit1))
     coded: list = [b""] * len(blocks)
     for lane, i in enumerate(order):
-        tail = [int(low[lane]) >> s & 0xFFFF for s in (32, 16, 0)]
-        words = np.append(out[lane, :at[lane]], tail).astype("<u2").tobytes()
-        coded[i] = _HEAD.pack(MAGIC, nibbles, len(blocks[i]), zlib.crc32(blocks[i].astype("<u4").tobytes())) + words
+        coded[i] = _HEAD.pack(MAGIC, nibbles, len(blocks[i]), zlib.crc32(blocks[i].astype("<u4").tobytes())) + writer.words(lane)
     return coded
 
 
@@ -164,52 +189,61 @@ def decode(coded: list[bytes]) -> list[np.ndarray]:
     return found
 
 
+class _Reader:
+    def __init__(self, payloads: list[bytes]):
+        self.words = np.zeros((len(payloads), max(len(p) // 2 for p in payloads) + 4), _U)
+        for lane, p in enumerate(payloads):
+            part = np.frombuffer(p, "<u2", len(p) // 2)
+            self.words[lane, :len(part)] = part
+        self.code = (self.words[:, 0] << _U(32)) | (self.words[:, 1] << _U(16)) | self.words[:, 2]
+        self.at = np.full(len(payloads), 3)
+        self.wide = np.full(len(payloads), 2**48 - 1, _U)
+
+    def value(self, lanes, unit: np.ndarray, total) -> np.ndarray:
+        return np.minimum((self.code[lanes] // unit).astype(np.int64), total - 1)
+
+    def take(self, lanes, unit: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
+        c, w = self.code[lanes] - unit * start.astype(_U), unit * size.astype(_U)
+        some = np.flatnonzero(w <= _LOW)
+        if len(some):
+            who = some if isinstance(lanes, slice) else lanes[some]
+            c[some] = ((c[some] << _U(16)) | self.words[who, np.minimum(self.at[who], self.words.shape[1] - 1)]) & _MASK
+            w[some] <<= _U(16)
+            self.at[who] += 1
+        self.code[lanes], self.wide[lanes] = c, w
+
+
 def _decode(payloads: list[bytes], counts: list[int], nibbles: int) -> list[np.ndarray]:
     order = sorted(range(len(counts)), key=lambda i: -counts[i])
-    sizes = np.array([counts[i] for i in order])
+    sizes = np.array([counts[i] for i in order], np.int64)
     steps = int(sizes.max(initial=0))
-    words = np.zeros((len(order), max(len(p) // 2 for p in payloads) + 4), _U)
-    for lane, i in enumerate(order):
-        part = np.frombuffer(payloads[i], "<u2", len(payloads[i]) // 2)
-        words[lane, :len(part)] = part
-    last = words.shape[1] - 1
-    code = (words[:, 0] << _U(32)) | (words[:, 1] << _U(16)) | words[:, 2]
-    at = np.full(len(order), 3)
-    wide = np.full(len(order), 2**48 - 1, _U)
-    model = _Model(len(order))
+    model, reader = _Model(len(order)), _Reader([payloads[i] for i in order])
     ids = np.zeros((steps, len(order)), np.int64)
-    active = np.searchsorted(-sizes, -np.arange(steps), side="left")
-    sixteen = np.arange(16)
-    for t in range(steps):
-        a = int(active[t])
-        lane = model.lane[:a]
-        model.look(a)
-        prefix = np.zeros(a, np.int64)
+    for t, a in enumerate(_active(sizes, steps)):
+        first, both = model.look(a)
+        lanes = slice(0, a)
+        unit = reader.wide[lanes] >> _U(_SPACE)
+        value = reader.value(lanes, unit, 1 << _SPACE)
+        hit2 = value < first
+        hit1 = (value < both) & ~hit2
+        start = np.where(hit2, 0, np.where(hit1, first, both))
+        reader.take(lanes, unit, start, np.where(hit2, first, np.where(hit1, both, 1 << _SPACE)) - start)
+        now = np.where(hit2, model.ids[0], model.ids[1])
+        spell = np.flatnonzero(~(hit2 | hit1))
+        prefix, rows = np.zeros(len(spell), np.int64), model.lane[:len(spell)]
         for level in range(nibbles):
-            sums, guesses = model.weights(a, _node(level, prefix), prefix, 4 * (nibbles - 1 - level))
-            own, total = model.own, model.full
-            mixed = sums
-            for nibble, weight in guesses:
-                mixed = mixed + weight[:, None] * (nibble[:, None] <= sixteen)
-                total = total + weight
-            unit = (wide[:a].astype(np.float64) / total).astype(_U) - _U(1)
-            value = np.minimum(code[:a] // unit, (total - 1).astype(_U)).astype(np.int64)
-            symbol = (mixed <= value[:, None]).sum(axis=1)
-            own = own[lane, symbol].astype(np.int64)
-            for nibble, weight in guesses:
-                own = own + weight * (nibble == symbol)
-            c = code[:a] - unit * (mixed[lane, symbol] - own).astype(_U)
-            w = unit * own.astype(_U)
-            take = np.flatnonzero(w <= _LOW)
-            if len(take):
-                c[take] = ((c[take] << _U(16)) | words[take, np.minimum(at[take], last)]) & _MASK
-                at[take] += 1
-                w[take] <<= _U(16)
-            code[:a], wide[:a] = c, w
-            model.count(symbol)
+            row = spell * _NODES + _node(level, prefix)
+            sums = model.sums[row]
+            unit = _unit(reader.wide[spell], sums[:, 15])
+            value = reader.value(spell, unit, sums[:, 15].astype(np.int64))
+            symbol = (sums <= value.astype(np.uint16)[:, None]).sum(axis=1)
+            start = np.where(symbol > 0, sums[rows, symbol - 1], 0)
+            reader.take(spell, unit, start, sums[rows, symbol].astype(np.int64) - start)
+            model.count(row, sums, symbol)
             prefix = (prefix << 4) | symbol
-        model.learn(a, prefix)
-        ids[t, :a] = prefix
+        now[spell] = prefix
+        model.learn(a, now, (hit2, hit1))
+        ids[t, :a] = now
     found: list = [None] * len(counts)
     for lane, i in enumerate(order):
         found[i] = ids[:counts[i], lane].astype(np.uint32)
