@@ -11,8 +11,10 @@ confirmed on the full shingle sets, and linked classes become components.
 A star can miss a link between two members that are both far from its centre. So buckets whose members are not all in one
 component go on: in later rounds 16, 64, 256, ... further centres of a bucket meet the rest, except pairs in one
 component already, until each member of each such bucket has been a centre. A bucket of copies is
-settled by its first star; what is left are chance collisions. Pairs whose sizes or 128-bit sketches rule out the threshold
-(by over six standard deviations) are not compared. No bucket, group or number of candidates has a cap.
+settled by its first stars; what is left are chance collisions and rows at the edge of a group. Pairs whose sizes or 128-bit
+sketches rule out the threshold (by over six standard deviations) are not compared. Nor are those that a count rules out
+exactly: shingles that no other row of an open bucket has can't be common, so the rest bounds the intersection. A row at the edge of
+a group of copies has many such shingles and meets nobody. No bucket, group or number of candidates has a cap.
 """
 
 from __future__ import annotations
@@ -182,11 +184,16 @@ def link(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "text")
     open_keys = left.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
     left = materialize(left.join(open_keys, "key", "left_semi").select("key", "rep", "n", "s0", "s1", "h", "m", "star", "component"), "open")
     largest = left.agg(F.max("m")).first()[0] or 0
+    if largest:
+        own = _own_shingles(sets, left)
+        bands = classes.groupBy("rep").agg(F.min("bands").alias("bands"))
+        left = materialize(left.join(own, "rep", "left").join(bands, "rep").withColumn("shared", F.col("n") - F.coalesce("own", F.lit(0))).drop("own"), "open")
     done, upto = 0, CENTRES
     while done < largest:
         c = left.filter((F.col("h") >= done / F.col("m")) & (F.col("h") < upto / F.col("m")) & (F.col("h") > F.col("star"))).alias("c")
         r = left.filter((F.col("m") > done) & (F.col("h") > F.col("star"))).alias("r")
-        pairs = c.join(r, (F.col("c.key") == F.col("r.key")) & later & (F.col("c.component") != F.col("r.component")) & _possible("c", "r", percent))
+        pairs = c.join(r, (F.col("c.key") == F.col("r.key")) & later & (F.col("c.component") != F.col("r.component"))
+                       & _possible("c", "r", percent) & _enough_shared(percent) & _first_bucket())
         new = _confirmed(pairs.select(F.col("c.rep").alias("a"), F.col("r.rep").alias("b")), sets, percent)
         if not new.isEmpty():
             links = materialize(links.unionByName(new), "links")
@@ -202,6 +209,23 @@ def link(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "text")
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
 
 
+def _own_shingles(sets: DataFrame, left: DataFrame) -> DataFrame:
+    """(rep, own): how many shingles of a row no other row of ``left`` has."""
+    each = sets.join(left.select("rep").distinct(), "rep", "left_semi").select("rep", F.explode("set").alias("x"))
+    alone = each.groupBy("x").agg(F.count("*").alias("k"), F.min("rep").alias("rep")).filter("k = 1")
+    return alone.groupBy("rep").agg(F.count("*").alias("own"))
+
+
+def _enough_shared(percent: int) -> Column:
+    common = F.least("c.shared", "r.shared")
+    return 100 * common >= percent * (F.col("c.n") + F.col("r.n") - common)
+
+
+def _first_bucket() -> Column:
+    """A pair that shares several buckets counts in the one with the smallest key."""
+    return F.array_min(F.array_intersect("c.bands", "r.bands")) == F.col("c.key")
+
+
 def _member_sets(docs: DataFrame, members: DataFrame, size: int, text: str) -> DataFrame:
     """(rep, set) for every class in a bucket with others: its full shingle set, from the representative's text."""
     reps = members.select("rep").distinct()
