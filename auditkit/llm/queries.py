@@ -126,7 +126,21 @@ def exact_top_k(spark, sf_dir):
     return topk.search(rows.filter(F.col("id") % 20 == 0), rows)
 
 
-@query("op1_minhash_near_dedup")
+NEAR_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[\x20\x09-\x0D]+') AS ws FROM documents),
+f AS (SELECT doc_id, [x FOR x IN ws IF x <> ''] AS ws FROM w),
+s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+  ELSE list_distinct([array_to_string(ws[i:i + 3], ' ') FOR i IN range(1, len(ws) - 2)]) END AS sh FROM f),
+x AS (SELECT doc_id, unnest(sh) AS k FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM x a JOIN x b ON a.k = b.k AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM p JOIN s sa ON sa.doc_id = a JOIN s sb ON sb.doc_id = b WHERE 100 * c >= 80 * (len(sa.sh) + len(sb.sh) - c)),
+both_ AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+reach AS (SELECT doc_id AS id, doc_id AS r FROM s UNION SELECT id, b FROM reach JOIN both_ ON r = a)
+SELECT doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, min(r) AS component_id, doc_id = min(r) AS kept FROM s JOIN reach ON id = doc_id GROUP BY doc_id, sh"""
+
+
+@query("op1_minhash_near_dedup", NEAR_SQL)
 def minhash_near_dedup(spark, sf_dir):
     found = neardup.link(table(spark, sf_dir, "documents"), size=4, percent=80)
     return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
