@@ -415,7 +415,8 @@ def test_token_files(spark, tmp_path):
 
 # ---- byte-level BPE
 
-def test_byte_bpe(spark):
+@pytest.mark.parametrize("encode", [bpe.encode, bpe.encode_folded])
+def test_byte_bpe(spark, encode):
     path = tokens.public_path("byte_bpe_50k.tiktoken")
     ranks = bpe.read_ranks(path)
     whole = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -424,11 +425,11 @@ def test_byte_bpe(spark):
     rows = [(i, t) for i, t in enumerate(texts)] + [(900, None), (None, "null id"), (3, texts[3])]
     rows += [(1000 + r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").limit(150).collect()]
     docs = odd_columns(spark.createDataFrame(rows, "doc_id long, text string"))
-    done = bpe.encode(docs, path, public_tokenizers.PATTERN)
+    done = encode(docs, path, public_tokenizers.PATTERN)
     got = done.select("doc_id", "ids", bpe.decode(F.col("ids"), path).alias("b")).collect()
     assert Counter((r["doc_id"], tuple(r["ids"])) for r in got) == Counter((d, tuple(whole.encode_ordinary(t or ""))) for d, t in rows)
     assert Counter(bytes(r["b"]) for r in got) == Counter((t or "").encode() for _, t in rows)
-    assert bpe.encode(docs.limit(0), path, public_tokenizers.PATTERN).count() == 0
+    assert encode(docs.limit(0), path, public_tokenizers.PATTERN).count() == 0
 
 
 def test_heap_merges_are_the_rule():
