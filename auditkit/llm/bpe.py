@@ -1,17 +1,21 @@
-"""Byte-level BPE with Spark's higher-order functions.
+"""Byte-level BPE by a file of ranks.
 
-A task gathers documents into segments of about ``SEGMENT`` characters and lists the distinct words of each: matches
-of the split pattern, as strings of one character for each byte. A segment's row has its words, and for each document the
-numbers of its words. Everything after that is DataFrame functions inside the row, without a shuffle:
+``encode_folded`` does it with Spark's higher-order functions. A task gathers documents into segments of about ``SEGMENT``
+characters and lists the distinct words of each: matches of the split pattern, as strings of one character for each byte. A
+segment's row has its words, and for each document the numbers of its words. Everything after that is DataFrame functions inside
+the row, without a shuffle:
 
 * a fold over the bytes of a distinct word merges, again and again, the leftmost adjacent pair of lowest rank;
 * ranks come from a literal map. Spark searches a map from end to end, so it is dealt into ``SLOTS`` small maps by crc32;
 * the documents' ids are their words' ids, one after another.
 
-Decoding concatenates the byte pieces of ids, from a literal array.
-
 A word of more than ``LONG`` bytes would take a fold of that many steps over arrays of that length. Such words are merged in the task by
 the same rule with a heap, in n log n, and come with their pieces; the fold leaves them as they are.
+
+``encode`` gives the same ids from the same merges of distinct words, done in the task: higher-order functions are interpreted, and
+the fold takes about ten times the CPU time that large corpora allow for (figures in the README).
+
+``decode`` concatenates the byte pieces of ids, from a literal array.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditkit.llm.tokens import Encoder, batches
+from auditkit.llm.tokens import STORE, Encoder, batches, encoder
 
 SEGMENT, SLOTS, LONG = 8_000_000, 1 << 14, 64
 _ROW = "doc_ids array<long>, words array<struct<bytes:string,pieces:array<string>>>, numbers array<array<int>>"
@@ -90,7 +94,7 @@ def _segments(path: str, pattern: str):
             for batch in batches(frame.column(1).to_pylist()):
                 for i, text in batch:
                     cut = Encoder._chunks(text)
-                    for c in set(cut) - chunks.keys():
+                    for c in set(cut).difference(chunks):
                         chunks[c] = np.array([words.setdefault(w, len(words)) for w in find(c)], np.int32).tobytes()
                     docs.append((ids[i], b"".join(map(chunks.__getitem__, cut))))
                     size += len(text)
@@ -148,8 +152,43 @@ def fold_word(word: Column, rank: Callable[[Column], Column]) -> Column:
     return F.when(word["pieces"].isNotNull(), ready).when(whole.isNotNull(), F.array(whole)).otherwise(_let(F.split(word["bytes"], ""), fold))
 
 
+class RankEncoder(Encoder):
+    """Chunks to ids by ranks; a worker remembers the words it has merged."""
+
+    def __init__(self, path: str, pattern: str):
+        self.ranks, self.find = read_ranks(path), regex.compile(pattern).findall
+        self.ids, self.words = {}, {}
+
+    def _fresh(self, chunks: list[str]) -> list[bytes]:
+        return [b"".join(map(self._word, self.find(c))) for c in chunks]
+
+    def _word(self, word: str) -> bytes:
+        ids = self.words.get(word)
+        if ids is None:
+            ids = np.array([self.ranks[p] for p in merged(word.encode("utf-8", "surrogatepass"), self.ranks)], np.int32).tobytes()
+            if len(self.words) < STORE // 4:
+                self.words[word] = ids
+        return ids
+
+
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
     """doc_id and ids of every row's whole text, by the ranks of ``path``. A null or empty text has no ids."""
+
+    def work(frames):
+        coder = encoder(path, pattern, make=RankEncoder)
+        for frame in frames:
+            doc_ids = frame.column(0).to_pylist()
+            for batch in batches(frame.column(1).to_pylist()):
+                coded = coder.encode([t for _, t in batch])
+                ends = np.array([0, *map(len, coded)]).cumsum() // 4
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(coded), np.int32)))
+                yield pa.RecordBatch.from_arrays([pa.array([doc_ids[i] for i, _ in batch], pa.int64()), lists], names=["doc_id", "ids"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(text, F.lit("")).alias("t")).mapInArrow(work, "doc_id long, ids array<int>")
+
+
+def encode_folded(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
+    """The same as ``encode``, by a fold of higher-order functions over the distinct words of a segment."""
     segments = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(text, F.lit("")).alias("t")).mapInArrow(_segments(path, pattern), _ROW)
     rank = rank_lookup(read_ranks(path))
     by_word = F.transform("words", lambda w: fold_word(w, rank))

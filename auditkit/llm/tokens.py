@@ -11,6 +11,7 @@ import os
 import re
 import zlib
 from array import array
+from collections.abc import Callable
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -23,7 +24,7 @@ _RARE_BLANKS = [chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not
 #: A run of these after a letter or digit is a piece of its own, so such words are encoded without it.
 _TAIL = ".,;:!?&%$#*|"
 _SAFE_CUT = re.compile(r"(?<=\S)(?= )|(?<=\s)(?= \S)")
-_encoders: dict[tuple, Encoder] = {}
+_encoders: dict[object, Encoder] = {}
 
 
 def public_path(name: str) -> str:
@@ -52,8 +53,7 @@ class Encoder:
         wanted = list({k for c, core in cores.items() for k in (core, c[len(core):]) if k and k not in self.ids})
         for at in range(0, len(wanted), 20_000):
             part = wanted[at:at + 20_000]
-            for chunk, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.ids[chunk] = array("I", found.ids).tobytes()
+            self.ids.update(zip(part, self._fresh(part)))
         get = self.ids.get
         for c, core in cores.items():
             if c not in self.ids:
@@ -61,6 +61,9 @@ class Encoder:
         known = self.ids.__getitem__
         return [b"".join(map(known, chunks)) for chunks in cut]
 
+    def _fresh(self, chunks: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+
     @staticmethod
     def _core(chunk: str) -> str:
         core = chunk.rstrip(_TAIL)
@@ -76,11 +79,11 @@ class Encoder:
         return [first, *[" " + c for c in rest]] if first else [" " + c for c in rest]
 
 
-def encoder(path: str) -> Encoder:
-    """The worker's encoder for a file, loaded once."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+def encoder(*key, make: Callable[..., Encoder] = Encoder) -> Encoder:
+    """The worker's encoder for a file (and what else ``make`` takes), loaded once."""
+    if key not in _encoders:
+        _encoders[key] = make(*key)
+    return _encoders[key]
 
 
 def batches(texts, chars: int = 2_000_000):
