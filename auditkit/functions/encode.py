@@ -7,10 +7,11 @@ from itertools import chain
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from auditkit.functions.text import strip
 
 def term_months(text: Column) -> Column:
     """``" 36 months"`` as 36."""
-    return F.split(F.trim(text), " ").getItem(0).try_cast("int")
+    return F.split(strip(text), " ").getItem(0).try_cast("int")
 
 
 def ordinal(text: Column, levels: dict[str, int]) -> Column:

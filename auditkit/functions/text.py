@@ -5,6 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# The characters that count as blank at the ends of a text.
+_BLANK = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
+def strip(c: Column) -> Column:
+    """Without blanks of any kind at both ends."""
+    return F.btrim(c, F.lit(_BLANK))
+
 # Families whose one-hot columns are named <family>_<level>.
 ONE_HOT_FAMILIES = ("o_orderpriority", "c_mktsegment", "unseen")
 WAS_MISSING = "_was_missing"
@@ -112,10 +120,12 @@ _JSON_PART = r'"(?:[^"\\]|\\.)*"\s*:?|-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?'
 
 
 def json_numbers(payload: Column) -> Column:
-    """Every number in a JSON text at any depth, and every string that is spelled as one number. Keys and booleans never count."""
+    """Every number in a JSON text at any depth, and every string that is spelled as one number. Keys and booleans never count.
+
+    Null for a text that is not JSON."""
     parts = F.regexp_extract_all(payload, F.lit(_JSON_PART), F.lit(0))
     leaves = F.filter(parts, lambda p: ~p.endswith(":"))
     bare = F.transform(leaves, lambda p: F.regexp_replace(p, '^"|"$', ""))
     spelled = F.filter(F.arrays_zip(leaves.alias("leaf"), bare.alias("bare")),
                        lambda z: ~z["leaf"].startswith('"') | z["bare"].rlike(rf"^[+-]?{NUMBER}$"))
-    return F.transform(spelled, lambda z: token_value(z["bare"]))
+    return F.when(F.try_parse_json(payload).isNotNull(), F.transform(spelled, lambda z: token_value(z["bare"])))

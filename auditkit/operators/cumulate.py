@@ -1,70 +1,39 @@
 """Running sums within groups of any size.
 
-``cumulate`` is what rank AUC, exact quantiles, curves, row positions and running spend share. A plain window puts a whole
-group into one task, so a group larger than a set row count is cut into value ranges first: sums inside a range come from
-a window over (group, range), the sums of the lower ranges are added from a small table.
+``cumulate`` is what rank AUC, exact quantiles, curves, row positions and running spend share. A plain window would put a whole
+group into one task. Here rows are dealt into ranges of (keys, order), whichever group they belong to: a large
+group covers several ranges, a range holds many small groups. Sums inside a range come from a window over (group,
+range); what the group's earlier ranges add up to comes from a table with one row for each group and range.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditkit.sources.staging import materialize
 
-GROUP_ROWS = "auditkit.window.rows"
-_DEFAULT_GROUP_ROWS = 2_000_000
-_MAX_RANGES = 4_000
-
-
-def group_rows(df: DataFrame) -> int:
-    """Rows one window partition may hold before its group is cut into ranges."""
-    return int(df.sparkSession.conf.get(GROUP_ROWS, str(_DEFAULT_GROUP_ROWS)))
-
 
 def q(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
-def cumulate(df: DataFrame, keys: list[str], order: list[str], sums: list[str], staged: bool = False) -> DataFrame:
+def cumulate(df: DataFrame, keys: list[str], order: list[str], sums: list[str]) -> DataFrame:
     """Add ``<s>_before``: the sum of ``s`` over the rows of the same group that sort before this one.
 
-    ``order`` must be unique within a group and its first column numeric. ``keys`` may be empty. Set ``staged`` when ``df``
-    already reads a written table; otherwise it is written first, because it is read more than once. Keys are not null.
+    ``order`` must be unique within a group. ``keys`` may be empty. Keys are not null. The dealt rows are written once, so that
+    both the sums of ranges and the sums inside them see the same ranges.
     """
     if not keys:
         return cumulate(df.withColumn("_all", F.lit(0)), ["_all"], order, sums).drop("_all")
-    if not staged:
-        df = materialize(df, "cumulate")
-    limit = group_rows(df)
-    total = df.count()
-    if total <= limit:
-        return _window(df, keys, order, sums)
-
-    sizes = df.groupBy(*keys).agg(F.count("*").alias("_rows"))
-    parts = min(_MAX_RANGES, math.ceil(total / limit) + 1)
-    marks = [i / parts for i in range(1, parts)]
-    big = sizes.filter(F.col("_rows") > limit)
-    # At most total / limit groups are over the limit, so this table is small whatever the data size.
-    splits = df.join(F.broadcast(big), keys, "left_semi").groupBy(*keys).agg(
-        F.array_distinct(F.percentile_approx(q(order[0]), F.array(*[F.lit(m) for m in marks]), F.lit(parts * 20)))
-        .alias("_splits"))
-    cut = df.join(F.broadcast(splits), keys, "left")
-    bucket = F.coalesce(F.size(F.filter("_splits", lambda s: s < q(order[0]))), F.lit(0))
-    cut = materialize(cut.withColumn("_range", F.when(F.col("_splits").isNull(), 0).otherwise(bucket)).drop("_splits"),
-                      "ranges")
-
-    per_range = cut.groupBy(*keys, "_range").agg(*[F.sum(q(s)).alias(f"_{s}_sum") for s in sums])
+    by = [q(c) for c in dict.fromkeys([*keys, *order])]
+    dealt = materialize(df.repartitionByRange(*by).withColumn("_range", F.spark_partition_id()), "ranges")
+    per_range = dealt.groupBy(*keys, "_range").agg(*[F.sum(q(s)).alias(f"_{s}_sum") for s in sums])
     lower = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_range.select(*keys, "_range", *[
         F.coalesce(F.sum(f"_{s}_sum").over(lower), F.lit(0)).alias(f"_{s}_off") for s in sums])
-    inside = _window(cut, [*keys, "_range"], order, sums)
-    out = inside.join(offsets, [*keys, "_range"], "left")
-    for s in sums:
-        out = out.withColumn(f"{s}_before", F.col(f"{s}_before") + F.col(f"_{s}_off"))
-    return out.select(*[q(c) for c in df.columns], *[f"{s}_before" for s in sums])
+    out = _window(dealt, [*keys, "_range"], order, sums).join(offsets, [*keys, "_range"])
+    return out.select(*[q(c) for c in df.columns], *[(F.col(f"{s}_before") + F.col(f"_{s}_off")).alias(f"{s}_before") for s in sums])
 
 
 def _window(df: DataFrame, keys: list[str], order: list[str], sums: list[str]) -> DataFrame:
@@ -87,10 +56,10 @@ def quantiles(hist: DataFrame, keys: list[str], value: str, n: str, points: dict
     """
     if not keys:
         return quantiles(hist.withColumn("_all", F.lit(0)), ["_all"], value, n, points).drop("_all")
-    if not staged:
+    if not staged:  # it is read twice
         hist = materialize(hist, "hist")
     totals = hist.groupBy(*keys).agg(F.sum(n).alias("_total"))
-    cum = cumulate(hist, keys, [value], [n], staged=True)
+    cum = cumulate(hist, keys, [value], [n])
     cum = cum.join(totals, keys)
     last = F.col(f"{n}_before") + F.col(n)
 

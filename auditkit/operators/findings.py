@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from auditkit.functions.text import strip
+
 # The answer format.
 DELIMITER = "----- VERBATIM MODEL TEXT BELOW THIS LINE -----"
 START = "=== AUDIT FINDINGS ==="
@@ -17,14 +19,6 @@ CONFIDENCE = ("high", "medium", "low")
 _LINE_END = "\\r\\n|[\\n\\r\\x0B\\f\\x1C-\\x1E\\x85\\u2028\\u2029]"
 
 
-# The characters that count as blank at the ends of a text.
-_BLANK = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
-
-
-def strip(c: Column) -> Column:
-    return F.btrim(c, F.lit(_BLANK))
-
-
 def occurrences(text: Column, mark: str) -> Column:
     return ((F.length(text) - F.length(F.replace(text, F.lit(mark)))) / len(mark)).cast("int")
 

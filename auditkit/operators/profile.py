@@ -53,12 +53,12 @@ def moments(hist: DataFrame) -> DataFrame:
     return base.join(spread, ["scope", "feature"])
 
 
-def rank_auc(hist: DataFrame, keys: list[str], value: str = "value", staged: bool = False) -> DataFrame:
+def rank_auc(hist: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
     """Mann-Whitney AUC per group with average ranks for ties, not folded at 0.5.
 
     ``hist`` has (keys, value, pos, neg). One class only, or one distinct value only, gives null.
     """
-    cum = cumulate(hist, keys, [value], ["neg"], staged)
+    cum = cumulate(hist, keys, [value], ["neg"])
     won = F.col("pos") * (F.col("neg_before") + F.col("neg") / 2.0)
     p, n = F.sum("pos"), F.sum("neg")
     defined = (p > 0) & (n > 0) & (F.count("*") > 1)
@@ -86,7 +86,7 @@ def coverage(hist: DataFrame) -> DataFrame:
 
 def univariate(hist: DataFrame, train_vintages: tuple[int, ...], test: str = "test") -> DataFrame:
     """AUC per split and train vintage, point-biserial correlation and constancy on test."""
-    auc = rank_auc(hist, ["scope", "feature"], staged=True)
+    auc = rank_auc(hist, ["scope", "feature"])
     scopes = ["train", test, *[str(v) for v in train_vintages]]
     wide = auc.groupBy("feature").agg(*[
         r6(F.max(F.when(F.col("scope") == s, F.col("auc")))).alias(f"auc_{s}") for s in scopes])

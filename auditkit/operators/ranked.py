@@ -50,20 +50,21 @@ def best_trial(trials: DataFrame) -> DataFrame:
 
 
 def extreme_cases(scored: DataFrame, key: str = "row_id") -> DataFrame:
-    """(case, key, score, label): surest true positive, surest false positive, nearest to 0.5; ties by key."""
+    """(case, key, score, label): surest true positive, surest false positive, nearest to 0.5; ties by key.
+
+    A case that no row fits has no row."""
     row = F.struct(q(key), F.col("score"), F.col("label"))
 
-    def at(order: Column) -> Column:
-        return F.min_by(row, F.struct(order, q(key)))
+    def at(counts: Column, order: Column) -> Column:
+        return F.min_by(row, F.when(counts & order.isNotNull(), F.struct(order, q(key))))
 
     y = F.col("label")
     one = scored.agg(
-        at(F.when(y == 1, -F.col("score")).otherwise(F.lit(float("inf")))).alias("confident_correct"),
-        at(F.when(y == 0, -F.col("score")).otherwise(F.lit(float("inf")))).alias("confident_wrong"),
-        at(F.abs(F.col("score") - 0.5)).alias("borderline"))
+        at(y == 1, -F.col("score")).alias("confident_correct"), at(y == 0, -F.col("score")).alias("confident_wrong"),
+        at(F.lit(True), F.abs(F.col("score") - 0.5)).alias("borderline"))
     return one.select(F.inline(F.array(*[
         F.struct(F.lit(c).alias("case"), F.col(f"{c}.{key}").alias(key), F.col(f"{c}.score").alias("score"),
-                 F.col(f"{c}.label").alias("label")) for c in one.columns])))
+                 F.col(f"{c}.label").alias("label")) for c in one.columns]))).filter(q(key).isNotNull())
 
 
 def case_attributions(cases: DataFrame, long: DataFrame, n: int = 3, key: str = "row_id") -> DataFrame:

@@ -39,7 +39,7 @@ def gates(runs: DataFrame, passing: tuple[str, ...], withheld: DataFrame) -> Dat
     """
     segment = text.retrieval_segment(F.col("config_id"))
     valid = segment.isNull() | segment.isin(*passing)
-    present = canary_present(F.col("canary"), F.col("config_id"))
+    present = F.coalesce(canary_present(F.col("canary"), F.col("config_id")), F.lit(False))
     m = F.col("metric")
     reason = (F.when(~valid, "validity_precondition_failed").when(F.col("mode") != "REAL", "scope_not_real")
               .when(~m.isin(*ALL_REAL) & ~F.col("is_usable"), "scope_not_usable")
@@ -112,7 +112,7 @@ def rejected(calls: DataFrame, outcomes: tuple[str, ...]) -> DataFrame:
         F.count("*").alias("logged_calls"), F.count_if(bad).alias("rejected_calls"),
         share(F.count_if(bad), F.count("*")).alias("rate"),
         *[F.count_if(bad & (F.col("outcome") == o)).alias(o) for o in outcomes],
-        F.count_if(bad & ~F.col("outcome").isin(*outcomes)).alias("unknown_outcomes"))
+        F.count_if(bad & ~F.coalesce(F.col("outcome").isin(*outcomes), F.lit(False))).alias("unknown_outcomes"))
 
 
 def empty_results(calls: DataFrame, outcomes: tuple[str, ...]) -> DataFrame:
@@ -137,7 +137,7 @@ def repeat_counts(calls: DataFrame) -> DataFrame:
 
 def feature_breadth(calls: DataFrame, matrix_tools: tuple[str, ...]) -> DataFrame:
     """Distinct features asked for: seen in the matrix, only ever not found, or never classified."""
-    name = F.trim(F.get_json_object("arguments", "$.feature"))
+    name = text.strip(F.get_json_object("arguments", "$.feature"))
     asked = calls.withColumn("name", name).filter(F.col("name").isNotNull())
     in_tool = F.col("tool").isin(*matrix_tools)
     per = asked.groupBy("run", "name").agg(
@@ -161,7 +161,7 @@ def tokens_and_cost(runs: DataFrame, rates: DataFrame) -> DataFrame:
 
 def exposure(calls: DataFrame, results: DataFrame, name: str) -> DataFrame:
     """First result that shows a name, first call that asks for it, and the gap, for every run with calls."""
-    asked = F.trim(F.get_json_object("arguments", "$.feature")) == name
+    asked = text.strip(F.get_json_object("arguments", "$.feature")) == name
     seen = results.filter(text.has_word(F.col("content"), name)).select("run", F.col("pos").alias("e"), F.lit(None).cast("long").alias("i"))
     did = calls.select("run", F.lit(None).cast("long").alias("e"), F.when(asked, F.col("seq")).alias("i"))
     return did.unionByName(seen).groupBy("run").agg(

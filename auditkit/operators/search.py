@@ -5,10 +5,10 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from auditkit.functions.text import strip
 from auditkit.operators.columns import CheckFailed, first_by
 from auditkit.operators.cumulate import positions
 
@@ -18,8 +18,7 @@ BAND = 0.05
 SHOWN = 25
 QUERY_BYTES = "auditkit.search.query.bytes"
 _DEFAULT_QUERY_BYTES = 64 << 20
-_INLINE_QUERIES = 64
-_CELL_ROWS = 200_000
+_CELL_ROWS = 20_000
 _CELL_QUERIES = 1_024
 _PLACES = 9
 _TIER2 = 10 ** 15
@@ -36,37 +35,23 @@ def keyword_hits(docs: DataFrame, queries: DataFrame) -> DataFrame:
     ``docs`` has (pos, feature, description), ``queries`` has (query, text). Every text is scanned once. The queries are
     the small side and their size is checked; past the limit they are worked off in several passes of bounded size.
     """
-    q = queries.select("query", F.lower(F.trim("text")).alias("text")).filter(F.col("text") != "")
-    size, n = q.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).head()
+    q = queries.select("query", F.lower(strip(F.col("text"))).alias("text")).filter(F.col("text") != "")
+    size = q.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).head()[0]
     passes = max(1, math.ceil(size / _query_limit(docs)))
     out = None
     for i in range(passes):
         part = q if passes == 1 else q.filter(F.pmod(F.xxhash64("query"), F.lit(passes)) == i)
         rows = [(r["query"], r["text"]) for r in part.collect()]
         if rows:
-            hits = _scan_inline(docs, rows) if n <= _INLINE_QUERIES else _scan_automaton(docs, rows)
+            hits = _scan_automaton(docs, rows)
             out = hits if out is None else out.unionByName(hits)
     if out is None:
         raise CheckFailed("no query holds any text")
     return out
 
 
-def _scan_inline(docs: DataFrame, rows: list[tuple]) -> DataFrame:
-    """A few queries: an array literal filtered per row, inside the JVM."""
-    texts = F.array(*[F.lit(t) for _, t in rows])
-    ids = F.array(*[F.lit(i) for i, _ in rows])
-    low = docs.withColumns({"_n": F.lower("feature"), "_d": F.lower("description")})
-
-    def tier(t: Column) -> Column:
-        return F.when(F.contains(F.col("_n"), t), 1).when(F.contains(F.col("_d"), t), 2)
-
-    found = F.zip_with(ids, F.transform(texts, tier), lambda i, k: F.struct(i.alias("query"), k.alias("tier")))
-    return (low.select("pos", "feature", F.inline(F.filter(found, lambda s: s["tier"].isNotNull())))
-            .select("query", "pos", "feature", "tier"))
-
-
 def _scan_automaton(docs: DataFrame, rows: list[tuple]) -> DataFrame:
-    """Many queries: one multi-pattern automaton per task, one pass over each text."""
+    """One multi-pattern automaton per task, one pass over each text. A null name or description holds no query."""
     low = docs.select("pos", "feature", F.lower("feature").alias("n"), F.lower("description").alias("d"))
     schema = f"query {dict(docs.sparkSession.createDataFrame(rows[:1], ['q', 't']).dtypes)['q']}, pos bigint, feature string, tier int"
 
@@ -82,7 +67,7 @@ def _scan_automaton(docs: DataFrame, rows: list[tuple]) -> DataFrame:
         for pdf in batches:
             got = []
             for pos, feature, n, d in zip(pdf["pos"], pdf["feature"], pdf["n"], pdf["d"]):
-                names = {t for _, t in auto.iter(n)}
+                names = {t for _, t in auto.iter(n or "")}
                 texts = {t for _, t in auto.iter(d or "")} - names
                 got += [(i, pos, feature, tier) for tier, ts in ((1, names), (2, texts)) for t in ts for i in by_text[t]]
             import pandas as pd
@@ -128,17 +113,12 @@ def _nearest(ids, vectors, skips, names, queries, cutoffs, k):
     return out
 
 
-def _matrix(column, dim: int) -> np.ndarray:
-    return np.asarray(column.flatten(), dtype="float64").reshape(-1, dim)
-
-
 def vector_hits(docs: DataFrame, queries: DataFrame, k: int | None = TOP_K) -> DataFrame:
     """(query, vec_id, distance): the k nearest rows per query within its cutoff (all of them when ``k`` is None).
 
     ``docs`` has (vec_id, embedding, skip), where ``skip`` lists queries the row must not answer; ``queries`` has
-    (query, vector, cutoff). Tasks keep at most k rows per query of each batch, so little is shuffled. Queries up to the
-    size limit travel to every task; past it both sides are cut into a grid of bounded cells and each cell is worked off
-    on its own.
+    (query, vector, cutoff). A null vector, one with a null in it or one of another length answers and asks nothing; ``index_stats``
+    counts them. Both sides are cut into a grid of bounded cells; a cell keeps at most k rows per query.
     """
     n, dim = queries.agg(F.count("*"), F.max(F.size("vector"))).head()
     if not n:
@@ -148,32 +128,16 @@ def vector_hits(docs: DataFrame, queries: DataFrame, k: int | None = TOP_K) -> D
     schema = "query bigint, vec_id bigint, distance double"
     docs = docs.select("vec_id", "embedding", F.col("skip").cast("array<bigint>").alias("skip"))
     queries = queries.select(F.col("query").cast("long").alias("query"), "vector", "cutoff")
-    if n * dim * 8 <= _query_limit(docs):
-        rows = queries.collect()
-        names = [r["query"] for r in rows]
-        cuts = np.array([r["cutoff"] for r in rows])
-        q = np.array([r["vector"] for r in rows], dtype="float64")
-        q /= np.linalg.norm(q, axis=1, keepdims=True)
-
-        def scan(batches):
-            for b in batches:
-                hits = _nearest(b.column("vec_id").to_numpy(), _matrix(b.column("embedding"), dim), b.column("skip").to_pylist(),
-                                names, q, cuts, k)
-                cols = list(zip(*hits)) or ([], [], [])
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()),
-                                                  pa.array(cols[2], pa.float64())], ["query", "vec_id", "distance"])
-
-        hits = docs.mapInArrow(scan, schema)
-    else:
-        hits = _grid(docs, queries, n, k, schema)
+    usable = lambda v: F.col(v).isNotNull() & (F.size(v) == dim) & ~F.exists(v, lambda x: x.isNull())
+    hits = _grid(docs.filter(usable("embedding")), queries.filter(usable("vector")), n, k, schema)
     if k is None:
         return hits
     return first_by(hits, ["query"], [F.col("distance"), F.col("vec_id")], k)
 
 
 def _grid(docs: DataFrame, queries: DataFrame, n: int, k: int | None, schema: str) -> DataFrame:
-    """Many queries: every (slice of rows, slice of queries) pair is one bounded group; nothing passes the driver."""
-    across, down = math.ceil(n / _CELL_QUERIES), math.ceil(docs.count() / _CELL_ROWS)
+    """Every (slice of rows, slice of queries) pair is one bounded group; nothing passes the driver."""
+    across, down = math.ceil(n / _CELL_QUERIES), max(1, math.ceil(docs.count() / _CELL_ROWS))
     d = docs.withColumns({"_r": F.pmod(F.xxhash64("vec_id"), F.lit(down)),
                           "_c": F.explode(F.sequence(F.lit(0), F.lit(across - 1)))})
     q = queries.withColumns({"_c": F.pmod(F.xxhash64("query"), F.lit(across)).cast("int"),

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from auditkit.functions.text import strip
 
 def clean_flags(flags: DataFrame, keys: list[str] = ["run"], flag: str = "flag", pos: str = "pos") -> DataFrame:
     """Trimmed, non-empty flags once each, at the position of their first mention."""
-    t = F.trim(flag)
+    t = strip(F.col(flag) if isinstance(flag, str) else flag)
     return (flags.filter(F.col(flag).isNotNull() & (t != ""))
             .groupBy(*keys, t.alias(flag)).agg(F.min(pos).alias(pos)))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from auditkit.functions.text import strip
 from auditkit.operators.columns import first_by
 from auditkit.operators.cumulate import q
 
@@ -31,15 +32,22 @@ def tolerance_diff(returned: DataFrame, expected: DataFrame, key: str, value: st
 
 
 def ordered_diff(returned: DataFrame, expected: DataFrame, name: str) -> DataFrame:
-    """Lists by (position, name): expected entries with ``tied`` false must match in place, the tied tail as a set."""
-    head = expected.filter(~F.col("tied")).select("position", F.col(name).alias("_want"))
-    wrong = head.join(returned.select("position", F.col(name).alias("_got")), "position", "left").agg(
-        F.count_if(~F.col("_got").eqNullSafe(F.col("_want"))).alias("wrong"),
-        F.min(F.when(~F.col("_got").eqNullSafe(F.col("_want")), F.col("position"))).alias("first_wrong"))
+    """Lists by (position, name): expected entries with ``tied`` false must match in place, the tied tail as a set.
+
+    Entries past the expected end are wrong too. ``extra`` and ``missing`` compare the lists as sets of names, ``duplicates`` counts
+    names given again.
+    """
+    head = expected.select("position", "tied", F.col(name).alias("_want"))
+    both = head.join(returned.select("position", F.col(name).alias("_got")), "position", "full_outer")
+    off = F.coalesce(~F.col("tied"), F.lit(True)) & ~F.col("_got").eqNullSafe(F.col("_want"))
+    wrong = both.agg(F.count_if(off).alias("wrong"), F.min(F.when(off, F.col("position"))).alias("first_wrong"))
     tail = expected.filter("tied")
     placed = returned.join(tail.select("position"), "position", "left_semi").select(name)
-    outside = placed.exceptAll(tail.select(name)).agg(F.count("*")).scalar()
-    return wrong.withColumn("tail_outside", outside)
+    outside = placed.exceptAll(tail.select(name)).agg(F.count("*").alias("tail_outside"))
+    got = returned.groupBy(name).agg(F.count("*").alias("_n")).join(expected.select(name).distinct().withColumn("_in", F.lit(True)), name, "full_outer")
+    sets = got.agg(F.count_if(F.col("_in").isNull()).alias("extra"), F.count_if(F.col("_n").isNull()).alias("missing"),
+                   F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("duplicates"))
+    return wrong.join(outside).join(sets)  # three frames of one row
 
 
 def rule_diff(returned: DataFrame, expected: DataFrame, key: str) -> DataFrame:
@@ -80,7 +88,7 @@ def reconcile(facts: DataFrame, recorded: DataFrame, key: str = "fact") -> DataF
 def outcome(timed_out: Column, oom: Column, exit_code: Column, stdout: Column, shape_ok: Column, right: Column) -> Column:
     """The first class that applies to a run of a check."""
     return (F.when(timed_out, "timeout").when(oom, "memory_limit").when(exit_code != 0, "crashed")
-            .when(F.trim(F.coalesce(stdout, F.lit(""))) == "", "bad_output").when(F.octet_length(stdout) > MAX_STDOUT, "bad_output")
+            .when(strip(F.coalesce(stdout, F.lit(""))) == "", "bad_output").when(F.octet_length(stdout) > MAX_STDOUT, "bad_output")
             .when(~is_object(stdout), "bad_output").when(~shape_ok, "bad_output").when(~right, "wrong_answer").otherwise("pass"))
 
 
@@ -127,13 +135,13 @@ def _is(keys: Column, names: tuple[str, ...]) -> Column:
 
 def _text(v: Column, path: str) -> Column:
     """A text that is not blank."""
-    return (_kind(v, path) == '"') & (F.trim(F.try_variant_get(v, path, "string")) != "")
+    return (_kind(v, path) == '"') & (strip(F.try_variant_get(v, path, "string")) != "")
 
 
 def _parsed(df: DataFrame, text: str) -> DataFrame:
     """Adds the parsed reply once, so that the checks below do not parse it again: _v, _object, _keys."""
     return (df.withColumn("_v", sole_value(F.col(text)))
-            .withColumns({"_object": F.coalesce(_kind_of(F.col("_v")) == "{", F.lit(False)), "_keys": _keys(F.col("_v")), "_blank": F.coalesce(F.trim(text) == "", F.lit(True))}))
+            .withColumns({"_object": F.coalesce(_kind_of(F.col("_v")) == "{", F.lit(False)), "_keys": _keys(F.col("_v")), "_blank": F.coalesce(strip(q(text)) == "", F.lit(True))}))
 
 
 def detector_errors(df: DataFrame, text: str, tools: tuple[str, ...], name: str = "detector_error") -> DataFrame:

@@ -77,12 +77,12 @@ def canary_block(v):
   SELECT r.run, coalesce(canary, ends_with(config_id, '-canary')) AS present,
          CASE WHEN canary IS NULL THEN 'derived' ELSE 'field' END AS source,
          CASE WHEN c.lo = 180 AND c.hi = 180 THEN FALSE WHEN c.lo = 181 AND c.hi = 181 THEN TRUE END AS from_counts
-  FROM runs r JOIN (SELECT run, 180 + min(k % 2) AS lo, 180 + max(k % 2) AS hi FROM calls WHERE value > 150 GROUP BY run) c
+  FROM runs r LEFT JOIN (SELECT run, 180 + min(k % 2) AS lo, 180 + max(k % 2) AS hi FROM calls WHERE value > 150 GROUP BY run) c
     ON c.run = r.run""", ("runs", "calls"))
 def canary_attribution(v):
     seen = v.calls().filter("value > 150").withColumn("total_features", 180 + F.col("k") % 2)
     per = seen.groupBy("run").agg(F.min("total_features").alias("lo"), F.max("total_features").alias("hi"))
-    return v.runs().join(per, "run").select(
+    return v.runs().join(per, "run", "left").select(
         "run", runs.canary_present(F.col("canary"), F.col("config_id")).alias("present"),
         F.when(F.col("canary").isNull(), "derived").otherwise("field").alias("source"),
         scoring.canary_from_counts(F.col("lo"), F.col("hi"), 180).alias("from_counts"))

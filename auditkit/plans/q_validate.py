@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from auditkit.operators import attribution, profile, validate
 from auditkit.operators.columns import first_by
+from auditkit.operators.cumulate import positions
 from auditkit.plans.registry import query
 from auditkit.plans.sqlviews import cte
 from auditkit.sources.staging import spread
@@ -28,16 +29,18 @@ def tolerance_diff(v):
 @query("va_02_ordered_diff", """
   SELECT count(*) FILTER (NOT tied AND s.feature IS DISTINCT FROM g.feature) AS wrong,
          min(g.rank) FILTER (NOT tied AND s.feature IS DISTINCT FROM g.feature)::INTEGER AS first_wrong,
-         count(*) FILTER (tied AND s.feature NOT IN (SELECT feature FROM shap_global WHERE round(mean_abs_shap, 12) = 0)) AS tail_outside
+         count(*) FILTER (tied AND s.feature NOT IN (SELECT feature FROM shap_global WHERE round(mean_abs_shap, 12) = 0)) AS tail_outside,
+         (SELECT count(*) FROM (SELECT feature FROM shap EXCEPT SELECT feature FROM shap_global)) AS extra,
+         (SELECT count(*) FROM (SELECT feature FROM shap_global EXCEPT SELECT feature FROM shap)) AS missing, 0::BIGINT AS duplicates
   FROM (SELECT *, round(mean_abs_shap, 12) = 0 AS tied FROM shap_global) g
-  LEFT JOIN (SELECT feature, row_number() OVER (ORDER BY round(avg(shap_value), 12) DESC, feature) AS rank FROM shap GROUP BY feature) s
+  FULL JOIN (SELECT feature, row_number() OVER (ORDER BY round(avg(shap_value), 12) DESC, feature) AS rank FROM shap GROUP BY feature) s
     ON s.rank = g.rank""", ("shap_global", "shap"))
 def ordered_diff(v):
     long = v.attributions()
     want = attribution.global_ranking(long).select(F.col("rank").alias("position"), "feature",
                                                    (F.round("mean_abs_shap", 12) == 0).alias("tied"))
-    signed = long.groupBy("feature").agg(F.avg("shap_value").alias("m")).withColumn("_all", F.lit(1))
-    got = first_by(signed, ["_all"], [F.round("m", 12).desc(), F.col("feature")], 10_000, "position").select("position", "feature")
+    signed = long.groupBy("feature").agg((-F.round(F.avg("shap_value"), 12)).alias("down"))
+    got = positions(signed, [], ["down", "feature"], "position").select(F.col("position").cast("int").alias("position"), "feature")
     return validate.ordered_diff(got, want, "feature")
 
 

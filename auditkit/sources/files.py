@@ -101,8 +101,18 @@ def read_runs(spark: SparkSession, root: str, layout: dict[str, str] | None = No
 
 
 # ---------------------------------------------------------------- upsert, manifests
-def upsert(base: DataFrame, updates: DataFrame, key: str) -> DataFrame:
-    """New rows replace rows of the same key and never duplicate them."""
+def upsert(base: DataFrame, updates: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """New rows replace rows of the same key and never duplicate them.
+
+    ``order`` names a column of the batch that tells which of its rows for one key is the last; without it, two
+    different rows for one key are an error.
+    """
+    rows = updates.groupBy(key).agg(*([F.max_by(F.struct(*updates.columns), order).alias("r")] if order else
+                                      [F.max(F.struct(*updates.columns)).alias("r"), F.min(F.struct(*updates.columns)).alias("other")]))
+    if not order:
+        clash = F.raise_error(F.concat(F.lit("two rows of a batch for key "), F.col(key).cast("string")))
+        rows = rows.withColumn("r", F.when(F.col("r").eqNullSafe(F.col("other")), F.col("r")).otherwise(clash))
+    updates = rows.select("r.*")
     return base.join(updates.select(key), key, "left_anti").unionByName(updates)
 
 

@@ -7,6 +7,8 @@ and has a row count that costs only a footer read.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -27,9 +29,19 @@ def shared_dir(spark: SparkSession) -> str:
         raise ValueError(f"{_SHARED_DIR} is not set; intermediates need shared storage on a cluster")
     if app not in _local_dirs:
         _local_dirs[app] = tempfile.mkdtemp(prefix="spark-auditkit-")
+        atexit.register(shutil.rmtree, _local_dirs[app], ignore_errors=True)
     return _local_dirs[app]
 
 
+def drop_intermediates(spark: SparkSession) -> None:
+    """Deletes all that this application has written for itself. Frames built on it can't be read any more."""
+    jvm, where = spark.sparkContext._jvm, shared_dir(spark)
+    path = jvm.org.apache.hadoop.fs.Path(where)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    for key in [k for k in _kept if k[0] == spark.sparkContext.applicationId]:
+        del _kept[key]
+
+
 def spread(df: DataFrame) -> DataFrame:
     """A scan with fewer tasks than cores, dealt out to all cores, for work that is heavy per row. Large inputs pass unchanged."""
     cores = df.sparkSession.sparkContext.defaultParallelism

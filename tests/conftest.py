@@ -12,11 +12,3 @@ def spark():
     from auditkit.session import local_session
     return local_session("8", "tests")
 
-
-@pytest.fixture
-def small_groups(spark):
-    """Groups of more than a few rows count as too large for one task."""
-    from auditkit.operators.cumulate import GROUP_ROWS
-    spark.conf.set(GROUP_ROWS, "20")
-    yield
-    spark.conf.unset(GROUP_ROWS)

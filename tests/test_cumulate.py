@@ -22,7 +22,7 @@ def frame(spark, data):
 
 
 @pytest.mark.parametrize("keys", [["k"], []])
-def test_cumulate_large_groups(spark, small_groups, keys):
+def test_cumulate_large_groups(spark, keys):
     df = frame(spark, rows())
     df = df if keys else df.groupBy("v").agg(F.sum("n").alias("n"))
     got = {(r["k"] if keys else "", r["v"]): r["n_before"] for r in cumulate(df, keys, ["v"], ["n"]).collect()}
@@ -33,14 +33,16 @@ def test_cumulate_large_groups(spark, small_groups, keys):
         seen[k] = seen.get(k, 0) + r["n"]
 
 
-def test_small_and_large_paths_agree(spark, small_groups):
-    df = frame(spark, rows(seed=2))
-    large = sorted(map(tuple, cumulate(df, ["k"], ["v"], ["n"]).collect()))
-    spark.conf.set("auditkit.window.rows", "1000000")
-    assert large == sorted(map(tuple, cumulate(df, ["k"], ["v"], ["n"]).collect()))
+def test_one_hot_group_covers_many_ranges(spark):
+    """No task gets a whole large group, and nothing is broadcast that grows with it."""
+    df = spark.range(20_000).select(F.lit("hot").alias("k"), F.col("id").cast("double").alias("v"), F.lit(1).cast("long").alias("n"))
+    out = cumulate(df, ["k"], ["v"], ["n"])
+    assert out.filter("n_before <> v").count() == 0
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "_range" in plan and "percentile" not in plan
 
 
-def test_positions(spark, small_groups):
+def test_positions(spark):
     df = spark.createDataFrame([("hot" if i % 3 else "b", i) for i in range(300)], "run string, event_id long")
     got = positions(df, ["run"], ["event_id"], "seq").collect()
     for run in ("hot", "b"):
@@ -48,7 +50,7 @@ def test_positions(spark, small_groups):
         assert ordered == list(range(1, len(ordered) + 1))
 
 
-def test_quantiles(spark, small_groups):
+def test_quantiles(spark):
     data = rows(seed=3)
     got = {r["k"]: r for r in quantiles(frame(spark, data), ["k"], "v", "n", {"lo": 0.01, "mid": 0.5, "hi": 0.95}).collect()}
     for k in {d[0] for d in data}:
@@ -57,7 +59,7 @@ def test_quantiles(spark, small_groups):
             assert got[k][name] == pytest.approx(np.quantile(values, p))
 
 
-def test_auc_by_pairs(spark, small_groups):
+def test_auc_by_pairs(spark):
     rng = random.Random(4)
     pts = [(rng.randint(0, 60) / 10, rng.randint(0, 1)) for _ in range(300)]
     df = spark.createDataFrame([("g", s, y) for s, y in pts], "g string, score double, label int")
@@ -77,7 +79,7 @@ def test_reversed_feature_is_not_folded(spark):
     assert rank_auc(df, ["k"]).head()["auc"] == 0.0
 
 
-def test_average_precision_and_curve(spark, small_groups):
+def test_average_precision_and_curve(spark):
     rng = random.Random(5)
     pts = [(rng.randint(0, 80) / 10, rng.randint(0, 1)) for _ in range(200)]
     df = spark.createDataFrame(pts, "score double, label int")

@@ -101,14 +101,14 @@ def test_sample_is_seeded_and_whole(spark):
     assert ranked.seeded_sample(df, "k", 1, 5000).count() == 1000
 
 
-def test_sheet_positions(spark, small_groups):
+def test_sheet_positions(spark):
     items = spark.range(200).select(F.col("id").alias("item"), (F.col("id") * 2).alias("reply"))
     got = ranked.review_sheet(items, "item", 9).orderBy("position").collect()
     assert [r["position"] for r in got] == list(range(1, 201)) and "item" not in got[0].asDict()
     assert [r["reply"] for r in got] != sorted(r["reply"] for r in got)
 
 
-def test_spend_refuses_at_the_cap(spark, small_groups):
+def test_spend_refuses_at_the_cap(spark):
     usage = spark.createDataFrame([(i, "m", 100_000, 0, 0, 10_000, 1000) for i in range(100)],
                                   "id long, model string, input long, cache_creation long, cache_read long, output long, max_tokens long")
     rates = spark.createDataFrame([("m", 2.0, 2.5, 0.2, 10.0)],
@@ -219,7 +219,7 @@ def test_ordered_diff_takes_the_tail_as_a_set(spark):
     want = spark.createDataFrame([(1, "a", False), (2, "b", False), (3, "c", True), (4, "d", True)], "position int, f string, tied boolean")
     for order, result in (("abdc", (0, None, 0)), ("bacd", (2, 1, 0)), ("acbd", (1, 2, 1))):
         got = spark.createDataFrame([(i, x) for i, x in enumerate(order, 1)], "position int, f string")
-        assert tuple(validate.ordered_diff(got, want, "f").head()) == result
+        assert tuple(validate.ordered_diff(got, want, "f").head())[:3] == result
 
 
 def top(spark, rows):
