@@ -4,17 +4,17 @@
 each bin keeps its smallest hash. An empty bin borrows from the first filled one in an order of its own, drawn
 at random but the same for all documents (optimal densification). ``BANDS`` groups of bins give bucket keys.
 
-Documents with equal sets are one class and go on as their smallest doc_id. Inside a bucket, candidates are a star: the
-member with the smallest random priority against all others, so a bucket of m members has m - 1 pairs. Links are
-confirmed on the full shingle sets, and linked classes become components.
+Documents with equal sets are one class and go on as their smallest doc_id. Inside a bucket, candidates are a star: a centre
+against all others, so a bucket of m members has m - 1 pairs. The centre is the member with the smallest share of shingles
+that no other candidate has, since that is the one nearest to what a group was copied from. Links are confirmed on the full
+shingle sets, and linked classes become components.
 
 A star can miss a link between two members that are both far from its centre. So buckets whose members are not all in one
 component go on: in later rounds 16, 64, 256, ... further centres of a bucket meet the rest, except pairs in one
-component already, until each member of each such bucket has been a centre. A bucket of copies is
-settled by its first stars; what is left are chance collisions and rows at the edge of a group. Pairs whose sizes or 128-bit
-sketches rule out the threshold (by over six standard deviations) are not compared. Nor are those that a count rules out
-exactly: shingles that no other row of an open bucket has can't be common, so the rest bounds the intersection. A row at the edge of
-a group of copies has many such shingles and meets nobody. No bucket, group or number of candidates has a cap.
+component already, until each member of each such bucket has been a centre. Never compared are pairs that sizes rule out, or
+128-bit sketches (by over six standard deviations), or a count does exactly: shingles that no other candidate has can't be
+common, so the others bound the intersection. A row at the edge of a group of copies has many such shingles and meets nobody, so
+a group of copies is settled by its stars. No bucket, group or number of candidates has a cap.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ BINS, BANDS = 128, 32
 ROWS = BINS // BANDS
 #: Centres of a bucket in the first round after the star, and how that number grows.
 CENTRES, GROWTH = 16, 4
-_WORDS_KEPT = 1 << 19
+_WORDS_KEPT = 1 << 17
 
 _LONG = T.LongType()
 SKETCH = T.StructType([T.StructField("n", _LONG), T.StructField("k0", _LONG), T.StructField("k1", _LONG),
@@ -147,13 +147,14 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _possible(c: str, r: str, percent: int) -> Column:
-    """Whether sizes and sketches allow ``percent`` similarity. At 80 % a sketch agrees in 115 of 128 bits, give or take 3.4."""
+    """Whether sizes, shared shingles and sketches allow ``percent`` similarity. At 80 % a sketch agrees in 115 of 128 bits, give or take 3.4."""
     s = percent / 100
     least = int(BINS * (1 + s) / 2 - 6.5 * (BINS * (1 - s * s)) ** 0.5 / 2)
     x = lambda side, name: F.col(f"{side}.{name}")
     size = F.least(x(c, "n"), x(r, "n")) * 100 >= F.greatest(x(c, "n"), x(r, "n")) * percent
     differ = sum((F.bit_count(x(c, k).bitwiseXOR(x(r, k))) for k in ("s0", "s1")), F.lit(0))
-    return size & (BINS - differ >= least)
+    common = F.least(x(c, "shared"), x(r, "shared"))
+    return size & (100 * common >= percent * (x(c, "n") + x(r, "n") - common)) & (BINS - differ >= least)
 
 
 def link(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "text") -> DataFrame:
@@ -168,32 +169,32 @@ def link(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "text")
     classes = materialize(has.groupBy("n", "k0", "k1").agg(F.min("doc_id").alias("rep"), F.min(F.struct("bands", "s0", "s1")).alias("x"))
                           .select("n", "k0", "k1", "rep", "x.*"), "classes")
 
-    priority = (F.xxhash64("rep", "key") / F.lit(2.0**63) + 1) / 2
-    rows = classes.select("rep", "n", "s0", "s1", F.explode("bands").alias("key")).withColumn("h", priority)
-    buckets = rows.groupBy("key").agg(F.count("*").alias("m"), F.min("h").alias("star")).filter("m > 1")
-    members = materialize(rows.join(buckets, "key"), "members")
-    sets = _member_sets(docs, members, size, text)
+    lot = (F.xxhash64("rep", "key") / F.lit(2.0**63 * 1.0000001) + 1) / 2
+    rows = classes.select("rep", "n", "s0", "s1", F.explode("bands").alias("key"))
+    shared = rows.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1")
+    met = materialize(rows.join(shared, "key"), "met")
+    sets = _member_sets(docs, met, size, text)
+    own = F.coalesce("own", F.lit(0))
+    met = met.join(_own_shingles(sets), "rep", "left").withColumns({"h": lot, "shared": F.col("n") - own, "q": F.floor(1000 * own / F.col("n")) + lot}).drop("own")
+    members = materialize(met.join(met.groupBy("key").agg(F.min("q").alias("star")), "key"), "members")
 
-    later = F.struct("c.h", "c.rep") < F.struct("r.h", "r.rep")
-    star = members.filter("h = star").alias("c").join(members.alias("r"), (F.col("c.key") == F.col("r.key")) & later & _possible("c", "r", percent))
+    star = members.filter("q = star").alias("c").join(members.filter("q > star").alias("r"), (F.col("c.key") == F.col("r.key")) & _possible("c", "r", percent))
     links = _confirmed(star.select(F.col("c.rep").alias("a"), F.col("r.rep").alias("b")), sets, percent)
     found = components(links)
 
     # Buckets of three or more that still hold several components.
     left = members.filter("m > 2").join(found.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     open_keys = left.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
-    left = materialize(left.join(open_keys, "key", "left_semi").select("key", "rep", "n", "s0", "s1", "h", "m", "star", "component"), "open")
+    bands = classes.groupBy("rep").agg(F.min("bands").alias("bands"))
+    left = materialize(left.join(open_keys, "key", "left_semi").filter("q > star").join(bands, "rep"), "open")
     largest = left.agg(F.max("m")).first()[0] or 0
-    if largest:
-        own = _own_shingles(sets, left)
-        bands = classes.groupBy("rep").agg(F.min("bands").alias("bands"))
-        left = materialize(left.join(own, "rep", "left").join(bands, "rep").withColumn("shared", F.col("n") - F.coalesce("own", F.lit(0))).drop("own"), "open")
     done, upto = 0, CENTRES
     while done < largest:
-        c = left.filter((F.col("h") >= done / F.col("m")) & (F.col("h") < upto / F.col("m")) & (F.col("h") > F.col("star"))).alias("c")
-        r = left.filter((F.col("m") > done) & (F.col("h") > F.col("star"))).alias("r")
+        c = left.filter((F.col("h") >= done / F.col("m")) & (F.col("h") < upto / F.col("m"))).alias("c")
+        r = left.filter(F.col("m") > done).alias("r")
+        later = F.struct("c.h", "c.rep") < F.struct("r.h", "r.rep")
         pairs = c.join(r, (F.col("c.key") == F.col("r.key")) & later & (F.col("c.component") != F.col("r.component"))
-                       & _possible("c", "r", percent) & _enough_shared(percent) & _first_bucket())
+                       & _possible("c", "r", percent) & _first_bucket())
         new = _confirmed(pairs.select(F.col("c.rep").alias("a"), F.col("r.rep").alias("b")), sets, percent)
         if not new.isEmpty():
             links = materialize(links.unionByName(new), "links")
@@ -209,18 +210,12 @@ def link(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "text")
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
 
 
-def _own_shingles(sets: DataFrame, left: DataFrame) -> DataFrame:
-    """(rep, own): how many shingles of a row no other row of ``left`` has."""
-    each = sets.join(left.select("rep").distinct(), "rep", "left_semi").select("rep", F.explode("set").alias("x"))
-    alone = each.groupBy("x").agg(F.count("*").alias("k"), F.min("rep").alias("rep")).filter("k = 1")
+def _own_shingles(sets: DataFrame) -> DataFrame:
+    """(rep, own): how many shingles of a row no other row of ``sets`` has."""
+    alone = sets.select("rep", F.explode("set").alias("x")).groupBy("x").agg(F.count("*").alias("k"), F.min("rep").alias("rep")).filter("k = 1")
     return alone.groupBy("rep").agg(F.count("*").alias("own"))
 
 
-def _enough_shared(percent: int) -> Column:
-    common = F.least("c.shared", "r.shared")
-    return 100 * common >= percent * (F.col("c.n") + F.col("r.n") - common)
-
-
 def _first_bucket() -> Column:
     """A pair that shares several buckets counts in the one with the smallest key."""
     return F.array_min(F.array_intersect("c.bands", "r.bands")) == F.col("c.key")
