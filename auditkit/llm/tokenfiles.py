@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from auditkit.llm import coder, tokens
+from auditkit.sources.staging import materialize
 
 SEGMENT = 1 << 21
 FILE = "part int, segment int, doc_ids array<long>, lengths array<int>, blocks array<binary>"
@@ -45,7 +46,7 @@ def write_ids(docs: DataFrame, folder: str, path: str, end_id: int, text: str =
         end = array("I", [end_id]).tobytes()
         for frame in frames:
             doc_ids = frame.column(0).to_pylist()
-            for batch in tokens.batches(frame.column(1).to_pylist()):
+            for batch in tokens.batches(t.as_py() for t in frame.column(1)):
                 for (i, _), coded in zip(batch, tokens.encoder(path).encode([t for _, t in batch])):
                     coded += end
                     if held and size + len(coded) // 4 > SEGMENT:
@@ -85,5 +86,6 @@ def read_ids(spark: SparkSession, folder: str) -> DataFrame:
     parts = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
     within = F.sum("n").over(Window.partitionBy("part").orderBy("segment")) - F.col("n")
     starts = sizes.select("part", "segment", within.alias("within")).join(parts, "part").select("part", "segment", (F.col("before") + F.col("within")).alias("before"))
+    starts = materialize(starts, "starts")  # a row for each segment, so that its size is known to the join
     docs = files.mapInArrow(work, READ)
     return docs.join(starts, ["part", "segment"]).select("doc_id", (F.col("before") + F.col("local")).alias("start"), "n_tokens", "ids")
