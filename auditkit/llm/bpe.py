@@ -91,7 +91,7 @@ def _segments(path: str, pattern: str):
         docs, words, chunks, size = [], {}, {}, 0
         for frame in frames:
             ids = frame.column(0).to_pylist()
-            for batch in batches(frame.column(1).to_pylist()):
+            for batch in batches(t.as_py() for t in frame.column(1)):
                 for i, text in batch:
                     cut = Encoder._chunks(text)
                     for c in set(cut).difference(chunks):
@@ -157,7 +157,7 @@ class RankEncoder(Encoder):
 
     def __init__(self, path: str, pattern: str):
         self.ranks, self.find = read_ranks(path), regex.compile(pattern).findall
-        self.ids, self.words = {}, {}
+        self.ids, self.words, self.caseless = {}, {}, False
 
     def _fresh(self, chunks: list[str]) -> list[bytes]:
         return [b"".join(map(self._word, self.find(c))) for c in chunks]
@@ -178,7 +178,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text") -> Data
         coder = encoder(path, pattern, make=RankEncoder)
         for frame in frames:
             doc_ids = frame.column(0).to_pylist()
-            for batch in batches(frame.column(1).to_pylist()):
+            for batch in batches(t.as_py() for t in frame.column(1)):
                 coded = coder.encode([t for _, t in batch])
                 ends = np.array([0, *map(len, coded)]).cumsum() // 4
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(coded), np.int32)))

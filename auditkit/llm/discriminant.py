@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from auditkit.llm import tokens
 from auditkit.llm.rules import class_counts
 
 NAMES = ("words", "word_length", "upper", "digits", "punctuation", "symbols", "same_as_next", "distinct", "wordless", "line_words")
@@ -43,6 +44,7 @@ def text_features(text: str | None) -> list[float]:
 
 @F.arrow_udf(T.ArrayType(T.DoubleType()))
 def features(texts: pa.Array) -> pa.Array:
+    tokens.forget()
     return pa.array([text_features(t.as_py()) for t in texts], pa.list_(pa.float64()))
 
 

@@ -41,8 +41,8 @@ def cut(docs: DataFrame, path: str, end_id: int = 1, size: int = SIZE, text: str
         seen: dict[int, int] = {}
         task, end, width = TaskContext.get().partitionId(), array("I", [end_id]).tobytes(), 4 * size
         for frame in frames:
-            ids, texts = frame.column(0).to_pylist(), frame.column(1).to_pylist()
-            for part in tokens.batches(texts):
+            ids = frame.column(0).to_pylist()
+            for part in tokens.batches(t.as_py() for t in frame.column(1)):
                 rows = []
                 for (i, _), coded in zip(part, tokens.encoder(path).encode([t for _, t in part])):
                     coded += end

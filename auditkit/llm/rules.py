@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from auditkit.llm import tokens
 from auditkit.sources.staging import materialize
 
 MIN_WORDS, MIN_REFERENCE = 50, 5_000
@@ -98,10 +99,14 @@ _COMMON_BYTES = [w.encode() for w in COMMON]
 
 @F.arrow_udf(MEASURES)
 def measure(texts: pa.Array) -> pa.Array:
-    rows = [measure_text(t.as_py()) for t in texts]
+    tokens.forget()
     kinds = [pa.int64()] * 5 + [pa.list_(pa.int64())] * 2
-    columns = list(zip(*rows)) or [()] * len(_NAMES)
-    return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], _NAMES)
+    parts = []
+    for at in range(0, max(len(texts), 1), 500):  # a few rows of Python numbers at a time
+        rows = [measure_text(t.as_py()) for t in texts[at:at + 500]]
+        columns = list(zip(*rows)) or [()] * len(_NAMES)
+        parts.append(pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], _NAMES))
+    return pa.concat_arrays(parts)
 
 
 def _sums(prefix: str, size: int) -> list[Column]:

@@ -1,8 +1,8 @@
 """Encoding whole texts with a tokenizer file, fast.
 
-Both vocabularies in use split a text into pieces before any merge, and a piece never crosses a blank that follows a
-non-blank. So a text may be cut there and its chunks encoded apart: the ids are those of the whole text. Chunks repeat,
-so every worker keeps the ids of those it has met; a full store is emptied, which costs time only.
+Both vocabularies in use split a text into pieces before any merge. A piece never goes on into a space or line feed that follows a
+non-blank, and a line feed between non-blanks is a piece, so a text may be cut there and its chunks encoded apart: the ids are those of the whole text. Chunks repeat,
+so every worker keeps the ids of those it has met; a full store loses its older half, which costs time only.
 """
 
 from __future__ import annotations
@@ -12,18 +12,18 @@ import re
 import zlib
 from array import array
 from collections.abc import Callable
+from itertools import islice
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Chunks that a worker remembers at most.
 STORE = 1 << 19
-#: A cut before a space is wrong only between blanks: there the merged piece is all blanks but the last.
-_DELICATE = re.compile(r"\s \s|\s \Z")
-#: Blanks other than space and line feed, as Python sees them. Without these, every delicate place has one of two pairs.
-_RARE_BLANKS = [chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n"]
+#: Where blanks meet, the last of them goes with what follows and the others are one piece. Without these pairs and with no blanks but
+#: space and line feed (as Python sees blanks), no blanks meet.
+_DELICATE_PAIRS = ["  ", "\n ", " \n", "\n\n", *(chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n")]
 #: A run of these after a letter or digit is a piece of its own, so such words are encoded without it.
 _TAIL = ".,;:!?&%$#*|"
-_SAFE_CUT = re.compile(r"(?<=\S)(?= )|(?<=\s)(?= \S)")
+_SAFE_CUT = re.compile(r"(?<=\S)(?=[ \n])|(?<=\s)(?= \S)|(?<=\S\n)(?=\S)")
 _encoders: dict[object, Encoder] = {}
 
 
@@ -42,22 +42,24 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.ids: dict[str, bytes] = {}
+        self.caseless = self.tokenizer.encode("Ab", add_special_tokens=False).ids == self.tokenizer.encode("aB", add_special_tokens=False).ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [self._chunks(t) for t in texts]
         missing = set().union(*cut).difference(self.ids)
         if len(self.ids) + len(missing) > STORE:
-            self.ids = {}
-            missing = set().union(*cut)
+            self.ids = dict(islice(self.ids.items(), len(self.ids) // 2, None))  # the younger half stays
+            missing = set().union(*cut).difference(self.ids)
         cores = {c: self._core(c) for c in missing}
-        wanted = list({k for c, core in cores.items() for k in (core, c[len(core):]) if k and k not in self.ids})
+        keys = {k: k.lower() if self.caseless and k.isascii() else k for c, core in cores.items() for k in (core, c[len(core):]) if k}
+        wanted = list(set(keys.values()).difference(self.ids))
         for at in range(0, len(wanted), 20_000):
             part = wanted[at:at + 20_000]
             self.ids.update(zip(part, self._fresh(part)))
-        get = self.ids.get
+        get = self.ids.__getitem__
         for c, core in cores.items():
-            if c not in self.ids:
-                self.ids[c] = get(core, b"") + get(c[len(core):], b"")
+            tail = c[len(core):]
+            self.ids[c] = get(keys[core]) + get(keys[tail]) if tail else get(keys[core])
         known = self.ids.__getitem__
         return [b"".join(map(known, chunks)) for chunks in cut]
 
@@ -71,12 +73,17 @@ class Encoder:
 
     @staticmethod
     def _chunks(text: str) -> list[str]:
-        plain = "  " not in text and "\n " not in text and not any(b in text for b in _RARE_BLANKS)
-        if not plain and _DELICATE.search(text):
+        if any(b in text for b in _DELICATE_PAIRS):
             return [c for c in _SAFE_CUT.split(text) if c]
-        # Equal to cutting before every space, at the speed of str.split.
-        first, *rest = text.split(" ")
-        return [first, *[" " + c for c in rest]] if first else [" " + c for c in rest]
+        # Equal to cutting before every space and around every line feed, at the speed of str.split.
+        chunks = []
+        for line in text.split("\n"):
+            first, *rest = line.split(" ")
+            if first:
+                chunks.append(first)
+            chunks += [" " + c for c in rest]
+            chunks.append("\n")
+        return chunks[:-1]
 
 
 def encoder(*key, make: Callable[..., Encoder] = Encoder) -> Encoder:
@@ -86,7 +93,12 @@ def encoder(*key, make: Callable[..., Encoder] = Encoder) -> Encoder:
     return _encoders[key]
 
 
-def batches(texts, chars: int = 2_000_000):
+def forget() -> None:
+    """Frees what this worker remembers. Workers outlive a stage: one that goes on to other work has no use for old chunks."""
+    _encoders.clear()
+
+
+def batches(texts, chars: int = 500_000):
     """Lists of (index, text) with about ``chars`` characters each; a longer text goes alone. Bounds what is in work at once."""
     part, size = [], 0
     for i, t in enumerate(texts):
