@@ -13,8 +13,8 @@ A star can miss a link between two members that are both far from its centre. So
 component go on: in later rounds 16, 64, 256, ... further centres of a bucket meet the rest, except pairs in one
 component already, until each member of each such bucket has been a centre. Never compared are pairs that sizes rule out, or
 128-bit sketches (by over six standard deviations), or a count does exactly: shingles that no other candidate has can't be
-common, so the others bound the intersection. A row at the edge of a group of copies has many such shingles and meets nobody, so
-a group of copies is settled by its stars. No bucket, group or number of candidates has a cap.
+common, so the others bound the intersection; and in the later rounds, each bit that a set's bitmap has and the other's lacks is a shingle
+that they don't share. So rows at the edge of a group of copies meet few others. No bucket, group or number of candidates has a cap.
 """
 
 from __future__ import annotations
@@ -26,10 +26,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from auditkit.llm import tokens
 from auditkit.sources.staging import materialize
 
 BINS, BANDS = 128, 32
 ROWS = BINS // BANDS
+#: Bits of the bitmap of a set. It bounds an intersection exactly at any size, best for sets of fewer shingles.
+BITS = 2048
 #: Centres of a bucket in the first round after the star, and how that number grows.
 CENTRES, GROWTH = 16, 4
 _WORDS_KEPT = 1 << 17
@@ -101,6 +104,7 @@ def sketch(hashes: np.ndarray) -> tuple:
 def sketches(text: Column, size: int) -> Column:
     @F.arrow_udf(SKETCH)
     def run(texts: pa.Array) -> pa.Array:
+        tokens.forget()
         columns = list(zip(*[sketch(shingles(t.as_py(), size)) for t in texts])) or [()] * 6
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.int64()]
         return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], SKETCH.names)
@@ -116,6 +120,16 @@ def full_sets(text: Column, size: int) -> Column:
     return run(text)
 
 
+@F.arrow_udf(T.ArrayType(_LONG))
+def bitmaps(sets: pa.Array) -> pa.Array:
+    rows = []
+    for s in sets:
+        bits = np.zeros(BITS, np.uint8)
+        bits[s.values.to_numpy().view(np.uint64) % np.uint64(BITS)] = 1
+        rows.append(np.packbits(bits).view(np.int64))
+    return pa.array(rows, pa.list_(pa.int64()))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) for every id in ``edges`` (a, b): the smallest id that it is connected with.
 
@@ -186,7 +200,9 @@ def link(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "text")
     left = members.filter("m > 2").join(found.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     open_keys = left.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
     bands = classes.groupBy("rep").agg(F.min("bands").alias("bands"))
-    left = materialize(left.join(open_keys, "key", "left_semi").filter("q > star").join(bands, "rep"), "open")
+    left = materialize(left.join(open_keys, "key", "left_semi").filter("q > star"), "open")
+    bits = materialize(sets.join(left.select("rep").distinct(), "rep", "left_semi").select("rep", bitmaps(F.col("set")).alias("bits")), "bits")
+    left = materialize(left.join(bands, "rep").join(bits, "rep"), "open")
     largest = left.agg(F.max("m")).first()[0] or 0
     done, upto = 0, CENTRES
     while done < largest:
@@ -194,7 +210,7 @@ def link(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "text")
         r = left.filter(F.col("m") > done).alias("r")
         later = F.struct("c.h", "c.rep") < F.struct("r.h", "r.rep")
         pairs = c.join(r, (F.col("c.key") == F.col("r.key")) & later & (F.col("c.component") != F.col("r.component"))
-                       & _possible("c", "r", percent) & _first_bucket())
+                       & _possible("c", "r", percent) & _first_bucket() & _bits_allow(percent))
         new = _confirmed(pairs.select(F.col("c.rep").alias("a"), F.col("r.rep").alias("b")), sets, percent)
         if not new.isEmpty():
             links = materialize(links.unionByName(new), "links")
@@ -216,6 +232,14 @@ def _own_shingles(sets: DataFrame) -> DataFrame:
     return alone.groupBy("rep").agg(F.count("*").alias("own"))
 
 
+def _bits_allow(percent: int) -> Column:
+    """Whether the shingles that one bitmap shows and the other lacks leave enough for the intersection."""
+    lacks = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseAND(F.bitwise_not(y)))), F.lit(0), lambda s, x: s + x)
+    c, r = F.col("c.bits"), F.col("r.bits")
+    common = F.least(F.col("c.n") - lacks(c, r), F.col("r.n") - lacks(r, c))
+    return 100 * common >= percent * (F.col("c.n") + F.col("r.n") - common)
+
+
 def _first_bucket() -> Column:
     """A pair that shares several buckets counts in the one with the smallest key."""
     return F.array_min(F.array_intersect("c.bands", "r.bands")) == F.col("c.key")
