@@ -19,10 +19,12 @@ that they don't share. So rows at the edge of a group of copies meet few others.
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -56,6 +58,18 @@ _BAND_SALT = mix(np.arange(1, BANDS + 1, dtype=np.uint64))
 _ODD = mix(np.arange(101, 133, dtype=np.uint64)) | np.uint64(1)
 
 
+@contextmanager
+def _small_batches(spark: SparkSession, rows: int = 500):
+    """Whole texts and their shingle sets pass between Spark and Python by at most ``rows`` at once; the setting is put back."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, min(rows, int(before)) if int(before) > 0 else rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 class _WordHashes(dict):
     def __missing__(self, word):
         if len(self) >= _WORDS_KEPT:
@@ -178,7 +192,8 @@ def link(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "text")
     nothing. Rows without doc_id are linked with nothing either, as they cannot be named: their component_id is null. Repeated rows
     are rows of one component; should one doc_id stand for different texts, its texts are linked."""
     ids = F.col("doc_id").cast("long")
-    seen = materialize(docs.select(ids.alias("doc_id"), sketches(F.col(text), size).alias("k")).select("doc_id", "k.*"), "sketches")
+    with _small_batches(docs.sparkSession):
+        seen = materialize(docs.select(ids.alias("doc_id"), sketches(F.col(text), size).alias("k")).select("doc_id", "k.*"), "sketches")
     has = seen.filter("n > 0 and doc_id is not null")
     classes = materialize(has.groupBy("n", "k0", "k1").agg(F.min("doc_id").alias("rep"), F.min(F.struct("bands", "s0", "s1")).alias("x"))
                           .select("n", "k0", "k1", "rep", "x.*"), "classes")
@@ -249,7 +264,8 @@ def _member_sets(docs: DataFrame, members: DataFrame, size: int, text: str) -> D
     """(rep, set) for every class in a bucket with others: its full shingle set, from the representative's text."""
     reps = members.select("rep").distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col(text).alias("t")).join(reps, "rep", "left_semi")
-    return materialize(texts.select("rep", full_sets(F.col("t"), size).alias("set")).dropDuplicates(["rep"]), "sets")
+    with _small_batches(docs.sparkSession):
+        return materialize(texts.select("rep", full_sets(F.col("t"), size).alias("set")).dropDuplicates(["rep"]), "sets")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
