@@ -5,13 +5,16 @@ class and its words among a fixed list of common words. ``language_references``
 documents of a language. ``judge`` compares: a document fails when the Jensen-Shannon distance of its character classes
 or of its common words to the reference of its language is above a limit.
 
-Guards: a text under ``MIN_WORDS`` words has no distances (the plain rule on length speaks there), and the limit for
-common words gets ``slack / sqrt(words)`` on top, which is how far chance alone moves the histogram of a short text.
-A language with fewer than ``MIN_REFERENCE`` words in the corpus is compared with all documents.
+Guards: a text under ``MIN_WORDS`` words has no distances (the plain rule on length speaks there). The limit for common
+words follows from the language's own reference (``word_limits``): how far chance moves a text of as many words drawn
+from it, ``DEVIATIONS`` standard deviations included, and ``MAX_WORD_DISTANCE`` for the way texts differ, so that a short
+text may be far and a long one may not. A language with fewer than ``MIN_REFERENCE`` words in the corpus is compared with
+all documents by its characters; it has no reference that common words could fail.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from collections import Counter
@@ -26,7 +29,12 @@ from auditkit.llm import tokens
 from auditkit.sources.staging import materialize
 
 MIN_WORDS, MIN_REFERENCE = 50, 5_000
-MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE, SLACK = 0.28, 0.6, 2.0
+#: MAX_WORD_DISTANCE + SLACK / sqrt(words) comes close to ``word_limits`` where a fifth of all words is common; the plain version in the tests uses it.
+MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE, SLACK = 0.28, 0.15, 2.0
+#: Standard deviations of the divergence by chance that a text may show.
+DEVIATIONS = 5
+#: Words of the texts whose limits are worked out, two to an octave; between them limits are interpolated.
+_STEPS, _LENGTHS = 2, MIN_WORDS * 2.0 ** (np.arange(41) / 2)
 CLASSES = ("lower", "upper", "digit", "space", "punctuation", "symbol")
 
 #: Frequent function words of English, French, German and Spanish.
@@ -109,6 +117,42 @@ def measure(texts: pa.Array) -> pa.Array:
     return pa.concat_arrays(parts)
 
 
+def _chance(expected: float) -> tuple[float, float]:
+    """Mean and variance of what a word adds to (words x divergence) when it comes up ``expected`` times on average."""
+    reach = 12 * math.sqrt(expected)
+    x = np.arange(max(0, math.floor(expected - reach)), math.ceil(expected + reach) + 20)
+    p = np.exp(x * math.log(expected) - expected - np.array([math.lgamma(v + 1) for v in x]))
+    half = lambda a, b: a * np.log2(np.maximum(2 * a / (a + b), 1e-300))
+    adds = (half(x, expected) + half(expected, x)) / 2
+    return (p * adds).sum(), (p * adds**2).sum() - (p * adds).sum() ** 2
+
+
+_chance_table: list[np.ndarray] = []
+
+
+def word_limits(shares: np.ndarray) -> np.ndarray:
+    """Distance of common words that a text of each of ``_LENGTHS`` words may have from a reference with these shares."""
+    grid = np.arange(-20, 13.25, 0.25)
+    if not _chance_table:
+        _chance_table.extend(np.array([_chance(2.0**g) for g in grid]).T)
+    at = np.log2(np.outer(_LENGTHS, shares[shares > 0]))
+    mean, variance = (np.interp(at, grid, c).sum(axis=1) for c in _chance_table)
+    return np.sqrt(MAX_WORD_DISTANCE**2 + (mean + DEVIATIONS * np.sqrt(variance)) / _LENGTHS)
+
+
+@F.arrow_udf(T.ArrayType(T.DoubleType()))
+def _limits(shares: pa.Array) -> pa.Array:
+    return pa.array([word_limits(s.values.to_numpy()) for s in shares], pa.list_(pa.float64()))
+
+
+def _limit(limits: Column, n: Column) -> Column:
+    """The limit of a text of ``n`` words, none where the language has no limits."""
+    at = F.least(_STEPS * F.log2(F.greatest(n, F.lit(MIN_WORDS)) / MIN_WORDS), F.lit(float(len(_LENGTHS) - 1)))
+    below = F.least(F.floor(at), F.lit(len(_LENGTHS) - 2)).cast("int")
+    low, high = F.get(limits, below), F.get(limits, below + 1)
+    return low + (high - low) * (at - below)
+
+
 def _sums(prefix: str, size: int) -> list[Column]:
     return [F.sum(F.col(prefix)[i]).alias(f"{prefix}{i}") for i in range(size)]
 
@@ -126,7 +170,8 @@ def language_references(docs: DataFrame, text: str = "text", lang: str = "lang")
     overall = {k: [float(whole[f"{k}{i}"] or 0) for i in range(n)] for k, n in sizes.items()}
     large = F.col("n_words") >= MIN_REFERENCE
     chosen = {k: F.when(large, F.col(k).cast("array<double>")).otherwise(F.array(*map(F.lit, overall[k]))) for k in sizes}
-    return materialize(packed.select("lang", *[_shares(c).alias(k) for k, c in chosen.items()]), "references")
+    shares = packed.select("lang", large.alias("large"), *[_shares(c).alias(k) for k, c in chosen.items()])
+    return materialize(shares.select("lang", *sizes, F.when(F.col("large"), _limits("common")).alias("limits")), "references")
 
 
 def _shares(counts: Column) -> Column:
@@ -146,7 +191,7 @@ def judge(docs: DataFrame, references: DataFrame, text: str = "text", lang: str
 
     Null and empty texts have no words and fail the rule on length. ``into`` replaces a column of that name; all others stay,
     whatever they are called. The references are joined by Spark's own choice, which broadcasts them only below its size limit."""
-    key, ref = "__lang", references.select(F.col("lang").alias("__lang"), F.struct("classes", "common").alias("__ref"))
+    key, ref = "__lang", references.select(F.col("lang").alias("__lang"), F.struct("classes", "common", "limits").alias("__ref"))
     m = docs.withColumn(key, F.coalesce(lang, F.lit(""))).withColumn("__m", measure(F.col(text))).join(ref, key, "left")
     n, doubles = F.col("__m.n_words"), "array<double>"
     base_failed = (n < MIN_WORDS) | (100 * F.col("__m.n_repeat_words") > 50 * n)
@@ -155,5 +200,5 @@ def judge(docs: DataFrame, references: DataFrame, text: str = "text", lang: str
     m = m.withColumn(into, F.struct(*counts, apart("classes").alias("char_distance"), apart("common").alias("word_distance"), base_failed.alias("base_failed")))
     r = lambda c: F.col(f"{into}.{c}")
     far = (F.coalesce(r("char_distance"), F.lit(0.0)) > MAX_CHAR_DISTANCE) | (
-        F.coalesce(r("word_distance"), F.lit(0.0)) > MAX_WORD_DISTANCE + SLACK / F.sqrt(r("n_words")))
+        F.coalesce(r("word_distance"), F.lit(0.0)) > F.coalesce(_limit(F.col("__ref.limits"), n), F.lit(1.0)))
     return m.withColumn(into, F.col(into).withField("kept", ~(r("base_failed") | far))).drop(key, "__m", "__ref")

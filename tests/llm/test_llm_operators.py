@@ -132,6 +132,34 @@ def test_divergence(spark):
     assert rules.judge(docs.limit(0), rules.language_references(docs.limit(0))).count() == 0
 
 
+def test_common_words_can_fail(spark):
+    """Texts of the characters of their language without its words, or with those of another, fail by their words alone; clean ones stay."""
+    rng = np.random.default_rng(5)
+    common = {"en": rules.COMMON[:12], "es": "el y los del las con para su lo como pero si".split()}
+    share = np.arange(12, 0, -1) / 78
+
+    def text(lang, n, often):
+        words = ["".join(rng.choice(list("abdegilmnorst"), 5)) for _ in range(n)]
+        for i in np.flatnonzero(rng.random(n) < often):
+            words[i] = rng.choice(common[lang], p=share)
+        return " ".join(words)
+
+    clean = [(i, text(lang, n, 0.3), lang) for lang in common for i, n in enumerate([50, 60, 80, 120, 200, 400, 1000, 5000] * 5)]
+    bare = [(100 + i, text(lang, n, 0.0), lang) for lang in common for i, n in enumerate((200, 500, 3000))]
+    wrong = [(200 + i, text(other, n, 0.3), lang) for lang, other in (("en", "es"), ("es", "en")) for i, n in enumerate((200, 500, 3000))]
+    rare = [(300, text("es", 400, 0.3), "xx")]
+    docs = spark.createDataFrame(clean + bare + wrong + rare, "doc_id long, text string, lang string")
+    got = rules.judge(docs, rules.language_references(docs)).select("doc_id", "lang", "rules.*").collect()
+    assert not any(r["base_failed"] or r["char_distance"] > rules.MAX_CHAR_DISTANCE for r in got)
+    assert {(r["doc_id"], r["lang"]) for r in got if not r["kept"]} == {(d, lang) for d, _, lang in bare + wrong}
+    for s in ([0.2, 0.1, 0.05, 0.65], [0.004] * 50 + [0.8]):
+        limits, drawn = rules.word_limits(np.array(s)), rng.multinomial(200, s, 4000) / 200
+        m = (drawn + s) / 2
+        with np.errstate(divide="ignore", invalid="ignore"):
+            d = np.sqrt((np.nan_to_num(drawn * np.log2(drawn / m)) + s * np.log2(s / m)).sum(axis=1) / 2)
+        assert d.max() < limits[4] < 0.35 and np.all(np.diff(limits) < 0)
+
+
 # ---- classifier
 
 def test_classifier_on_held_out(spark):
