@@ -12,7 +12,7 @@ shingle sets, and linked classes become components.
 A star can miss a link between two members that are both far from its centre. So buckets whose members are not all in one
 component go on: in later rounds 16, 64, 256, ... further centres of a bucket meet the rest, except pairs in one
 component already, until each member of each such bucket has been a centre. Never compared are pairs that sizes rule out, or
-128-bit sketches (by over six standard deviations), or a count does exactly: shingles that no other candidate has can't be
+128-bit sketches (of two sets of ``SKETCHED`` shingles or more, by over six standard deviations), or a count does exactly: shingles that no other candidate has can't be
 common, so the others bound the intersection; and in the later rounds, each bit that a set's bitmap has and the other's lacks is a shingle
 that they don't share. So rows at the edge of a group of copies meet few others. No bucket, group or number of candidates has a cap.
 """
@@ -33,6 +33,9 @@ from auditkit.sources.staging import materialize
 
 BINS, BANDS = 128, 32
 ROWS = BINS // BANDS
+#: Shingles from which on a sketch may rule a pair out. Sets of fewer leave bins empty, and bins that borrow the same value agree or
+#: differ together, so the bits of such a sketch are not independent.
+SKETCHED = 512
 #: Bits of the bitmap of a set. It bounds an intersection exactly at any size, best for sets of fewer shingles.
 BITS = 2048
 #: Centres of a bucket in the first round after the star, and how that number grows.
@@ -175,14 +178,15 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _possible(c: str, r: str, percent: int) -> Column:
-    """Whether sizes, shared shingles and sketches allow ``percent`` similarity. At 80 % a sketch agrees in 115 of 128 bits, give or take 3.4."""
+    """Whether sizes, shared shingles and sketches allow ``percent`` similarity. At 80 % the sketch of a large set agrees in 115 of 128 bits, give or take 3.4."""
     s = percent / 100
     least = int(BINS * (1 + s) / 2 - 6.5 * (BINS * (1 - s * s)) ** 0.5 / 2)
     x = lambda side, name: F.col(f"{side}.{name}")
     size = F.least(x(c, "n"), x(r, "n")) * 100 >= F.greatest(x(c, "n"), x(r, "n")) * percent
     differ = sum((F.bit_count(x(c, k).bitwiseXOR(x(r, k))) for k in ("s0", "s1")), F.lit(0))
     common = F.least(x(c, "shared"), x(r, "shared"))
-    return size & (100 * common >= percent * (x(c, "n") + x(r, "n") - common)) & (BINS - differ >= least)
+    small = F.least(x(c, "n"), x(r, "n")) < SKETCHED
+    return size & (100 * common >= percent * (x(c, "n") + x(r, "n") - common)) & (small | (BINS - differ >= least))
 
 
 def link(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "text") -> DataFrame:

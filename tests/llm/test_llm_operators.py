@@ -339,6 +339,15 @@ def test_near_duplicates(spark, size, percent):
     assert got == plain_components(rows, size, percent)
 
 
+def test_short_near_duplicates(spark):
+    """Pairs of few shingles at exactly 80 %: 4 of 5, and 8 of 10."""
+    texts = [" ".join(f"p{i}x{j}" for j in range(n)) for i in range(3000) for n in ((8, 9) if i < 2000 else (12, 14))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.link(docs, 5, 80).collect()}
+    assert sorted({n for n, _ in got.values()}) == [4, 5, 8, 10]
+    assert [d for d, (_, c) in got.items() if c != d - d % 2] == []
+
+
 def test_components(spark):
     path = [(i, i + 1) for i in range(1, 60)]
     edges = path + [(100, x) for x in range(101, 140)] + [(7, 7), (200, 201), (201, 200)]
