@@ -165,7 +165,7 @@ def diagnosis(v):
 
 @query("ret_10_embed")
 def embed(v):
-    out = search.embed(v.texts().select("doc_id", "text"), dim=64)
+    out = search.embed(v.texts().select("doc_id", "text"), dim=384)
     from auditkit.functions import vectors
     return out.select("doc_id", F.size("embedding").alias("dim"), F.round(vectors.norm(F.col("embedding")), 4).alias("norm"))
 

@@ -75,3 +75,22 @@ def test_search_is_seeded(data):
     import random
     draws = [model.draw_params(random.Random(i)) for i in range(200)]
     assert all(3 <= d["maxDepth"] <= 10 and 100 <= d["maxIter"] <= 1000 and d["maxIter"] % 50 == 0 and 0.01 <= d["stepSize"] <= 0.3 for d in draws)
+
+
+def test_registered_strengths(spark, monkeypatch):
+    import __spark_entry__ as entry
+
+    queries, asked = entry.queries(), {}
+
+    class Seen(Exception):
+        pass
+
+    for name, function, place in (("ml_01_logistic", "fit_logistic", 2), ("ml_03_search", "search", 3), ("ml_05_ablation", "ablate", 3)):
+        def seen(*args, name=name, place=place, **kwargs):
+            asked[name] = args[place]
+            raise Seen
+        monkeypatch.setattr(model, function, seen)
+        with pytest.raises(Seen):
+            queries[name](spark, "/root/testdata/sf0.001")
+    assert asked["ml_01_logistic"] == 2000 and asked["ml_03_search"] == 50 and len(set(asked["ml_05_ablation"])) == 20
+    assert {r["dim"] for r in queries["ret_10_embed"](spark, "/root/testdata/sf0.001").collect()} == {384}
