@@ -6,7 +6,9 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from auditkit.llm import bpe, chat, discriminant, hosts, neardup, packing, pii, rules, tokenfiles, tokens, topk
+from auditkit.llm import bpe, chat, discriminant, hosts, neardup, packing, pii, pivots, rules, shards, tokenfiles, tokens, topk
+from auditkit.llm.lookup import look_up
+from auditkit.llm.whiten import whiten, whole
 from auditkit.llm.registry import query, table
 from auditkit.sources.staging import materialize, shared_dir
 
@@ -174,3 +176,65 @@ def byte_bpe(spark, sf_dir):
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
                         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
                         F.sha2(bpe.decode(F.col("ids"), path), 256).alias("decoded_sha256"))
+
+
+@query("op11_whiten")
+def whitening(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), whole(F.col("embedding"), 64, 1_000_000).alias("x"))
+    return whiten(rows, fill=1_000_000).select(
+        F.col("id").alias("vec_id"), "component", "n", F.col("deviation").try_cast("bigint").alias("deviation"), "whitened", "explained", "identity_error")
+
+
+def _codes_sql(rounds: int = pivots.ROUNDS) -> str:
+    """Six rounds written out: parts in long form, each round's squared distances, nearest entries and floored means."""
+    assigned = """SELECT id, p, min(d * 16 + e) AS best FROM (SELECT x.id, x.p, b.e, CAST(sum((x.c - b.c) * (x.c - b.c)) AS BIGINT) AS d
+  FROM x JOIN {book} b ON b.p = x.p AND b.i = x.i GROUP BY x.id, x.p, b.e) GROUP BY id, p"""
+    ctes = ["""v AS (SELECT vec_id AS id, label, [CAST(floor(4096 * CAST(c AS DOUBLE)) AS BIGINT) FOR c IN embedding] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len([c FOR c IN embedding IF c IS NULL OR NOT isfinite(c)]) = 0)""",
+            "u AS (SELECT id, unnest(v) AS c, generate_subscripts(v, 1) - 1 AS i, len(v) // 8 AS s FROM v)",
+            "x AS MATERIALIZED (SELECT id, i // s AS p, i % s AS i, c FROM u)",
+            "first AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS e FROM v ORDER BY id LIMIT 16)",
+            "b0 AS MATERIALIZED (SELECT p, e, i, c FROM x JOIN first USING (id))"]
+    for r in range(rounds):
+        ctes += [f"a{r} AS MATERIALIZED ({assigned.format(book=f'b{r}')})",
+                 f"""m{r} AS (SELECT a.p, a.best % 16 AS e, x.i, CAST(sum(x.c) AS BIGINT) AS t, count(*) AS n
+  FROM a{r} a JOIN x ON x.id = a.id AND x.p = a.p GROUP BY ALL)""",
+                 f"""b{r + 1} AS MATERIALIZED (SELECT p, e, i, CASE WHEN m.n IS NULL THEN b.c ELSE (m.t - ((m.t % m.n) + m.n) % m.n) // m.n END AS c
+  FROM b{r} b LEFT JOIN m{r} m USING (p, e, i))"""]
+    ctes += [f"a AS ({assigned.format(book=f'b{rounds}')})",
+             """coded AS (SELECT id, string_agg(printf('%02x', CAST(best % 16 AS INTEGER)), '' ORDER BY p) AS code, CAST(sum(best // 16) AS BIGINT) AS error FROM a GROUP BY id)""",
+             f"h AS (SELECT sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY p, e, i)) AS codebooks_sha256 FROM b{rounds})"]
+    return "WITH " + ",\n".join(ctes) + """
+SELECT id AS vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM coded JOIN v USING (id), h"""
+
+
+@query("op12_vector_codes", _codes_sql())
+def vector_codes(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label", whole(F.col("embedding"), 4096).alias("v"))
+    coded, books = pivots.compress(rows)
+    coded = materialize(coded, "codes")
+    errors = materialize(coded.groupBy("label").agg(F.sum("error").alias("label_error"), F.count("*").alias("rows")), "label-errors")
+    return look_up(coded, errors, "label", "rows").select(
+        F.col("id").alias("vec_id"), "code", F.col("error").try_cast("bigint").alias("error"),
+        F.col("label_error").try_cast("bigint").alias("label_error"), F.lit(pivots.digest(books)).alias("codebooks_sha256"))
+
+
+SHARDS = 24
+
+#: The checksum is worked off byte by byte, with its table of 256 entries made by rule.
+SHARD_SQL = """
+WITH t AS (SELECT list(c ORDER BY b) AS tab FROM (SELECT b, list_reduce(list_prepend(CAST(b AS BIGINT), range(8)),
+  lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS c FROM range(256) r(b))),
+d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(hex(encode(coalesce(text, ''))), '..') AS bytes FROM documents),
+c AS (SELECT r, doc_id, len(bytes) + 8 AS size, xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), [CAST('0x' || b AS BIGINT) FOR b IN bytes]),
+  lambda c, b: xor(c // 256, tab[xor(c % 256, b) + 1]))) AS text_crc32 FROM d, t),
+b AS (SELECT r, s, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || s), 1, 13) AS BIGINT) AS drawn FROM d, range(25) n(s)),
+w AS (SELECT r, arg_max(s, drawn) FILTER (s < 24) AS shard, arg_max(s, drawn) AS grown FROM b GROUP BY r)
+SELECT doc_id, size, text_crc32, 'key' AS law, CAST(shard AS INTEGER) AS shard, CAST(grown AS INTEGER) AS grown_shard,
+  row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, size, text_crc32) - 1 AS slot FROM c JOIN w USING (r)"""
+
+
+@query("op13_rendezvous_shards")
+def rendezvous_shards(spark, sf_dir):
+    placed = shards.assign(table(spark, sf_dir, "documents"), [1.0] * SHARDS, more=1.0)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
