@@ -12,14 +12,13 @@ Sums for new entries are added up in the tasks; entries (a number fixed by parts
 from __future__ import annotations
 
 import hashlib
-from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditkit.llm.whiten import filled, matrix
+from auditkit.llm.whiten import decimals, filled, matrix
 from auditkit.sources.staging import materialize
 
 PARTS, ENTRIES, ROUNDS, PIVOTS = 8, 16, 6, 3
@@ -86,7 +85,7 @@ def compress(rows: DataFrame, parts: int = PARTS, entries: int = ENTRIES, rounds
 
     Codebooks start from the vectors of the smallest ids, ``entries`` of them; of an id with several vectors, the smallest counts. Each round assigns
     every part to its nearest entry, ties to the lower index, then an entry becomes the floor of its parts' mean; one without parts stays. code
-    has two hex digits (more for over 256 entries) a part; error is the sum of squared distances; evaluated counts the distances tried
+    has two hex digits (more for over 256 entries) a part; error is the sum of squared distances (null beyond 38 digits); evaluated counts the distances tried
     for the row's batch over its rows, a mean. Rows with v null take no part. A null id starts no entry but is coded; repeated rows count
     each time. Shorter vectors, and a length that the parts don't divide, are filled with zeros. With fewer ids there are fewer entries; without
     any, or without entries in the vectors, code is empty and error 0. Columns named v, far, code, error or evaluated may not be among the others."""
@@ -124,7 +123,7 @@ def compress(rows: DataFrame, parts: int = PARTS, entries: int = ENTRIES, rounds
                 digits = np.stack([which for which, _, _ in found], axis=1)
                 names = np.array([f"{i:02x}" for i in range(len(books[0]))])
                 yield pa.RecordBatch.from_arrays([*[b.column(c) for c in other], pa.array(["".join(r) for r in names[digits].tolist()]),
-                                                  pa.array([Decimal(int(e)) for e in error], pa.decimal128(38, 0)),
+                                                  decimals(error),
                                                   pa.array(np.full(len(b), sum(n for _, _, n in found) / len(b)))], names=[*other, "code", "error", "evaluated"])
 
     return stored.mapInArrow(code, f"{fields}, code string, error decimal(38,0), evaluated double"), books.tolist()
@@ -154,7 +153,7 @@ def _moved(stored: DataFrame, books: np.ndarray, fixed: list, width: int) -> np.
         if n.any():
             p, e, i = (a.ravel() for a in np.indices(books.shape))
             yield pa.RecordBatch.from_arrays([pa.array(p, pa.int32()), pa.array(e, pa.int32()), pa.array(i, pa.int32()),
-                                              pa.array([Decimal(int(t)) for t in total.ravel()], pa.decimal128(38, 0)),
+                                              decimals(total.ravel()),
                                               pa.array(n[p, e])], names=["part", "entry", "at", "total", "n"])
 
     sums = stored.select("v", "far").mapInArrow(work, "part int, entry int, at int, total decimal(38,0), n long")

@@ -42,6 +42,11 @@ def matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
+def decimals(numbers) -> pa.Array:
+    """Whole numbers as decimals; null beyond 38 digits."""
+    return pa.array([Decimal(int(t)) if abs(t) < 10**38 else None for t in numbers], pa.decimal128(38, 0))
+
+
 def _sums(fit: DataFrame, d: int) -> tuple[list[int], int]:
     """Exact weighted sums by entry, and the sum of the weights."""
 
@@ -53,7 +58,7 @@ def _sums(fit: DataFrame, d: int) -> tuple[list[int], int]:
             total = total + (w @ x if safe else w.astype(object) @ x.astype(object))
             n += int(w.sum())
         if n:
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(d), pa.int32()), pa.array([Decimal(int(t)) for t in total], pa.decimal128(38, 0)),
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(d), pa.int32()), decimals(total),
                                               pa.array([n] * d, pa.int64())], names=["at", "total", "n"])
 
     parts = fit.select("x", "w").mapInArrow(work, "at int, total decimal(38,0), n long")
@@ -86,7 +91,7 @@ def whiten(rows: DataFrame, components: int = 16, weights: str = "one", fill: in
     """id, component (from 1, by falling eigenvalue), n, deviation, whitened, explained and identity_error of (id, x longs).
 
     The fit is over the distinct x with weight one, or their number of rows with weights = "count"; n is the sum of weights. deviation is the sum
-    over entries of (n*x - S)^2, exact. whitened is x less the mean on the component, over the root of its eigenvalue;
+    over entries of (n*x - S)^2, exact (null beyond 38 digits). whitened is x less the mean on the component, over the root of its eigenvalue;
     explained is the eigenvalue's share of the trace; identity_error the largest entry of whitened's own covariance less the identity.
 
     Rows with x null take no part; a null id stays null and repeated rows give their results each time. Shorter vectors are filled with
@@ -126,8 +131,7 @@ def whiten(rows: DataFrame, components: int = 16, weights: str = "one", fill: in
                 white = (centred(x) @ axes) * scale
                 far = float((np.abs(x.astype(float) - base.astype(float)).max() + 1) * n)
                 y = (x - base) * n - owed.astype(np.int64) if far * far * d < 2.0**62 else (x.astype(object) - base.astype(object)) * n - owed
-                off = [Decimal(int(t)) for t in (y * y).sum(axis=1)]
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(off, pa.decimal128(38, 0)), pa.array(list(white), pa.list_(pa.float64()))],
+                yield pa.RecordBatch.from_arrays([*b.columns, decimals((y * y).sum(axis=1)), pa.array(list(white), pa.list_(pa.float64()))],
                                                  names=["x", "w", "rows", "deviation", "white"])
 
     schema = "x array<long>, w long, rows long, deviation decimal(38,0), white array<double>"
