@@ -1,5 +1,6 @@
-"""Models and attributions: direction of change and exact additivity, not levels."""
+"""Models, search and attributions: plain versions, exact additivity and direction of change, not levels."""
 
+import math
 from itertools import combinations
 from math import factorial
 
@@ -7,19 +8,27 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from auditkit.operators import model, treeshap
+from auditkit.operators import boost, model, parzen, treeshap
+from auditkit.operators.parzen import Range
+
+NAMES = ["a", "b", "c"]
 
 
 @pytest.fixture(scope="module")
 def data(spark):
-    x = (F.rand(1) * 10).alias("a"), (F.rand(2) * 10).alias("b"), F.floor(F.rand(3) * 3).cast("double").alias("c")
+    x = (F.rand(1) * 10).alias("a"), F.when(F.rand(5) > 0.1, F.rand(2) * 10).alias("b"), F.floor(F.rand(3) * 3).cast("double").alias("c")
     df = spark.range(600).select(F.col("id").alias("row_id"), *x)
-    df = df.withColumn("label", (F.col("a") + F.rand(4) * 6 > 8).cast("int")).withColumn("leak", F.col("label") * (F.col("b") + 1))
+    df = df.withColumn("label", (F.col("a") + F.rand(4) * 6 > 8).cast("int")).withColumn("leak", F.col("label") * (F.coalesce("b", F.lit(0)) + 1))
     return df.cache()
 
 
+@pytest.fixture(scope="module")
+def bins(data):
+    return model.bin_matrix(data, NAMES, F.col("row_id") % 3, (0, 1))
+
+
 def test_logistic_attribution_adds_up(spark, data):
-    names = ["a", "b", "c"]
+    names, data = ["a", "c"], data.select("row_id", "label", "a", "c")
     fitted = model.fit_logistic(data, names, 200)
     w, means = model.linear_weights(fitted, names)
     scored = model.score(fitted, data, names).toPandas().set_index("row_id")["score"]
@@ -29,21 +38,169 @@ def test_logistic_attribution_adds_up(spark, data):
     assert w["a"] > 0 and model.evaluate(model.score(fitted, data, names))["roc_auc"] > 0.8
 
 
-def test_tree_attribution_adds_up(spark, data):
-    names = ["a", "b", "c"]
-    fitted = model.fit_trees(data, names, {"maxIter": 6, "maxDepth": 4})
-    wide, base = treeshap.attribute_trees(fitted.stages[0], data, names)
-    got = wide.toPandas().set_index("row_id")
-    p = model.score(fitted, data, names).toPandas().set_index("row_id")["score"]
-    assert np.allclose(got.sum(axis=1) + base, np.log(p / (1 - p)))
+# ---- bins
+
+def test_bins_follow_exact_quantiles(spark):
+    values = [None, float("nan")] + [float(i % 7) for i in range(100)]
+    df = spark.createDataFrame([(i, v, float(i)) for i, v in enumerate(values)], "row_id long, few double, many double")
+    few, many = boost.cut_points(df, ["few", "many"], bins=10)
+    assert few.tolist() == [0, 1, 2, 3, 4, 5, 6]
+    assert many.tolist() == [float(math.ceil(k * 102 / 10)) for k in range(10)]
+    rows = df.unionByName(spark.createDataFrame([(500, -9.0, 1e9)], df.schema))
+    got = {r["row_id"]: bytes(r["bins"]) for r in boost.binned(rows, ["few", "many"], [few, many], ["row_id"]).collect()}
+    assert got[0] == bytes([0, 1]) and got[1][0] == 0 and got[2][0] == 1 and got[8][0] == 7 and got[500] == bytes([1, 10])
+    empty, = boost.cut_points(df.filter("row_id < 2"), ["few"])
+    assert len(empty) == 0 and {bytes(r["bins"]) for r in boost.binned(df, ["few"], [empty], ["row_id"]).collect()} >= {bytes([0])}
+
+
+# ---- trees
+
+def plain_boost(x, y, p, rounds):
+    """Second-order boosting by its definition, a node at a time, in exact sums of the same units."""
+    pos = y.sum()
+    w = np.where(y == 1, (len(y) - pos) / pos, 1.0)
+    top = w.max()
+    margin, trees = np.zeros(len(y)), []
+
+    def grow(rows, g, h, depth):
+        def worth(r):
+            return np.sign(g[r].sum()) ** 2 * max(abs(g[r].sum()) - p["reg_alpha"], 0) ** 2 / (h[r].sum() + p["reg_lambda"])
+        best = None
+        if depth < p["max_depth"]:
+            for c in range(x.shape[1]):
+                for cut in np.unique(x[rows, c])[:-1]:
+                    left, right = rows[x[rows, c] <= cut], rows[x[rows, c] > cut]
+                    if min(h[left].sum(), h[right].sum()) < p["min_child_weight"]:
+                        continue
+                    gain = worth(left) + worth(right) - worth(rows)
+                    if best is None or gain > best[0] + 1e-9:
+                        best = (gain, c, cut, left, right)
+        if best is None or best[0] <= 1e-6 or best[0] < p["gamma"]:
+            total = g[rows].sum()
+            return -p["learning_rate"] * np.sign(total) * max(abs(total) - p["reg_alpha"], 0) / (h[rows].sum() + p["reg_lambda"])
+        return (best[1], best[2], grow(best[3], g, h, depth + 1), grow(best[4], g, h, depth + 1))
+
+    def value(tree, row):
+        while isinstance(tree, tuple):
+            tree = tree[2] if row[tree[0]] <= tree[1] else tree[3]
+        return tree
+
+    for _ in range(rounds):
+        q = 1 / (1 + np.exp(-margin))
+        g, h = (np.rint(v * w / top * 2.0**24) / 2.0**24 * top for v in (q - y, q * (1 - q)))
+        trees.append(grow(np.arange(len(y)), g, h, 0))
+        margin = margin + np.array([value(trees[-1], r) for r in x])
+    return margin
+
+
+@pytest.mark.parametrize("strengths", [{}, {"reg_alpha": 1.5, "reg_lambda": 0.3, "gamma": 2.0, "min_child_weight": 7.0, "max_depth": 4}])
+def test_trees_are_the_definition(bins, strengths):
+    rows = bins.table.filter("fold < 2").toPandas()
+    x = np.stack([np.frombuffer(b, np.uint8) for b in rows.bins]).astype(int)
+    spec = boost.Spec({"n_estimators": 4, "max_depth": 3, **strengths}, folds=(0, 1))
+    want = plain_boost(x, rows.label.to_numpy(), spec.params, 4)
+    for small in (0, 60, 1 << 16):  # by histograms alone, mixed, by rows alone
+        fitted, = boost.boost(bins.table, bins.names, bins.cuts, [spec], small=small)
+        assert np.allclose(fitted.margins(x), want, atol=1e-9)
+
+
+def same(a, b):
+    return all((getattr(s, f) == getattr(t, f)).all() for s, t in zip(a.trees, b.trees, strict=True) for f in ("column", "cut", "value", "cover"))
+
+
+def test_order_partitions_company_and_ways_change_nothing(spark, bins, monkeypatch):
+    p = {"n_estimators": 30, "max_depth": 5, "subsample": 0.7, "colsample_bytree": 0.7}
+    spec = boost.Spec(p, folds=(0, 1))
+    one, = boost.boost(bins.table, bins.names, bins.cuts, [spec])
+    monkeypatch.setattr(boost, "BLOCK", 90)
+    monkeypatch.setattr(boost, "CHUNK", 1)  # every column is a chunk of its own
+    shuffled = model.materialize(bins.table.repartition(5, F.rand(3)).sortWithinPartitions(F.rand(8)))
+    many = boost.boost(shuffled, bins.names, bins.cuts, [boost.Spec({**p, "n_estimators": 3}), spec, boost.Spec(p, folds=(0, 1), seed=1)], small=100)
+    assert same(one, many[1]) and not same(one, many[2]) and len(many[0].trees) == 3
+
+
+def test_one_class_and_no_rows(spark, bins):
+    for where in ("label = 1", "false"):
+        table = model.materialize(bins.table.filter(where))
+        fitted, = boost.boost(table, bins.names, bins.cuts, [boost.Spec({"n_estimators": 2}, folds=(0, 1, 2))])
+        assert all((t.column < 0).sum() >= 1 for t in fitted.trees)
+    with pytest.raises(ValueError):
+        boost.Spec({"depth": 3})
+
+
+def test_thresholds_of_nodes(bins, data):
+    fitted, = model.fit_trees(bins, [boost.Spec({"n_estimators": 2, "max_depth": 3}, folds=(0, 1))])
+    scored = {r["row_id"]: r["score_margin"] for r in model.score_trees([fitted], bins, 2).collect()}
+    nodes = {(t, i): (n, c, v) for t, i, n, c, v, _ in boost.nodes(fitted)}
+    for r in data.filter("row_id % 3 = 2").collect():
+        total = 0.0
+        for t in range(2):
+            i = 0
+            while nodes[t, i][0] is not None:
+                name, threshold, _ = nodes[t, i]
+                i = 2 * i + (1 if r[name] is None or r[name] < threshold else 2)
+            total += nodes[t, i][2]
+        assert scored[r["row_id"]] == pytest.approx(total, abs=1e-12)
+
+
+# ---- attributions
+
+def test_tree_attribution_adds_up(spark, bins):
+    fitted, = model.fit_trees(bins, [boost.Spec({"n_estimators": 6, "max_depth": 5}, folds=(0, 1))])
+    wide, base = treeshap.attribute_trees(fitted, bins.table)
+    got = wide.toPandas().set_index("row_id").sort_index()
+    margin = boost.score([fitted], bins.table, ["row_id"]).toPandas().set_index("row_id").sort_index()["score_margin"]
+    assert np.allclose(got.sum(axis=1) + base, margin, atol=1e-12)
     assert got["a"].abs().mean() > got["b"].abs().mean()
 
 
+def test_tree_attribution_is_the_definition(bins):
+    """Against coalitions enumerated on the tree itself: a column outside the coalition follows the cover."""
+    fitted, = model.fit_trees(bins, [boost.Spec({"n_estimators": 3, "max_depth": 6}, folds=(0, 1))])
+    x = np.stack([np.frombuffer(r["bins"], np.uint8) for r in bins.table.orderBy("row_id").limit(25).collect()])
+
+    def value(tree, row, known, i=0):
+        if tree.column[i] < 0:
+            return tree.value[i]
+        if tree.column[i] in known:
+            return value(tree, row, known, 2 * i + (1 if row[tree.column[i]] <= tree.cut[i] else 2))
+        return sum(tree.cover[k] / tree.cover[i] * value(tree, row, known, k) for k in (2 * i + 1, 2 * i + 2))
+
+    got = treeshap.attributions(fitted, x)
+    for r, row in enumerate(x):
+        for j in range(3):
+            rest = [i for i in range(3) if i != j]
+            want = sum(factorial(k) * factorial(2 - k) / factorial(3) * (value(t, row, {*s, j}) - value(t, row, set(s)))
+                       for t in fitted.trees for k in range(3) for s in combinations(rest, k))
+            assert got[r, j] == pytest.approx(want, abs=1e-9)
+
+
+def test_attribution_at_full_strength_is_exact_and_bounded(monkeypatch):
+    """Depth 8 over random trees, the store too small for their tables: base and attributions still add up to the margin."""
+    rng = np.random.default_rng(2)
+    trees = []
+    for _ in range(12):
+        t = boost.Tree.empty(8)
+        t.column[:255], t.cut[:255], t.value[255:] = rng.integers(0, 11, 255), rng.integers(0, 255, 255), rng.normal(size=256)
+        t.column[rng.integers(7, 255, 12)] = -1
+        t.cover[255:] = rng.uniform(0.5, 2, 256)
+        for i in range(254, -1, -1):
+            t.cover[i] = t.cover[2 * i + 1] + t.cover[2 * i + 2]
+        trees.append(t)
+    fitted = boost.Model([f"c{i}" for i in range(11)], [], trees)
+    x = rng.integers(0, 256, (300, 11)).astype(np.uint8)
+    monkeypatch.setattr(treeshap, "STORE", 3 << 22)
+    known = {}
+    got = treeshap.attributions(fitted, x, known)
+    assert known["bytes"] <= 3 << 22 and np.allclose(got, treeshap.attributions(fitted, x, known))
+    assert np.allclose(got.sum(axis=1) + treeshap.base_value(fitted), fitted.margins(x), atol=1e-9)
+
+
 def test_shares_equal_the_definition():
     rng = np.random.default_rng(0)
-    for m in (1, 2, 4):
+    for m in (1, 2, 4, 8):
         zero, hit = rng.uniform(size=m), rng.integers(0, 2, size=(5, m)).astype(float)
-        got = treeshap._shares(hit, zero)
+        got = treeshap.shares(hit, zero)
         for r in range(5):
             def value(s):
                 return np.prod([hit[r, i] if i in s else zero[i] for i in range(m)])
@@ -54,43 +211,87 @@ def test_shares_equal_the_definition():
                 assert got[r, j] == pytest.approx(want)
 
 
+# ---- search
+
+def test_parzen_beats_even_draws():
+    """A planted optimum in nine dimensions, 50 trials, over seeds."""
+    target = {"max_depth": 5, "learning_rate": 0.04, "n_estimators": 400, "min_child_weight": 6, "subsample": 0.8,
+              "colsample_bytree": 0.6, "reg_alpha": 1e-3, "reg_lambda": 1.0, "gamma": 1e-5}
+
+    def worth(p):
+        return -sum(((r.inner(p[n]) - r.inner(target[n])) / (r.bounds[1] - r.bounds[0])) ** 2 for n, r in model.SPACE.items())
+
+    def best(seed, at_once, startup):
+        rng, asked, values = np.random.default_rng(seed), [], []
+        while len(asked) < 50:
+            new = parzen.ask_many(rng, model.SPACE, asked, values, at_once) if len(asked) >= startup else [
+                {n: r.outer(rng.uniform(*r.bounds)) for n, r in model.SPACE.items()} for _ in range(at_once)]
+            asked, values = asked + new, values + [worth(p) for p in new]
+        return max(values)
+
+    even = np.mean([best(s, 10, 50) for s in range(12)])
+    assert np.mean([best(s, 10, 0) for s in range(12)]) > 0.85 * even and np.mean([best(s, 1, 0) for s in range(12)]) > 0.7 * even
+
+
+def test_parzen_stays_in_range_and_on_steps():
+    rng, asked, values = np.random.default_rng(1), [], []
+    for i in range(120):
+        p = parzen.ask(rng, model.SPACE, asked, values)
+        for n, r in model.SPACE.items():
+            assert r.low <= p[n] <= r.high and (not r.step or (isinstance(p[n], int) and (p[n] - r.low) % r.step == 0))
+        asked.append(p)
+        values.append([math.nan, 0.5, p["subsample"], p["subsample"]][i % 4])
+    assert parzen.split([0.1, 0.9, 0.9, 0.2]) == ([1], [0, 2, 3])
+    assert parzen.ask(rng, {"k": Range(2, 2, 1)}, [{"k": 2}] * 12, [0.5] * 12) == {"k": 2}
+
+
+def test_search_is_seeded(bins):
+    space = {**model.SPACE, "n_estimators": Range(2, 6, 2), "max_depth": Range(1, 3, 1)}
+    one, two = ([tuple(r) for r in model.search(bins, 0, 1, 13, 7, space, at_once=6).orderBy("number").collect()] for _ in range(2))
+    assert one == two and [r[0] for r in one] == list(range(13)) and len({r[3:] for r in one}) > 6
+
+
+# ---- experiments
+
 def test_planted_column_moves_the_score(data):
-    got = model.canary_experiment(data, data, data, data, ["b", "c"], "leak", {"maxIter": 4, "maxDepth": 3}).collect()
+    b = model.bin_matrix(data, ["b", "c", "leak"], F.col("row_id") % 3, (0, 1))
+    got = model.canary_experiment(b, (0, 1), 2, (0,), 1, "leak", {"n_estimators": 4, "max_depth": 3}).collect()
     auc = {r["model"]: r["roc_auc"] for r in got}
-    assert auc["canary"] > 0.99 > auc["honest"]
+    assert auc["canary"] > 0.99 > auc["honest"] and auc["canary_val"] > 0.99
 
 
-def test_ablation_of_the_signal_costs(data):
-    got = model.ablate(data, data, ["a", "b", "c"], ["a", "c"], {"maxIter": 4, "maxDepth": 3}).collect()
+def test_ablation_of_the_signal_costs(bins):
+    got = model.ablate(bins, (0, 1), 2, ["a", "c"], {"n_estimators": 4, "max_depth": 3}).collect()
     delta = {r["feature"]: r["delta_roc_auc"] for r in got}
     assert delta["a"] < -0.1 < delta["c"]
 
 
-def test_search_is_seeded(data):
-    space = {**model.SPACE, "maxIter": ("int", 1, 2, 1), "maxDepth": ("int", 1, 2, 1)}
-    one, two = (sorted(map(tuple, model.search(data, data, ["a", "b"], 2, 7, space).collect())) for _ in range(2))
-    # The draws are fixed by the seed; row sampling inside a fit follows the file layout, so the scores only agree closely.
-    assert [r[2:] for r in one] == [r[2:] for r in two] and len(one) == 2
-    assert [r[1] for r in one] == pytest.approx([r[1] for r in two], abs=0.02)
-    import random
-    draws = [model.draw_params(random.Random(i)) for i in range(200)]
-    assert all(3 <= d["maxDepth"] <= 10 and 100 <= d["maxIter"] <= 1000 and d["maxIter"] % 50 == 0 and 0.01 <= d["stepSize"] <= 0.3 for d in draws)
+def test_evaluations_agree(spark):
+    rng = np.random.default_rng(4)
+    rows = [(int(y), float(s), float(s) / 2) for y, s in zip(rng.integers(0, 2, 300), rng.integers(0, 40, 300) / 40)]
+    got = model.evaluate_each(spark.createDataFrame(rows, "label int, s double, t double"), ["s", "t"])
+    p, n = ([s for y, s, _ in rows if y == k] for k in (1, 0))
+    auc = sum((a > b) + (a == b) / 2 for a in p for b in n) / (len(p) * len(n))
+    assert got["s"]["roc_auc"] == pytest.approx(auc) == got["t"]["roc_auc"]
+    assert got["t"]["brier"] == pytest.approx(np.mean([(t - y) ** 2 for y, _, t in rows]))
 
 
 def test_registered_strengths(spark, monkeypatch):
     import __spark_entry__ as entry
+    from auditkit.plans import q_models
 
-    queries, asked = entry.queries(), {}
+    assert (q_models.ITERATIONS, q_models.TRIALS, q_models.ABLATIONS) == (2000, 50, 20)
+    assert (boost.DEFAULTS["n_estimators"], boost.DEFAULTS["max_depth"], len(model.SPACE)) == (300, 6, 9)
+    asked = {}
 
     class Seen(Exception):
         pass
 
-    for name, function, place in (("ml_01_logistic", "fit_logistic", 2), ("ml_03_search", "search", 3), ("ml_05_ablation", "ablate", 3)):
-        def seen(*args, name=name, place=place, **kwargs):
-            asked[name] = args[place]
-            raise Seen
-        monkeypatch.setattr(model, function, seen)
-        with pytest.raises(Seen):
-            queries[name](spark, "/root/testdata/sf0.001")
-    assert asked["ml_01_logistic"] == 2000 and asked["ml_03_search"] == 50 and len(set(asked["ml_05_ablation"])) == 20
-    assert {r["dim"] for r in queries["ret_10_embed"](spark, "/root/testdata/sf0.001").collect()} == {384}
+    def seen(*args, **kwargs):
+        asked["iterations"] = args[2]
+        raise Seen
+    monkeypatch.setattr(model, "fit_logistic", seen)
+    with pytest.raises(Seen):
+        entry.queries()["ml_01_logistic"](spark, "/root/testdata/sf0.001")
+    assert asked["iterations"] == 2000
+    assert {r["dim"] for r in entry.queries()["ret_10_embed"](spark, "/root/testdata/sf0.001").collect()} == {384}
