@@ -129,3 +129,10 @@ def json_numbers(payload: Column) -> Column:
     spelled = F.filter(F.arrays_zip(leaves.alias("leaf"), bare.alias("bare")),
                        lambda z: ~z["leaf"].startswith('"') | z["bare"].rlike(rf"^[+-]?{NUMBER}$"))
     return F.when(F.try_parse_json(payload).isNotNull(), F.transform(spelled, lambda z: token_value(z["bare"])))
+
+
+def json_strings(payload: Column) -> Column:
+    """Every string in a JSON text at any depth, decoded. Keys don't count. Null for a text that is not JSON."""
+    parts = F.regexp_extract_all(payload, F.lit(r'"(?:[^"\\]|\\.)*"\s*:?'), F.lit(0))
+    leaves = F.array_join(F.filter(parts, lambda p: ~p.endswith(":")), ",")
+    return F.when(F.try_parse_json(payload).isNotNull(), F.from_json(F.concat(F.lit("["), leaves, F.lit("]")), "array<string>"))

@@ -1,4 +1,4 @@
-"""Joins and alignment: planted columns, row-for-row checks, band matching of cited numbers, artefact lookups."""
+"""Joins and alignment: planted columns, row-for-row checks, calls and their results, artefact lookups."""
 
 from __future__ import annotations
 
@@ -13,10 +13,6 @@ from auditkit.sources.staging import materialize
 
 NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double")
 MIN_PROBES, N_PROBES = 4, 6
-TIE_EPSILON = 1e-9
-#: No double has more decimals; a figure with more counts as one of so many. From EXACT units of the last decimal on, doubles are
-#: further apart than half a unit, so that only an equal number is near enough.
-MAX_PLACES, EXACT = 340, 2.0**52
 MATERIAL = ((0.002, "negligible"), (0.005, "small"))
 
 
@@ -93,53 +89,7 @@ def documented(dictionary: DataFrame, model: DataFrame, removed: DataFrame, key:
     return lacking.union(d.join(used, key, "left_anti").select(F.lit("extra").alias("side"), key))
 
 
-# ---------------------------------------------------------------- numeric band matching
-def band_match(tokens: DataFrame, numbers: DataFrame, key: str = "run") -> DataFrame:
-    """Does some number of the same run lie within half a unit of a cited figure's last decimal?
-
-    ``tokens`` has (key, value, decimals), ``numbers`` has (key, x). Adds ``matched``: some ``abs(x - value) < 0.5 * 10^-d``,
-    and ``on_tie``: some number sits on that boundary and none is clearly inside, so that float representation decided.
-
-    No pairs are formed. A figure is a point of the grid with step 10^-d, so the nearest number below or above it is the
-    largest or smallest number of the two grid cells that meet there. Numbers shrink to one row per (run, d, cell), which
-    also spreads a run with very many numbers over its cells, and figures find their two cells by an equi-join. A figure
-    beyond the exact range of doubles looks for its own value.
-    """
-    cells = tokens.select(key, "value", "decimals").distinct()
-    places = sorted({min(r[0], MAX_PLACES) for r in tokens.select("decimals").distinct().collect()})  # at most MAX_PLACES + 1
-    fine = F.least(F.col("decimals"), F.lit(MAX_PLACES))
-    cells = cells.withColumns({"places": fine, "half": F.lit(0.5) * F.pow(F.lit(10.0), -fine)})
-    step = F.pow(F.lit(10.0), F.col("places"))
-    half, on_grid = F.col("half"), F.col("x") * step
-    # Placing every number on each of the few grids in use needs no join, which a run with very many numbers would skew.
-    placed = (numbers.select(key, F.col("x").cast("double").alias("x"), F.explode(F.array(*[F.lit(p) for p in places])).alias("places"))
-              .withColumn("exact", F.abs(on_grid) >= EXACT).withColumn("cell", F.when(F.col("exact"), F.col("x")).otherwise(F.floor(on_grid).cast("double"))))
-    # Numbers next to the middle of a cell are the possible ties of the two figures at its ends.
-    middle = F.abs(on_grid - F.col("cell") - 0.5) <= TIE_EPSILON * 4 + F.abs(on_grid) * 1e-15
-    per_cell = placed.groupBy(key, "places", "exact", "cell").agg(
-        F.min("x").alias("low"), F.max("x").alias("high"),
-        F.min(F.when(middle, F.col("x"))).alias("tie_low"), F.max(F.when(middle, F.col("x"))).alias("tie_high"))
-
-    figure = F.col("value") * step
-    at = F.round(figure)
-    ends = cells.withColumn("exact", F.abs(figure) >= EXACT)
-    ends = ends.withColumn("cell", F.explode(F.when(F.col("exact"), F.array(F.col("value").cast("double"))).otherwise(F.array(at - 1, at))))
-    near = ends.join(per_cell, [key, "places", "exact", "cell"], "left")
-
-    def gap(c: str) -> Column:
-        return F.abs(F.col(c) - F.col("value"))
-
-    band = F.lit(TIE_EPSILON) * half
-    nearest = F.least(gap("low"), gap("high"))
-    tied = ((F.abs(gap("tie_low") - half) <= band) | (F.abs(gap("tie_high") - half) <= band))
-    got = near.groupBy(key, "value", "decimals").agg(
-        F.coalesce(F.bool_or((nearest < half) | (nearest == 0)), F.lit(False)).alias("matched"),
-        F.coalesce(F.bool_or((nearest < half - band) | (nearest == 0)), F.lit(False)).alias("_clear"),
-        F.coalesce(F.bool_or(tied & ~F.col("exact")), F.lit(False)).alias("_tied"))
-    got = got.select(key, "value", "decimals", "matched", (F.col("_tied") & ~F.col("_clear")).alias("on_tie"))
-    return tokens.join(got, [key, "value", "decimals"], "left")
-
-
+# ---------------------------------------------------------------- calls and results
 def mapping_check(calls: DataFrame, results: DataFrame) -> DataFrame:
     """Per run: is the k-th result the one of call k? Counts of both sides, positions that disagree, the first of them."""
     a = calls.select("run", F.col("seq").alias("k"), F.col("tool").alias("logged"))

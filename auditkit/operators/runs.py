@@ -169,24 +169,6 @@ def exposure(calls: DataFrame, results: DataFrame, name: str) -> DataFrame:
         "gap", F.col("investigation_seq") - F.col("exposure_seq"))
 
 
-def adjudicate(tokens: DataFrame, decisions: DataFrame, classes: tuple[str, ...]) -> DataFrame:
-    """Class of every cited figure: matched, its single hand-given source class, ``multiply_sourced``, or unmatched.
-
-    ``decisions`` has (token_id, source). A matched figure is never reclassified.
-    """
-    per = decisions.groupBy("token_id").agg(F.count_distinct("source").alias("_n"), F.min("source").alias("_one"),
-                                            F.bool_and(F.col("source").isin(*classes)).alias("_known"))
-    cls = (F.when(F.col("matched"), "matched").when(~F.coalesce("_known", F.lit(False)), "unmatched")
-           .when(F.col("_n") > 1, "multiply_sourced").otherwise(F.col("_one")))
-    out = tokens.join(per, "token_id", "left").withColumn("classification", cls)
-    return out.withColumn("refused", F.col("matched") & F.col("_n").isNotNull()).drop("_n", "_one", "_known")
-
-
-def unused_decisions(tokens: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Decisions on figures that do not exist; any row here is an error."""
-    return decisions.select("token_id").distinct().join(tokens, "token_id", "left_anti")
-
-
 def outcome_label(tool: Column, result: Column, kinds: dict[str, str]) -> Column:
     """One-word outcome of a call from its JSON result. ``kinds`` maps a tool to found, available, or a counted field."""
     out = F.lit("error")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from auditkit.operators import align, attribution, metrics, profile
+from auditkit.operators import align, attribution, metrics, nearest, profile
 from auditkit.operators.cumulate import q
 from auditkit.plans.registry import query
 from auditkit.plans.sqlviews import cte
@@ -68,6 +68,7 @@ cte("cited", (), """
   UNION ALL SELECT user_id, event_id, CAST(floor(value * 1.5) AS DOUBLE), 0 FROM events""")
 cte("bands", ("cited",), """
   SELECT t.run, t.event_id, t.value, t.decimals,
+         (SELECT min_by(e.value, (abs(e.value - t.value), e.value)) FROM events e WHERE e.user_id = t.run) AS nearest,
          EXISTS (SELECT 1 FROM events e WHERE e.user_id = t.run
                  AND abs(e.value - t.value) < 0.5::DOUBLE * pow(10.0::DOUBLE, -t.decimals)) AS matched,
          EXISTS (SELECT 1 FROM events e WHERE e.user_id = t.run
@@ -78,19 +79,22 @@ cte("bands", ("cited",), """
   FROM cited t""")
 
 
-def _bands(v):
+def _cited(v):
     e = v.table("events")
     one = e.select(F.col("user_id").alias("run"), "event_id", (F.floor(F.col("value") * 10) / 10).alias("value"),
                    F.lit(1).alias("decimals"))
     two = e.select(F.col("user_id").alias("run"), "event_id", F.floor(F.col("value") * 1.5).cast("double").alias("value"),
                    F.lit(0).alias("decimals"))
-    numbers = e.select(F.col("user_id").alias("run"), F.col("value").alias("x"))
-    return align.band_match(one.unionByName(two), numbers)
+    return one.unionByName(two), e.select(F.col("user_id").alias("run"), F.col("value").alias("x"))
+
+
+def _bands(v):
+    return v._stage("bands", lambda: nearest.band_match(*_cited(v)))
 
 
-@query("jn_06_band_match", "SELECT run, event_id, value, decimals, matched FROM bands", ("bands",))
+@query("jn_06_band_match", "SELECT run, event_id, value, decimals, nearest, matched FROM bands", ("bands",))
 def band_match(v):
-    return _bands(v).select("run", "event_id", "value", "decimals", "matched")
+    return _bands(v).select("run", "event_id", "value", "decimals", "nearest", "matched")
 
 
 @query("jn_07_tie_flag", """
@@ -101,6 +105,14 @@ def tie_flag(v):
                                              F.count_if("on_tie").alias("on_tie"))
 
 
+@query("jn_07_tie_list", """
+  SELECT DISTINCT b.run, b.value, b.decimals, e.value AS tie_value FROM bands b JOIN events e ON e.user_id = b.run
+    AND abs(abs(e.value - b.value) - 0.5::DOUBLE * pow(10.0::DOUBLE, -b.decimals)) <= 1e-9 * 0.5::DOUBLE * pow(10.0::DOUBLE, -b.decimals)
+  WHERE b.on_tie""", ("bands",))
+def tie_list(v):
+    return nearest.ties(_bands(v), _cited(v)[1])
+
+
 cte("mapping", ("calls", "results_src"), """
   SELECT coalesce(c.run, r.run) AS run, count(c.tool) AS logged_calls, count(r.tool_use_name) AS result_blocks,
          count(*) FILTER (c.tool IS DISTINCT FROM r.tool_use_name) AS n_bad,

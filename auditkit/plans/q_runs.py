@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from auditkit.functions import text
-from auditkit.operators import align, findings, runs
-from auditkit.plans.q_joins import _bands
+from auditkit.operators import align, claims, findings, nearest, runs
+from auditkit.plans.q_joins import _bands, _cited
 from auditkit.plans.registry import query
 from auditkit.plans.run_views import EMPTY, MATRIX_TOOLS, REJECTED
 from auditkit.plans.sqlviews import cte
@@ -14,7 +14,6 @@ from auditkit.plans.sqlviews import cte
 PASSING = ("vector-index", "unused")
 SURFACES = {"1.0": ("view", "click", "purchase"), "2.0": ("view", "click", "purchase", "signup")}
 TOOLS = ("view", "click", "purchase", "signup")
-SOURCES = ("derived", "quoted", "prompt")
 
 
 @query("rm_01_gates", """
@@ -149,26 +148,93 @@ def cited(v):
                     .alias("token_id"), "t.text", "t.value", "t.decimals"))
 
 
+def _grounded(v):
+    """The figures of all evidence, matched against the numbers of their runs' results."""
+    numbers = v.results().select("run", F.explode(text.json_numbers(F.col("content"))).alias("x"))
+    return v._stage("grounded", lambda: nearest.band_match(cited(v), numbers))
+
+
 @query("rm_13_numeric_grounding")
 def numeric_grounding(v):
-    numbers = v.results().select("run", F.explode(text.json_numbers(F.col("content"))).alias("x"))
-    matched = align.band_match(cited(v), numbers)
-    return matched.groupBy("run", "record").agg(
+    return _grounded(v).groupBy("run", "record").agg(
         F.count("*").alias("cited"), F.count_if("matched").alias("matched"), F.count_if(~F.col("matched")).alias("unmatched"),
         F.count_if("on_tie").alias("on_tie"))
 
 
+@query("rm_13_unmatched_figures")
+def unmatched_figures(v):
+    """The figures that no number of their run explains, with the nearest one; in scientific form they are not judged but named."""
+    notes = findings.records(v.finding_chunks()).select("run", "record", F.explode(text.scientific(F.col("evidence"))).alias("text"))
+    found = _grounded(v).filter("not matched").select("run", "record", F.lit("unmatched").alias("list"), "token_id", "text", "nearest")
+    none = F.lit(None)
+    return found.unionByName(notes.select("run", "record", F.lit("scientific").alias("list"), none.cast("string").alias("token_id"), "text",
+                                          none.cast("double").alias("nearest")))
+
+
+@query("rm_13_lists", """
+  SELECT run, event_id, decimals, 'unmatched' AS list, CAST(NULL AS DOUBLE) AS tie_value FROM bands WHERE NOT matched
+  UNION ALL
+  SELECT b.run, b.event_id, b.decimals, 'tie', e.value FROM bands b JOIN (SELECT DISTINCT user_id, value FROM events) e ON e.user_id = b.run
+    AND abs(abs(e.value - b.value) - 0.5::DOUBLE * pow(10.0::DOUBLE, -b.decimals)) <= 1e-9 * 0.5::DOUBLE * pow(10.0::DOUBLE, -b.decimals)
+  WHERE b.on_tie""", ("bands",))
+def grounding_lists(v):
+    """Each unmatched figure, and each figure that turned on a tie with every number it ties with."""
+    bands = _bands(v)
+    tied = bands.filter("on_tie").join(nearest.ties(bands, _cited(v)[1]), ["run", "value", "decimals"])
+    return bands.filter("not matched").select("run", "event_id", "decimals", F.lit("unmatched").alias("list"), F.lit(None).cast("double").alias("tie_value")
+                                              ).unionByName(tied.select("run", "event_id", "decimals", F.lit("tie").alias("list"), "tie_value"))
+
+
+cte("spelled", ("bands", "results_src", "mapping"), """
+  SELECT b.*, printf(CASE WHEN decimals = 1 THEN '%.1f' ELSE '%.0f' END, b.value) AS figure, e.value AS own, CAST(round(e.value, 1) AS VARCHAR) || '%' AS passage,
+    r.pos + CASE WHEN b.event_id % 30 = 0 THEN 1 ELSE 0 END AS seq, coalesce(m.passed, false) AS mapped
+  FROM bands b JOIN events e ON e.event_id = b.event_id LEFT JOIN results_src r ON r.event_id = b.event_id LEFT JOIN mapping m ON m.run = b.run""")
+cte("claimed", ("spelled", "results_src"), """
+  SELECT event_id, decimals, 1 AS place, 'derived' AS class, CASE WHEN event_id % 35 = 0 THEN 'the computation is empty'
+      WHEN event_id % 15 = 0 THEN 'a source value is not a number of this run''s results' END AS reason FROM spelled WHERE event_id % 5 = 0
+  UNION ALL
+  SELECT s.event_id, s.decimals, 2, 'quoted', CASE WHEN s.seq IS NULL THEN 'no seq given' WHEN figure || '%' <> passage THEN 'the passage does not contain the figure'
+      WHEN NOT mapped THEN 'results and calls of this run do not correspond' WHEN r.event_id IS NULL THEN 'no result at this seq'
+      WHEN NOT contains(CAST(round(r.value, 1) AS VARCHAR) || '%', passage) THEN 'the passage is not in the result at this seq' END
+  FROM spelled s LEFT JOIN results_src r ON r.run = s.run AND r.pos = s.seq WHERE s.event_id % 10 = 0
+  UNION ALL
+  SELECT event_id, decimals, 3, 'prompt', CASE WHEN event_id % 21 = 0 THEN 'the passage does not contain the figure'
+      WHEN event_id % 14 = 0 THEN 'the commit is empty' END FROM spelled WHERE event_id % 7 = 0""")
+
+
 @query("rm_14_adjudication", """
-  SELECT classification, refused, count(*) AS n FROM (
-    SELECT CASE WHEN matched THEN 'matched' WHEN event_id % 10 = 0 THEN 'multiply_sourced' WHEN event_id % 5 = 0 THEN 'derived'
-                ELSE 'unmatched' END AS classification, matched AND event_id % 5 = 0 AS refused FROM bands)
-  GROUP BY 1, 2""", ("bands",))
+  SELECT run, b.event_id, b.decimals, CASE WHEN matched THEN 'matched' WHEN c.n > 0 AND failing IS NULL THEN
+           CASE WHEN c.n > 1 THEN 'multiply_sourced' ELSE applying END ELSE 'unmatched' END AS classification,
+         CASE WHEN NOT matched AND failing IS NULL THEN applying END AS applying, CASE WHEN NOT matched THEN failing END AS reason,
+         matched AND c.n IS NOT NULL AS refused
+  FROM bands b LEFT JOIN (SELECT event_id, decimals, count(*) AS n, string_agg(class, ',' ORDER BY place) AS applying,
+      min_by(reason, place) FILTER (reason IS NOT NULL) AS failing FROM claimed GROUP BY ALL) c ON c.event_id = b.event_id AND c.decimals = b.decimals""",
+       ("bands", "claimed"))
 def adjudication(v):
-    tokens = _bands(v).withColumn("token_id", F.concat_ws("|", "run", "event_id", "decimals"))
-    fifth = tokens.filter("event_id % 5 = 0")
-    decisions = fifth.select("token_id", F.lit("derived").alias("source")).unionByName(
-        fifth.filter("event_id % 10 = 0").select("token_id", F.lit("quoted").alias("source")))
-    return runs.adjudicate(tokens, decisions, SOURCES).groupBy("classification", "refused").agg(F.count("*").alias("n"))
+    """Claims of all three classes, true and false ones, on figures matched or not."""
+    own = v.results().select("event_id", "pos")
+    events = v.table("events").select("event_id", F.col("value").alias("own"))
+    one = F.col("decimals") == 1
+    figure = F.when(one, F.format_string("%.1f", F.col("value"))).otherwise(F.format_string("%.0f", F.col("value")))
+    tokens = _bands(v).withColumn("token_id", F.concat_ws("|", "run", "event_id", "decimals")).withColumn("text", figure)
+    about = tokens.join(events, "event_id").join(own, "event_id", "left")
+
+    def every(n):
+        return F.col("event_id") % n == 0
+
+    fields = {"computation": "string", "source_values": "array<string>", "payload_string": "string", "seq": "long", "prompt_text": "string", "rendered_from_commit": "string"}
+
+    def claim(n, place, name, **given):
+        return about.filter(every(n)).select("token_id", F.lit(place).alias("place"), F.lit(name).alias("class"),
+                                             *[given.get(f, F.lit(None)).cast(k).alias(f) for f, k in fields.items()])
+
+    made = claim(5, 1, "derived", computation=F.when(every(35), " ").otherwise("a - b"),
+                 source_values=F.array(F.when(every(15), "-1.00").otherwise(F.format_string("%.2f", F.col("own")))))
+    made = made.unionByName(claim(10, 2, "quoted", payload_string=F.concat(F.round("own", 1), F.lit("%")), seq=F.col("pos") + F.when(every(30), 1).otherwise(0)))
+    made = made.unionByName(claim(7, 3, "prompt", prompt_text=F.concat(F.lit("at most "), "text", F.when(every(21), "5").otherwise(" rows")),
+                                  rendered_from_commit=F.when(every(14), " ").otherwise("a1b2")))
+    checked = claims.check_claims(tokens, made, _cited(v)[1], v.results(), align.mapping_check(v.calls(), v.results()))
+    return claims.adjudicate(tokens, checked).select("run", "event_id", "decimals", "classification", F.array_join("applying", ",").alias("applying"), "reason", "refused")
 
 
 @query("rm_15_exposure_metric", """

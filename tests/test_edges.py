@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from auditkit.functions import calls, text
-from auditkit.operators import align, ranked, runs, validate
+from auditkit.operators import align, nearest, ranked, runs, validate
 from auditkit.sources import files
 
 
@@ -12,7 +12,7 @@ def test_band_match_beyond_the_exact_range(spark):
     tokens = spark.createDataFrame([("r", 0.12345678901234567890, 20), ("r", 1e300, 2), ("r", 3e18, 2), ("r", 5.0, 400), ("r", 2.5, 1), ("r", 1e300, 0)],
                                    "run string, value double, decimals int")
     numbers = spark.createDataFrame([("r", x) for x in (0.12345678901234568, 1e300, 3e18 + 4096, 5.0, 2.54, -1e308, None)], "run string, x double")
-    got = {(r["value"], r["decimals"]): r["matched"] for r in align.band_match(tokens, numbers).collect()}
+    got = {(r["value"], r["decimals"]): r["matched"] for r in nearest.band_match(tokens, numbers).collect()}
     assert got == {(0.12345678901234568, 20): True, (1e300, 2): True, (3e18, 2): False, (5.0, 400): True, (2.5, 1): True, (1e300, 0): True}
 
 

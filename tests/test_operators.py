@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from auditkit.operators import align, columns, findings, prep, ranked, runs, scoring, sets, validate
+from auditkit.operators import align, columns, findings, nearest, prep, ranked, runs, scoring, sets, validate
 from auditkit.operators.columns import CheckFailed
 
 
@@ -16,7 +16,7 @@ def test_band_match_brute_force(spark):
     nums += [(1, 0.125), (1, 2.5), (2, -0.05), (1, 1e9)]
     toks = [(r, round(rng.uniform(-20, 20), d), d) for r in (1, 2, 3) for d in (0, 1, 2, 3) for _ in range(40)]
     toks += [(1, 0.12, 2), (1, 0.13, 2), (1, 2.0, 0), (1, 3.0, 0), (2, -0.1, 1), (2, 0.0, 1), (1, 1e9, 0)]
-    got = align.band_match(spark.createDataFrame(toks, "run int, value double, decimals int"),
+    got = nearest.band_match(spark.createDataFrame(toks, "run int, value double, decimals int"),
                            spark.createDataFrame(nums, "run int, x double")).collect()
     assert len(got) == len(toks)
     for r in got:
