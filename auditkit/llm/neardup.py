@@ -4,7 +4,7 @@
 each bin keeps its smallest hash. An empty bin borrows from the first filled one in an order of its own, drawn
 at random but the same for all documents (optimal densification). ``BANDS`` groups of bins give bucket keys.
 
-Documents with equal sets are one class and go on as their smallest doc_id. Inside a bucket, candidates are a star: a centre
+Documents with equal sets are one class and go on as one row with a number of its own. Inside a bucket, candidates are a star: a centre
 against all others, so a bucket of m members has m - 1 pairs. The centre is the member with the smallest share of shingles
 that no other candidate has, since that is the one nearest to what a group was copied from. Links are confirmed on the full
 shingle sets, and linked classes become components.
@@ -102,7 +102,7 @@ def sketch(hashes: np.ndarray) -> tuple:
     signed = lambda x: x.astype(np.uint64).view(np.int64)
     if not len(hashes):
         return 0, 0, 0, [], 0, 0
-    keys = signed(np.array([mix(hashes).sum(dtype=np.uint64), mix(hashes ^ np.uint64(0x9E3779B97F4A7C15)).sum(dtype=np.uint64)])).tolist()
+    keys = set_key(hashes)
     first = np.searchsorted(hashes, _EDGES)
     filled = np.flatnonzero(np.diff(np.append(first, len(hashes))))
     source = np.arange(BINS)
@@ -129,10 +129,21 @@ def sketches(text: Column, size: int) -> Column:
     return run(text)
 
 
+def set_key(hashes: np.ndarray) -> list[int]:
+    """A 128-bit key of a set, as two longs."""
+    return np.array([mix(hashes).sum(dtype=np.uint64), mix(hashes ^ np.uint64(0x9E3779B97F4A7C15)).sum(dtype=np.uint64)]).view(np.int64).tolist()
+
+
+SET = T.StructType([T.StructField("set", T.ArrayType(_LONG)), T.StructField("k0", _LONG), T.StructField("k1", _LONG)])
+
+
 def full_sets(text: Column, size: int) -> Column:
-    @F.arrow_udf(T.ArrayType(_LONG))
+    @F.arrow_udf(SET)
     def run(texts: pa.Array) -> pa.Array:
-        return pa.array([shingles(t.as_py(), size).view(np.int64) for t in texts], pa.list_(pa.int64()))
+        sets = [shingles(t.as_py(), size) for t in texts]
+        keys = [set_key(s) for s in sets]
+        return pa.StructArray.from_arrays([pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())),
+                                           *[pa.array([k[i] for k in keys], pa.int64()) for i in (0, 1)]], SET.names)
 
     return run(text)
 
@@ -190,23 +201,24 @@ def _possible(c: str, r: str, percent: int) -> Column:
 
 
 def link(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "text") -> DataFrame:
-    """doc_id, n_shingles and component_id for every row of ``docs``.
+    """doc_id, n_shingles and component_id for every row of ``docs``, then the set's key (k0, k1) and leads.
 
     Rows link at 100 * intersection >= percent * union of their distinct shingle sets. Null, empty and blank texts are linked with
     nothing. Rows without doc_id are linked with nothing either, as they cannot be named: their component_id is null. Repeated rows
-    are rows of one component; should one doc_id stand for different texts, its texts are linked."""
+    are rows of one component. Should one doc_id stand for different texts, each is linked by its own text alone, so its rows may be in
+    several components. leads marks the one set of each component that stays, under its smallest doc_id; true for rows linked with nothing."""
     ids = F.col("doc_id").cast("long")
     with _small_batches(docs.sparkSession):
         seen = materialize(docs.select(ids.alias("doc_id"), sketches(F.col(text), size).alias("k")).select("doc_id", "k.*"), "sketches")
     has = seen.filter("n > 0 and doc_id is not null")
-    classes = materialize(has.groupBy("n", "k0", "k1").agg(F.min("doc_id").alias("rep"), F.min(F.struct("bands", "s0", "s1")).alias("x"))
-                          .select("n", "k0", "k1", "rep", "x.*"), "classes")
+    classes = materialize(has.groupBy("n", "k0", "k1").agg(F.min("doc_id").alias("first"), F.min(F.struct("bands", "s0", "s1")).alias("x"))
+                          .select("n", "k0", "k1", "first", "x.*").withColumn("rep", F.monotonically_increasing_id()), "classes")
 
     lot = (F.xxhash64("rep", "key") / F.lit(2.0**63 * 1.0000001) + 1) / 2
     rows = classes.select("rep", "n", "s0", "s1", F.explode("bands").alias("key"))
     shared = rows.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1")
     met = materialize(rows.join(shared, "key"), "met")
-    sets = _member_sets(docs, met, size, text)
+    sets = _member_sets(docs, classes.join(met.select("rep").distinct(), "rep", "left_semi"), size, text)
     own = F.coalesce("own", F.lit(0))
     met = met.join(_own_shingles(sets), "rep", "left").withColumns({"h": lot, "shared": F.col("n") - own, "q": F.floor(1000 * own / F.col("n")) + lot}).drop("own")
     members = materialize(met.join(met.groupBy("key").agg(F.min("q").alias("star")), "key"), "members")
@@ -238,11 +250,15 @@ def link(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "text")
             left = materialize(left.join(fresh, "rep", "left").withColumn("component", F.coalesce("fresh", "component")).drop("fresh"), "open")
         done, upto = upto, upto * GROWTH
 
-    ends = found.withColumnRenamed("id", "rep")
-    named = classes.select("n", "k0", "k1", "rep").join(ends, "rep", "left").select("n", "k0", "k1", F.coalesce("component", "rep").alias("component"))
+    ends = classes.select("n", "k0", "k1", "first", "rep").join(found.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    ends = materialize(ends.drop("rep"), "ends")
+    heads = ends.groupBy("component").agg(F.min(F.struct("first", "n", "k0", "k1")).alias("head"))
+    named = ends.join(heads, "component").select("n", "k0", "k1", "first", F.col("head.first").alias("component"),
+                                                 (F.struct("first", "n", "k0", "k1") == F.col("head")).alias("heads"))
     out = seen.select("doc_id", "n", "k0", "k1").join(named, ["n", "k0", "k1"], "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+    leads = F.coalesce(F.col("heads") & (F.col("doc_id") == F.col("first")), F.lit(True))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), "k0", "k1", leads.alias("leads"))
 
 
 def _own_shingles(sets: DataFrame) -> DataFrame:
@@ -264,12 +280,13 @@ def _first_bucket() -> Column:
     return F.array_min(F.array_intersect("c.bands", "r.bands")) == F.col("c.key")
 
 
-def _member_sets(docs: DataFrame, members: DataFrame, size: int, text: str) -> DataFrame:
-    """(rep, set) for every class in a bucket with others: its full shingle set, from the representative's text."""
-    reps = members.select("rep").distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col(text).alias("t")).join(reps, "rep", "left_semi")
+def _member_sets(docs: DataFrame, classes: DataFrame, size: int, text: str) -> DataFrame:
+    """(rep, set) for each of ``classes``: its full shingle set, from a text of its first doc_id that has the class's key."""
+    wanted = classes.select(F.col("first").alias("doc_id"), "n", "k0", "k1", "rep")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("t")).join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
     with _small_batches(docs.sparkSession):
-        return materialize(texts.select("rep", full_sets(F.col("t"), size).alias("set")).dropDuplicates(["rep"]), "sets")
+        made = texts.select("doc_id", full_sets(F.col("t"), size).alias("s")).select("doc_id", "s.*").withColumn("n", F.size("set").cast("long"))
+        return materialize(made.join(wanted, ["doc_id", "n", "k0", "k1"]).select("rep", "set").dropDuplicates(["rep"]), "sets")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

@@ -145,7 +145,7 @@ SELECT doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, min(r) AS component_id, do
 @query("op1_minhash_near_dedup", NEAR_SQL)
 def minhash_near_dedup(spark, sf_dir):
     found = neardup.link(table(spark, sf_dir, "documents"), size=4, percent=80)
-    return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return found.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
 
 @query("op6_pii_spans")

@@ -14,6 +14,8 @@ from array import array
 from collections.abc import Callable
 from itertools import islice
 
+import pyarrow as pa
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Chunks that a worker remembers at most.
@@ -94,8 +96,9 @@ def encoder(*key, make: Callable[..., Encoder] = Encoder) -> Encoder:
 
 
 def forget() -> None:
-    """Frees what this worker remembers. Workers outlive a stage: one that goes on to other work has no use for old chunks."""
+    """Frees what this worker remembers, and Arrow's spare memory. Workers outlive a stage: one that goes on to other work has no use for old chunks."""
     _encoders.clear()
+    pa.default_memory_pool().release_unused()
 
 
 def batches(texts, chars: int = 500_000):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from test_llm_operators import ODD, plain_components, plain_counts, plain_spans
 
 import corpus_pipeline
-from auditkit.llm import discriminant, pii, rules
+from auditkit.llm import discriminant, neardup, pii, rules
 
 SF = "/root/testdata/sf0.01"
 
@@ -119,3 +119,19 @@ def test_odd_documents_pass_every_stage(spark):
     once = corpus_pipeline.keep_one_of_copies(spark, docs, SF)
     ids = Counter(r["doc_id"] for r in once.collect())
     assert ids[24] == 1 and ids[40] == 0 and ids[4] == 1 and ids[None] == 2
+
+
+def test_texts_of_repeated_ids_are_kept_apart(spark):
+    """An id that stands for several texts: each text that is no copy stays, in whatever order the rows come."""
+    def words(k, n=60):
+        return " ".join(f"{k}{j}" for j in range(n))
+    a, b, c, near_a = words("a"), words("b"), words("c"), words("a") + " more"
+    rows = [(3, b), (5, b), (5, a), (3, c), (3, c), (9, near_a), (7, ""), (7, None), (7, words("d")), (8, a), (None, b)]
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in order], "doc_id long, text string, lang string, source string, n_chars long")
+        got = Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.keep_one_of_copies(spark, docs, SF).collect())
+        blank = got.pop((7, ""), 0) + got.pop((7, None), 0)
+        assert blank == 1 and got == Counter({(3, b): 1, (5, a): 1, (3, c): 1, (7, words("d")): 1, (None, b): 1})
+        linked = {(r["doc_id"], r["n_shingles"], r["k0"]): r for r in neardup.link(docs).filter("n_shingles > 0 and doc_id is not null").collect()}
+        assert Counter(r["component_id"] for r in linked.values()) == Counter({3: 3, 5: 3, 7: 1})
+        assert sum(r["leads"] for r in linked.values()) == 4
