@@ -19,26 +19,47 @@ LEAST_SCORE = 0.7
 WORDS, PERCENT = 5, 80
 
 
+def _small_arrow_batches(spark: SparkSession, rows: int = 500, size: int = 4 << 20) -> None:
+    """For the rest of this application's session, texts pass to Python by at most so many rows or bytes at once.
+
+    The stages are lazy, so the setting has to hold when they run. Executors of a few GB then have room for the joins."""
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        now = str(spark.conf.get(name)).rstrip("bB")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(name, most)
+
+
 def keep_by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules reject go; those of null or empty text have no words and are among them. None come from an empty table."""
+    _small_arrow_batches(spark)
     judged = rules.judge(docs, rules.language_references(docs), into="__rules")
     return judged.filter("__rules.kept").select(*docs.columns)
 
 
 def keep_by_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Learns from labelled rows of the raw documents: after the rules, few bad ones are left to learn from."""
+    """Documents under the least score go. Learns from labelled rows of the raw documents: after the rules, few bad ones are left.
+
+    A null text is scored as an empty one; without labelled rows of both classes every score is the share of good ones. An empty table stays one."""
+    _small_arrow_batches(spark)
     raw = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", discriminant.features(F.col("text")).alias("x"))
     model = discriminant.fit(discriminant.labelled(raw, spark.read.parquet(f"{sf_dir}/labels.parquet")))
     return docs.filter(discriminant.score(model, discriminant.features(F.col("text"))) >= LEAST_SCORE)
 
 
 def keep_one_of_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that repeat a doc_id are one document: of those, one stays. Rows without doc_id all stay."""
-    linked = neardup.link(docs, size=WORDS, percent=PERCENT)
-    gone = materialize(linked.filter("doc_id <> component_id").select("doc_id").distinct(), "copies")
-    again = materialize(docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "again")
-    kept = docs.join(gone, "doc_id", "left_anti")
-    once = kept.join(again, "doc_id", "left_anti")
-    return once.unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(*docs.columns)
+    """Of each group of near copies the row of the smallest doc_id stays. Rows go by doc_id, those that repeat one by doc_id and text.
+
+    So a doc_id that stands for different texts loses none that isn't a copy, and of rows alike in both one stays. Rows without doc_id all stay."""
+    _small_arrow_batches(spark)
+    linked = materialize(neardup.link(docs, size=WORDS, percent=PERCENT).filter("doc_id is not null"), "linked")
+    again = materialize(linked.groupBy("doc_id").count().filter("count > 1").select("doc_id"), "again")
+    gone = linked.filter("not leads").select("doc_id").distinct()
+    once = docs.join(again, "doc_id", "left_anti").join(gone, "doc_id", "left_anti").select(*docs.columns)
+    keyed = docs.join(again, "doc_id", "left_semi").select(*docs.columns, neardup.sketches(F.col("text"), WORDS).alias("__k"))
+    stay = linked.join(again, "doc_id", "left_semi").filter("leads").select(
+        "doc_id", F.struct(F.col("n_shingles").alias("n"), "k0", "k1").alias("__key")).distinct()
+    keyed = keyed.withColumn("__key", F.struct("__k.n", "__k.k0", "__k.k1")).join(stay, ["doc_id", "__key"], "left_semi")
+    return once.unionByName(keyed.dropDuplicates(["doc_id", "__key"]).select(*docs.columns))
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,6 +77,8 @@ def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def pack_into_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Whole texts as token ids, in as few sequences as the plan finds; a null text is its end id. No documents give no sequence."""
+    _small_arrow_batches(spark)
     return packing.pack(packing.cut(docs, tokens.public_path("word_bpe_49k.json")))
 
 
