@@ -286,7 +286,10 @@ def _member_sets(docs: DataFrame, classes: DataFrame, size: int, text: str) -> D
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("t")).join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
     with _small_batches(docs.sparkSession):
         made = texts.select("doc_id", full_sets(F.col("t"), size).alias("s")).select("doc_id", "s.*").withColumn("n", F.size("set").cast("long"))
-        return materialize(made.join(wanted, ["doc_id", "n", "k0", "k1"]).select("rep", "set").dropDuplicates(["rep"]), "sets")
+        # Null-safe on the key, or Spark would filter on it below the semi-join, where every text's set would be made.
+        w, m = wanted.alias("w"), made.alias("m")
+        own = (F.col("m.doc_id") == F.col("w.doc_id")) & F.col("m.n").eqNullSafe(F.col("w.n")) & F.col("m.k0").eqNullSafe(F.col("w.k0")) & F.col("m.k1").eqNullSafe(F.col("w.k1"))
+        return materialize(m.join(w, own).select("rep", "set").dropDuplicates(["rep"]), "sets")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
