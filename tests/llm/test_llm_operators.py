@@ -1,6 +1,7 @@
 """Operators of the llm subpackage against plain versions, and on nulls, empty and long texts, ties, repeats and odd columns."""
 
 import hashlib
+import json
 import math
 import re
 import zlib
@@ -202,14 +203,32 @@ HARD = ["", " ", "  ", "a  b", "a\n  b", "a \n b", " a", "a ", "\t \n x", "don't
 
 
 @pytest.mark.parametrize("file", ["byte_bpe_50k.json", "word_bpe_49k.json"])
-def test_chunked_encoding(file):
+def test_chunked_encoding(file, monkeypatch):
     whole = Tokenizer.from_file(tokens.public_path(file))
     whole.encode_special_tokens = True
     rng = np.random.default_rng(3)
     alphabet = list("ab 'sé1.\n\t\u00a0\u3000\x1c\u2028Ǆ ") + ["  ", " the", "\r\n"]
     texts = HARD + ["".join(rng.choice(alphabet, size=rng.integers(1, 30))) for _ in range(3000)]
+    texts += ["★ a★b | ^ ★", "don't DON'T it'll'", "ΑΣ Σ ας", "word|word, |", "a" * 900 + " " + "Ab," * 300]
     want = [array("I", e.ids).tobytes() for e in whole.encode_batch(texts, add_special_tokens=False)]
     assert tokens.Encoder(tokens.public_path(file)).encode(texts) == want
+    for store in (tokens.STORE, 400):  # the second overflows again and again
+        monkeypatch.setattr(tokens, "STORE", store)
+        coder = tokens.open_tokenizer(tokens.public_path(file))
+        assert type(coder) is {"b": tokens.Encoder, "w": tokens.WordEncoder}[file[0]]
+        assert [c for at in range(0, len(texts), 100) for c in coder.encode(texts[at:at + 100])] == want and coder.encode([]) == []
+
+
+def test_other_tokenizers_encode_whole_texts(tmp_path):
+    """A file that splits texts in another way, here at nothing but line ends, is not cut at blanks."""
+    about = json.load(open(tokens.public_path("byte_bpe_50k.json"), encoding="utf-8"))
+    about["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"String": "\n"}, "behavior": "Isolated", "invert": False},
+                                                                   {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+    (tmp_path / "other.json").write_text(json.dumps(about), encoding="utf-8")
+    coder, whole = tokens.open_tokenizer(str(tmp_path / "other.json")), Tokenizer.from_file(str(tmp_path / "other.json"))
+    texts = ["of the river, in the town", "a  b\nof the", ""]
+    assert coder.encode(texts) == [array("I", whole.encode(t, add_special_tokens=False).ids).tobytes() for t in texts]
+    assert type(coder) is tokens.WholeEncoder
 
 
 def test_plan_is_best_fit():
