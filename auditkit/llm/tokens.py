@@ -14,7 +14,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Callable
-from itertools import islice, repeat
+from itertools import chain, islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +32,7 @@ _SAFE_CUT = re.compile(r"(?<=\S)(?=[ \n])|(?<=\s)(?= \S)|(?<=\S\n)(?=\S)")
 #: Blanks at which str.split and the tokenizers may differ.
 _RARE_BLANKS = [chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n"]
 #: Signs that may stand between words that are encoded together; one that is a single id is taken.
-_BETWEEN, _SMALL = "\u2605\u2192\u00a9\u00a3^", "|"
+_BETWEEN = "\u2605\u2192\u00a9\u00a3^"
 _PLAIN = re.compile("[a-z]+").fullmatch
 # How the tokenizer files that may be cut normalise and split a text; blanks are part of pieces in the first, of none in the second.
 _PIECES = [
@@ -115,16 +115,12 @@ class WordEncoder(Encoder):
 
     ``number`` gives a word's place in ``start`` and ``length``, which say where its ids lie in ``flat``. New words are encoded many at a
     time, as one text with a sign between them that no word among them has; those of small ASCII letters alone, which the file's own
-    steps before the merges leave as they are, without these steps."""
+    steps before the merges leave as they are, by the merges at once."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
-
         super().__init__(path)
+        self.merged = self.tokenizer.model.tokenize
         coded = {s: self.tokenizer.encode(s, add_special_tokens=False).ids for s in _BETWEEN}
-        self.plain = Tokenizer.from_file(path)
-        self.plain.normalizer, self.plain.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
-        self.small_id, = self.plain.encode(_SMALL, add_special_tokens=False).ids
         self.sign = next((s for s, ids in coded.items() if len(ids) == 1), None)
         self.sign_id = coded[self.sign][0] if self.sign else None
         self.number: dict[str, int] = {}
@@ -132,7 +128,7 @@ class WordEncoder(Encoder):
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [self._chunks(t) if any(b in t for b in _RARE_BLANKS) else t.split() for t in texts]
-        words = [w for chunks in cut for w in chunks]
+        words = list(chain.from_iterable(cut))
         places = np.fromiter(map(self.number.get, words, repeat(-1)), np.int64, len(words))
         new = np.flatnonzero(places < 0).tolist()
         if new:
@@ -167,27 +163,41 @@ class WordEncoder(Encoder):
 
     def _learn(self, missing: set[str]) -> None:
         """A word is its core and what follows it; both are encoded once, in small letters where case doesn't count."""
-        words = list(missing)
-        cores = [self._core(w) for w in words]
-        keys = [k.lower() if self.caseless and k.isascii() else k for k in cores]
-        tails = [w[len(c):] for w, c in zip(words, cores)]
-        wanted = list(set(keys).union(tails).difference(self.number, [""]))
-        for some, tokenizer in (([w for w in wanted if _PLAIN(w)], self.plain), ([w for w in wanted if not _PLAIN(w)], self.tokenizer)):
-            for at in range(0, len(some), 5_000):
-                self._add_fresh(some[at:at + 5_000], tokenizer)
-        made = [(w, self.number[k], self.number[t] if t else -1) for w, k, t in zip(words, keys, tails) if w not in self.number]
+        parts, wanted = [], set()
+        for w in missing:
+            core = w.rstrip(_TAIL)
+            if not core or not core[-1].isalnum():
+                core = w
+            key = core.lower() if self.caseless and core.isascii() else core
+            tail = w[len(core):]
+            wanted.add(key)
+            if tail:
+                wanted.add(tail)
+            if tail or key != w:
+                parts.append((w, key, tail))
+        plain, others = [], []
+        for w in wanted:
+            if w not in self.number:
+                (plain if _PLAIN(w) else others).append(w)
+        self._add_plain(plain)
+        for at in range(0, len(others), 5_000):
+            self._add_joined(others[at:at + 5_000])
+        made = [(w, self.number[k], self.number[t] if t else -1) for w, k, t in parts if w not in self.number]
         if made:
             pairs = np.array([m[1:] for m in made])
-            parts = np.where(pairs < 0, 0, self.length[pairs])
-            self._add([m[0] for m in made], parts.sum(axis=1), self._gathered(pairs[pairs >= 0]))
+            sizes = np.where(pairs < 0, 0, self.length[pairs])
+            self._add([m[0] for m in made], sizes.sum(axis=1), self._gathered(pairs[pairs >= 0]))
+
+    def _add_plain(self, words: list[str]) -> None:
+        coded = [[t.id for t in self.merged(w)] for w in words]
+        self._add(words, np.fromiter(map(len, coded), np.int64, len(coded)), np.fromiter(chain.from_iterable(coded), np.uint32))
 
-    def _add_fresh(self, words: list[str], tokenizer) -> None:
+    def _add_joined(self, words: list[str]) -> None:
         alone = [w for w in words if self.sign is None or self.sign in w]
         joined = [w for w in words if self.sign is not None and self.sign not in w]
         if joined:
-            between = self.sign if tokenizer is self.tokenizer else _SMALL
-            ids = np.array(tokenizer.encode_batch_fast([f" {between} ".join(joined)], add_special_tokens=False)[0].ids, np.uint32)
-            signs = np.flatnonzero(ids == (self.sign_id if tokenizer is self.tokenizer else self.small_id))
+            ids = np.array(self.tokenizer.encode_batch_fast([f" {self.sign} ".join(joined)], add_special_tokens=False)[0].ids, np.uint32)
+            signs = np.flatnonzero(ids == self.sign_id)
             if len(signs) != len(joined) - 1:
                 raise ValueError("the tokenizer doesn't keep words apart")
             self._add(joined, np.diff(np.concatenate([[-1], signs, [len(ids)]])) - 1, np.delete(ids, signs))
