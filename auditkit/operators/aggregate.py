@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditkit.functions.numbers import pct
-from auditkit.operators.columns import CheckFailed, column_facts
+from auditkit.operators.columns import column_facts
 from auditkit.operators.cumulate import q
 from auditkit.operators.profile import long_form
 
@@ -59,13 +59,14 @@ def weighted_mean(coverage: DataFrame, scopes: tuple[str, ...]) -> DataFrame:
         F.try_divide(F.sum(F.col("n_rows") * F.col("mean")), F.sum("n_rows").cast("double")).alias("train_mean"))
 
 
-def agreed_rows(coverage: DataFrame, scopes: tuple[str, ...]) -> int:
-    """The row total over the scopes, on which all features must agree."""
-    per = coverage.filter(F.col("scope").isin(*scopes)).groupBy("feature").agg(F.sum("n_rows").alias("n"))
-    low, high = per.agg(F.min("n"), F.max("n")).head()
-    if low is None or low != high:
-        raise CheckFailed(f"features disagree on the row count: {low} to {high}")
-    return low
+def agreed_rows(counts: DataFrame, scopes: tuple[str, ...], n: str = "n_rows") -> DataFrame:
+    """(train_rows): the row total over the scopes, on which all features must agree; reading it is an error where they don't.
+
+    ``counts`` has (feature, scope, n), in one row or several."""
+    per = counts.filter(F.col("scope").isin(*scopes)).groupBy("feature").agg(F.sum(n).alias("n"))
+    both = per.agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    wrong = F.raise_error(F.format_string("features disagree on the row count: %s to %s", F.col("low").cast("string"), F.col("high").cast("string")))
+    return both.select(F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(wrong.cast("long")).alias("train_rows"))
 
 
 def tallies(runs: DataFrame, calls: DataFrame, keys: list[str], tools: list[str]) -> DataFrame:

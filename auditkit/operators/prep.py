@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from auditkit.functions import encode
 from auditkit.operators.columns import WAS_MISSING, CheckFailed, column_facts, names_where
-from auditkit.operators.cumulate import q, quantiles
+from auditkit.operators.cumulate import positions, q, quantiles
+from auditkit.operators.lookup import look_up
 from auditkit.operators.profile import SENTINEL, long_form
-
-MAX_LEVELS = 2_000
+from auditkit.sources.staging import materialize
 
 
 @dataclass(frozen=True)
@@ -82,19 +82,38 @@ def levels(df: DataFrame, families: tuple[str, ...]) -> DataFrame:
 
 
 def fit(train: DataFrame, plan: Plan) -> Fitted:
-    """Learn the fitted state. It holds one value per column or level, and the level count is checked."""
+    """Learn the fitted state: one value per column and level. Each level becomes a column, so a family of very many, such as free
+    text, is for ``level_table`` and ``sparse_one_hot`` instead."""
     flat = names_where(column_facts(train, list(plan.numeric)), F.col("is_constant"))
     need = [c for c in plan.numeric if c not in plan.sentinel() and c not in flat]
     med = {r["feature"]: r["median"] for r in medians(train, need).collect()}
-    got = levels(train, plan.families).limit(MAX_LEVELS + 1).collect()
-    if len(got) > MAX_LEVELS:
-        raise CheckFailed(f"more than {MAX_LEVELS} levels; a free-text column is listed as a category")
     by_family: dict[str, list[str]] = {f: [] for f in plan.families}
-    for r in got:
+    for r in levels(train, plan.families).collect():
         by_family[r["family"]].append(r["level"])
     return Fitted(plan, med, {f: sorted(v) for f, v in by_family.items()}, flat)
 
 
+def level_table(train: DataFrame, families: tuple[str, ...]) -> DataFrame:
+    """(family, level, place): the levels of train in the order of family and level, numbered from 0. A written table, of any size."""
+    order = F.create_map(*[c for i, f in enumerate(families) for c in (F.lit(f), F.lit(i))])
+    found = levels(train, families).withColumn("_family", order[F.col("family")])
+    return materialize(positions(found, [], ["_family", "level"], "place").select("family", "level", (F.col("place") - 1).alias("place")), "levels")
+
+
+def sparse_one_hot(df: DataFrame, table: DataFrame, families: tuple[str, ...], key: str) -> DataFrame:
+    """(key, size, indices, values) of each row: the one-hot columns of ``table`` that are 1, as a sparse vector has them.
+
+    Rows take their levels' places by joins with the table, so the plan doesn't grow with the levels. A null is the level ``missing``; a
+    level that train doesn't have sets nothing. ``key`` tells rows apart."""
+    size = table.count()
+    cells = df.select(q(key), *[F.coalesce(q(f).cast("string"), F.lit("missing")).alias(f) for f in families])
+    cells = materialize(cells.unpivot([key], [q(f) for f in families], "family", "level"), "cells")
+    met = cells.groupBy("family", "level").agg(F.count("*").alias("_rows")).join(table, ["family", "level"], "left")
+    placed = look_up(cells, materialize(met, "met"), ["family", "level"], "_rows")
+    rows = placed.groupBy(key).agg(F.array_sort(F.collect_list("place")).alias("indices"))  # one for each family at most
+    return rows.select(q(key), F.lit(size).cast("long").alias("size"), "indices", F.transform("indices", lambda _: F.lit(1.0)).alias("values"))
+
+
 def unseen_levels(train: DataFrame, test: DataFrame, families: tuple[str, ...]) -> DataFrame:
     return levels(test, families).join(levels(train, families), ["family", "level"], "left_anti")
 

@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
+import math
+import uuid
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditkit.functions.numbers import null_if_nan, pct, r6
+from auditkit.functions.numbers import pct, r6
 from auditkit.operators.columns import WAS_MISSING, first_by
 from auditkit.operators.cumulate import cumulate, q, quantiles
+from auditkit.sources.staging import materialize, shared_dir
 
 SENTINEL = 999
-MAX_CORR_COLUMNS = 2_000
+#: Columns on a side of a correlation tile.
+BLOCK = 1_000
 
 
 def long_form(df: DataFrame, features: list[str], ids: list[str]) -> DataFrame:
@@ -98,19 +103,85 @@ def univariate(hist: DataFrame, train_vintages: tuple[int, ...], test: str = "te
     return wide.join(on_test, "feature")
 
 
-def correlation(df: DataFrame, features: list[str]) -> DataFrame:
-    """All ordered pairs (feature, neighbour, r) of different columns; r is null where a side is constant.
+def correlation(df: DataFrame, features: list[str], block: int = BLOCK) -> DataFrame:
+    """All ordered pairs (feature, neighbour, r) of different columns; r is null where a side is constant or has a null.
 
-    The Gram matrix is summed over the rows by Spark ML; only its p x p result reaches the driver.
+    Columns are cut into blocks, and each pair of blocks is one tile: a scan of the two blocks' columns alone, where every task multiplies its
+    centred rows and the products are added up by row of the tile. Tiles are written one after the other; the driver sees a few
+    figures a column, never the p x p result, and no task holds more than a tile.
     """
-    if len(features) > MAX_CORR_COLUMNS:
-        raise ValueError(f"{len(features)} columns; the p x p result is kept to {MAX_CORR_COLUMNS}")
-    vec = VectorAssembler(inputCols=features, outputCol="v").transform(
-        df.select(*[q(f).cast("double").alias(f) for f in features])).select("v")
-    m = Correlation.corr(vec, "v").head()[0].toArray()
-    rows = df.sparkSession.createDataFrame([(a, m[i].tolist()) for i, a in enumerate(features)], "feature string, rs array<double>")
-    cells = F.zip_with(F.array(*[F.lit(b) for b in features]), "rs", lambda b, r: F.struct(b.alias("neighbour"), null_if_nan(r).alias("r")))
-    return rows.select("feature", F.inline(cells)).filter(F.col("feature") != F.col("neighbour"))
+    spark = df.sparkSession
+    names = [features[i:i + block] for i in range(0, len(features), block)]
+    facts = {}
+    for part in names:
+        cells = [q(f).cast("double") for f in part]
+        got = df.agg(*[a.alias(f"{k}{i}") for i, c in enumerate(cells) for k, a in (("m", F.avg(c)), ("lo", F.min(c)), ("hi", F.max(c)), ("n", F.count(c)))], F.count("*").alias("rows")).first()
+        facts |= {f: (got[f"m{i}"], got[f"lo{i}"] is not None and got[f"lo{i}"] < got[f"hi{i}"] and got[f"n{i}"] == got["rows"]) for i, f in enumerate(part)}
+    varies = [[f for f in part if facts[f][1]] for part in names]
+    path, scale = f"{shared_dir(spark)}/tiles-{uuid.uuid4().hex[:12]}", {}
+    schema = "feature string, neighbour string, r double"
+    spark.createDataFrame([], schema).write.parquet(path)
+    for i, j in sorted(((i, j) for j in range(len(names)) for i in range(j + 1)), key=lambda t: (t[0] != t[1], t)):
+        if not varies[i] or not varies[j]:
+            continue
+        sums = materialize(_tile(df, varies[i], varies[j], {f: facts[f][0] for f in (*varies[i], *varies[j])}), "tile")
+        if i == j:  # tiles on the diagonal come first: they hold every column's own square
+            own = sums.select("row", F.get("products", F.col("row")).alias("square")).collect()
+            scale |= {varies[i][r["row"]]: math.sqrt(r["square"]) for r in own}
+        _pairs(sums, varies[i], varies[j], scale).write.mode("append").parquet(path)
+        if i != j:
+            turned = _pairs(sums, varies[i], varies[j], scale).select(F.col("neighbour").alias("feature"), F.col("feature").alias("neighbour"), "r")
+            turned.write.mode("append").parquet(path)
+    known = spark.read.schema(schema).parquet(path)
+    flat = [f for f in features if not facts[f][1]]
+    if not flat:
+        return known
+    # A column that doesn't vary has a row without r against each other column.
+    a, every = (spark.createDataFrame([(f,) for f in some], "f string") for some in (flat, features))
+    blank = F.lit(None).cast("double").alias("r")
+    one = a.select(F.col("f").alias("feature"), F.explode(F.array(*map(F.lit, features))).alias("neighbour"))
+    two = every.filter(~F.col("f").isin(flat)).select(F.col("f").alias("feature"), F.explode(F.array(*map(F.lit, flat))).alias("neighbour"))
+    return known.unionByName(one.unionByName(two).filter("feature <> neighbour").select("feature", "neighbour", blank))
+
+
+def _tile(df: DataFrame, left: list[str], right: list[str], means: dict[str, float]) -> DataFrame:
+    """(row, products): sums over all rows of the products of each left column with all right ones, both less their means."""
+    columns = list(dict.fromkeys([*left, *right]))
+    place = {f: k for k, f in enumerate(columns)}
+    a, b, centre = [place[f] for f in left], [place[f] for f in right], np.array([means[f] for f in columns])
+
+    def multiply(batches):
+        total = np.zeros((len(a), len(b)))
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]) - centre
+            total += x[:, a].T @ x[:, b]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(a)), pa.int32()), pa.array(list(total), pa.list_(pa.float64()))], names=["row", "products"])
+
+    def add(batches):
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for r, v in zip(batch.column(0).to_pylist(), batch.column(1)):
+                v = v.values.to_numpy()
+                total[r] = total[r] + v if r in total else v.copy()
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(list(total.values()), pa.list_(pa.float64()))], names=["row", "products"])
+
+    schema = "row int, products array<double>"
+    parts = df.select(*[q(f).cast("double").alias(f"c{k}") for k, f in enumerate(columns)]).mapInArrow(multiply, schema)
+    return parts.repartition("row").mapInArrow(add, schema)
+
+
+def _pairs(sums: DataFrame, left: list[str], right: list[str], scale: dict[str, float]) -> DataFrame:
+    """(feature, neighbour, r) of one tile's sums, without a column beside itself."""
+    def named(batches):
+        across = np.array([scale[f] for f in right])
+        for batch in batches:
+            for r, v in zip(batch.column(0).to_pylist(), batch.column(1)):
+                other = [k for k, f in enumerate(right) if f != left[r]]
+                c = v.values.to_numpy() / (scale[left[r]] * across)
+                yield pa.RecordBatch.from_arrays([pa.array([left[r]] * len(other), pa.string()), pa.array([right[k] for k in other], pa.string()),
+                                                  pa.array(np.clip(c[other], -1, 1), pa.float64())], names=["feature", "neighbour", "r"])
+
+    return sums.mapInArrow(named, "feature string, neighbour string, r double")
 
 
 def neighbours(pairs: DataFrame, k: int = 15) -> DataFrame:

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from auditkit.operators.columns import first_by
 from auditkit.operators.cumulate import cumulate, positions, q
+from auditkit.sources.staging import materialize
 
-_PREFIX = 3
+#: Digits of the draw that a pass looks further, and rows about the threshold that are ordered in one task.
+_DIGITS, _EDGE = 3, 10_000
 
 
 def draw(seed: int, key: Column) -> Column:
@@ -17,22 +19,32 @@ def draw(seed: int, key: Column) -> Column:
 
 
 def seeded_sample(df: DataFrame, key: str, seed: int, n: int) -> DataFrame:
-    """n rows without replacement, the same for the same seed.
+    """n rows without replacement, the same for the same seed; all rows if there are fewer, none for n below 1.
 
-    Counting the 4096 prefixes of the draw first shows below which prefix the n rows lie, so that only about those rows
-    reach the final ordering, however large the table is.
+    Rows are taken in the order of their draw. Counting draws by their first digits, then by more digits where the n-th row
+    lies, finds the threshold: rows below it are a filter, whatever their number, and only the few about it are ordered. Rows that repeat
+    one key share a draw; if the threshold falls among very many of them, as many as are wanted are taken.
     """
     drawn = df.withColumn("_draw", draw(seed, q(key)))
-    head = F.substring("_draw", 1, _PREFIX)
-    counts = sorted((r[0], r[1]) for r in drawn.groupBy(head).agg(F.count("*")).collect())  # at most 16^3 rows
-    seen, last = 0, None
-    for prefix, k in counts:
-        last, seen = prefix, seen + k
-        if seen >= n:
-            break
-    if last is None:
-        return df.limit(0)
-    return drawn.filter(head <= last).orderBy("_draw", q(key)).limit(n).drop("_draw")
+    edge, wanted, size = "", n, None
+    while size is None or (size > _EDGE and len(edge) < 32):
+        digits = F.substring("_draw", 1, len(edge) + _DIGITS)
+        counts = sorted((r[0], r[1]) for r in drawn.filter(F.startswith("_draw", F.lit(edge))).groupBy(digits).agg(F.count("*")).collect())  # at most 16^3 rows
+        for prefix, size in counts:
+            if size > wanted:
+                edge = prefix
+                break
+            wanted -= size
+        else:
+            return df if n > 0 else df.limit(0)
+    below = drawn.filter(F.col("_draw") < edge)
+    about = drawn.filter(F.startswith("_draw", F.lit(edge)))
+    if size <= _EDGE:
+        about = about.orderBy("_draw", q(key)).limit(max(wanted, 0))
+    else:
+        numbered = materialize(about.withColumn("_at", F.monotonically_increasing_id()), "alike")
+        about = positions(numbered, [], ["_at"], "_pos").filter(F.col("_pos") <= wanted).drop("_at", "_pos")
+    return below.unionByName(about).drop("_draw")
 
 
 def review_sheet(items: DataFrame, key: str, seed: int) -> DataFrame:

@@ -11,69 +11,50 @@ from pyspark.sql import functions as F
 from auditkit.functions.text import strip
 from auditkit.operators.columns import CheckFailed, first_by
 from auditkit.operators.cumulate import positions
+from auditkit.sources.staging import materialize
 
 CEILING = 0.45
 TOP_K = 10
 BAND = 0.05
 SHOWN = 25
-QUERY_BYTES = "auditkit.search.query.bytes"
-_DEFAULT_QUERY_BYTES = 64 << 20
+#: Longest grams of the keyword index; shorter queries have grams of their own length.
+GRAM = 3
 _CELL_ROWS = 20_000
 _CELL_QUERIES = 1_024
 _PLACES = 9
 _TIER2 = 10 ** 15
 
 
-def _query_limit(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get(QUERY_BYTES, str(_DEFAULT_QUERY_BYTES)))
+# ---------------------------------------------------------------- keyword
+def grams(text: Column, size: int) -> Column:
+    """The distinct runs of ``size`` characters of a text, in one pass over it."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)))
 
 
-# ---------------------------------------------------------------- keyword
 def keyword_hits(docs: DataFrame, queries: DataFrame) -> DataFrame:
     """(query, pos, feature, tier): tier 1 where the name holds the query, tier 2 where only the description does.
 
-    ``docs`` has (pos, feature, description), ``queries`` has (query, text). Every text is scanned once. The queries are
-    the small side and their size is checked; past the limit they are worked off in several passes of bounded size.
+    ``docs`` has (pos, feature, description), ``queries`` has (query, text); case and blanks at the ends don't count. A text that holds a
+    query holds all its grams, so the query meets only texts with the rarest of them, by an equi-join, and is looked for there. Queries of
+    any number and texts of any length stay in Spark. Blank and null queries have no hits; a null name or description holds nothing.
     """
-    q = queries.select("query", F.lower(strip(F.col("text"))).alias("text")).filter(F.col("text") != "")
-    size = q.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).head()[0]
-    passes = max(1, math.ceil(size / _query_limit(docs)))
-    out = None
-    for i in range(passes):
-        part = q if passes == 1 else q.filter(F.pmod(F.xxhash64("query"), F.lit(passes)) == i)
-        rows = [(r["query"], r["text"]) for r in part.collect()]
-        if rows:
-            hits = _scan_automaton(docs, rows)
-            out = hits if out is None else out.unionByName(hits)
-    if out is None:
-        raise CheckFailed("no query holds any text")
-    return out
-
-
-def _scan_automaton(docs: DataFrame, rows: list[tuple]) -> DataFrame:
-    """One multi-pattern automaton per task, one pass over each text. A null name or description holds no query."""
-    low = docs.select("pos", "feature", F.lower("feature").alias("n"), F.lower("description").alias("d"))
-    schema = f"query {dict(docs.sparkSession.createDataFrame(rows[:1], ['q', 't']).dtypes)['q']}, pos bigint, feature string, tier int"
-
-    def scan(batches):
-        import ahocorasick
-        by_text: dict[str, list] = {}
-        for i, t in rows:
-            by_text.setdefault(t, []).append(i)
-        auto = ahocorasick.Automaton()
-        for t in by_text:
-            auto.add_word(t, t)
-        auto.make_automaton()
-        for pdf in batches:
-            got = []
-            for pos, feature, n, d in zip(pdf["pos"], pdf["feature"], pdf["n"], pdf["d"]):
-                names = {t for _, t in auto.iter(n or "")}
-                texts = {t for _, t in auto.iter(d or "")} - names
-                got += [(i, pos, feature, tier) for tier, ts in ((1, names), (2, texts)) for t in ts for i in by_text[t]]
-            import pandas as pd
-            yield pd.DataFrame(got, columns=["query", "pos", "feature", "tier"])
-
-    return low.mapInPandas(scan, schema)
+    asked = materialize(queries.select("query", F.lower(strip(F.col("text"))).alias("asked")).filter("asked <> ''")
+                        .withColumn("size", F.least(F.length("asked"), F.lit(GRAM))), "asked")
+    sizes = sorted(r["size"] for r in asked.select("size").distinct().collect())  # at most GRAM
+    fields = F.array(F.struct(F.lit(1).alias("tier"), F.lower("feature").alias("body")), F.struct(F.lit(2).alias("tier"), F.lower("description").alias("body")))
+    texts = docs.select("pos", "feature", F.inline(fields)).filter("body is not null")
+    none = F.array().cast("array<string>")
+    own = F.coalesce(*[F.when(F.col("size") == s, grams(F.col("asked"), s)) for s in sizes], none)
+    parts = asked.select("asked", F.explode(own).alias("gram")).distinct()
+    held = texts.select("pos", "tier", F.explode(F.concat(none, *[grams(F.col("body"), s) for s in sizes])).alias("gram"))
+    postings = materialize(held.join(parts.select("gram").distinct(), "gram", "left_semi"), "postings")
+    rarity = postings.groupBy("gram").agg(F.count("*").alias("n"))
+    # A gram that no text has tells that the query has no hit.
+    chosen = parts.join(rarity, "gram", "left").groupBy("asked").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("rarest"))
+    found = postings.join(chosen.filter("rarest.n > 0").select("asked", F.col("rarest.gram").alias("gram")), "gram").drop("gram")
+    hits = found.join(texts, ["pos", "tier"]).filter(F.contains("body", "asked"))
+    best = hits.groupBy("asked", "pos", "feature").agg(F.min("tier").alias("tier"))
+    return asked.select("query", "asked").join(best, "asked").select("query", "pos", "feature", "tier")
 
 
 def ranked(hits: DataFrame) -> DataFrame:
@@ -118,14 +99,15 @@ def vector_hits(docs: DataFrame, queries: DataFrame, k: int | None = TOP_K) -> D
 
     ``docs`` has (vec_id, embedding, skip), where ``skip`` lists queries the row must not answer; ``queries`` has
     (query, vector, cutoff). A null vector, one with a null in it or one of another length answers and asks nothing; ``index_stats``
-    counts them. Both sides are cut into a grid of bounded cells; a cell keeps at most k rows per query.
+    counts them. No queries, or a k below 1, have no hits; an empty index is an error. Both sides are cut into a grid of bounded cells; a cell keeps at most k rows per query.
     """
     n, dim = queries.agg(F.count("*"), F.max(F.size("vector"))).head()
-    if not n:
-        raise CheckFailed("there are no queries")
-    if docs.limit(1).count() == 0:
-        raise CheckFailed("the vector index is empty")
     schema = "query bigint, vec_id bigint, distance double"
+    if not n or (k is not None and k < 1):
+        none = docs.sparkSession.createDataFrame([], schema)
+        return none if k is None else none.withColumn("rank", F.lit(1))
+    if docs.isEmpty():
+        raise CheckFailed("the vector index is empty")
     docs = docs.select("vec_id", "embedding", F.col("skip").cast("array<bigint>").alias("skip"))
     queries = queries.select(F.col("query").cast("long").alias("query"), "vector", "cutoff")
     usable = lambda v: F.col(v).isNotNull() & (F.size(v) == dim) & ~F.exists(v, lambda x: x.isNull())
@@ -194,7 +176,7 @@ def band_search(docs: DataFrame, probes: DataFrame, margin: float = BAND, ceilin
     named, rest = name_hits(docs, probes)
     best = vector_hits(docs.withColumn("skip", F.lit(None)), probes.withColumn("cutoff", F.lit(2.0)), 1)
     cut = best.groupBy("query").agg(F.min("distance").alias("best"))
-    limited = probes.join(F.broadcast(cut), "query").withColumn(  # one row per query
+    limited = probes.join(cut, "query").withColumn(
         "cutoff", F.when(F.col("best") <= ceiling, F.least(F.round(F.col("best") + margin, _PLACES), F.lit(ceiling)))
         .otherwise(F.lit(-1.0)))
     return _merge(named, vector_hits(rest, limited, None))

@@ -141,8 +141,7 @@ def weighted_mean(v):
 
 @query("agg_15_agreed_rows", "SELECT count(*) AS train_rows FROM loans WHERE split = 'train'", ("loans",))
 def agreed_rows(v):
-    n = aggregate.agreed_rows(profile.moments(v.hist()), _VINTAGES)
-    return v.spark.createDataFrame([(n,)], "train_rows long")
+    return aggregate.agreed_rows(v.hist(), _VINTAGES, "n")
 
 
 @query("agg_16_flag_census", """

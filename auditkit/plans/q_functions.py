@@ -128,9 +128,9 @@ def number_tokens(v):
             .select("doc_id", "pos", "t.text", "t.value", "t.decimals"))
 
 
-@query("fn_14_scientific")
+@query("fn_14_scientific", "SELECT event_id, printf('%.4e', value) AS figure FROM events")
 def scientific(v):
-    noted = F.concat(F.format_string("%.2e", F.col("value")), F.lit(" at "), F.col("props"))
+    noted = F.concat(F.format_string("%.4e", F.col("value")), F.lit(" at "), F.col("props"))
     return v.table("events").select("event_id", F.explode(text.scientific(noted)).alias("figure"))
 
 

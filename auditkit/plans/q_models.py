@@ -42,6 +42,10 @@ def _trees(v) -> boost.Model:
     return _once(v, "trees", lambda: model.fit_trees(_bins(v), [boost.Spec(folds=(FIT, VAL))])[0])
 
 
+def _logistic(v):
+    return _once(v, "logistic", lambda: model.fit_logistic(_split(v, "train"), v.features(), ITERATIONS))
+
+
 def _row(v, name: str, m: dict):
     return v.spark.createDataFrame([(name, *[round(m[k], 6) for k in ("roc_auc", "pr_auc", "brier")])],
                                    "model string, roc_auc double, pr_auc double, brier double")
@@ -49,9 +53,18 @@ def _row(v, name: str, m: dict):
 
 @query("ml_01_logistic")
 def logistic(v):
-    names = v.features()
-    fitted = model.fit_logistic(_split(v, "train"), names, ITERATIONS)
-    return _row(v, "logistic", model.evaluate(model.score(fitted, _split(v, "test"), names)))
+    return _row(v, "logistic", model.evaluate(model.score(_logistic(v), _split(v, "test"), v.features())))
+
+
+@query("ml_01_balance", "SELECT 'logistic' AS model, true AS balanced, count(*) AS rows FROM loans WHERE split = 'train'", ("loans",))
+def logistic_balance(v):
+    """At the optimum of a balanced fit with a free intercept, the class-weighted mean score of both classes together is one half."""
+    train, names = _split(v, "train"), v.features()
+    neg, pos = model.class_counts(train)
+    s = model.score(_logistic(v), train, names)
+    w = F.when(F.col("label") == 1, 0.5 / pos).otherwise(0.5 / neg)
+    got = s.agg(F.sum(w * F.col("score")).alias("mean"), F.count("*").alias("rows"))
+    return got.select(F.lit("logistic").alias("model"), (F.abs(F.col("mean") - 0.5) < 1e-3).alias("balanced"), "rows")
 
 
 @query("ml_02_trees")

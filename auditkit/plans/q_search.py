@@ -163,7 +163,8 @@ def diagnosis(v):
     return search.diagnose(v.probes(), v.topk_hits(), wanted, both)
 
 
-@query("ret_10_embed")
+@query("ret_10_embed", r"""
+  SELECT doc_id, 384 AS dim, CASE WHEN regexp_matches(coalesce(text, ''), '[\p{L}\p{N}]') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS norm FROM documents""")
 def embed(v):
     out = search.embed(v.texts().select("doc_id", "text"), dim=384)
     from auditkit.functions import vectors

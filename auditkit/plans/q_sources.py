@@ -145,7 +145,13 @@ def upsert(v):
     return files.upsert(base, batch, "doc_id")
 
 
-@query("src_12_hash_manifest")
+_FILES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels",
+          "conversations")
+
+
+@query("src_12_hash_manifest", f"""
+  SELECT t || '.parquet' AS file, CASE WHEN t = 'region' THEN 'changed' WHEN t IN ('pages', 'part') THEN 'unlisted' WHEN t = 'parts' THEN 'missing' ELSE 'ok' END AS status
+  FROM (SELECT unnest({[*_FILES, 'parts']!r}) AS t)""")
 def hash_manifest(v):
     now = files.file_hashes(v.spark, v.dir, "*.parquet")
     stored = (now.filter(F.col("file") != "pages.parquet")

@@ -257,6 +257,26 @@ fe_05 = _matrix_query("fe_05_median", ["n_items", "qty", "avg_disc", "history_mo
 fe_06 = _matrix_query("fe_06_one_hot", [f"unseen_{s}" for s in SEGMENTS])
 
 
+cte("family_levels", ("loans",), """
+  SELECT row_id, split, unnest(['o_orderpriority', 'c_mktsegment', 'unseen']) AS family,
+    coalesce(unnest([o_orderpriority, c_mktsegment, unseen]), 'missing') AS level FROM loans""")
+cte("numbered_levels", ("family_levels",), f"""
+  SELECT family, level, row_number() OVER (ORDER BY list_position({list(PLAN.families)!r}, family), level) - 1 AS place
+  FROM (SELECT DISTINCT family, level FROM family_levels WHERE split = 'train')""")
+
+
+@query("fe_06_sparse_one_hot", """
+  SELECT f.row_id, (SELECT count(*) FROM numbered_levels) AS size, coalesce(string_agg(CAST(n.place AS VARCHAR), ',' ORDER BY n.place), '') AS places
+  FROM family_levels f LEFT JOIN numbered_levels n ON n.family = f.family AND n.level = f.level WHERE f.split = 'test' GROUP BY f.row_id""",
+       ("family_levels", "numbered_levels"))
+def sparse_one_hot(v):
+    """The one-hot columns of the three families by their numbers, with the level that only test has setting none."""
+    parsed = v.parsed()
+    table = prep.level_table(parsed.filter("split = 'train'"), PLAN.families)
+    rows = prep.sparse_one_hot(parsed.filter("split = 'test'"), table, PLAN.families, "row_id")
+    return rows.select("row_id", "size", F.array_join(F.col("indices").cast("array<string>"), ",").alias("places"))
+
+
 @query("fe_07_standardised", """
   SELECT feature, round(avg(z), 6) + 0.0::DOUBLE AS mean, round(stddev_samp(z), 6) AS std FROM (
     SELECT l.feature, l.split, (l.value - m.mu) / m.sd AS z FROM long l

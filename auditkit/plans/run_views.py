@@ -12,7 +12,6 @@ from auditkit.operators import findings, scoring, search, sets
 from auditkit.operators.cumulate import positions
 from auditkit.plans.sqlviews import cte
 
-MAX_LABELS = 10_000
 MATRIX_TOOLS = ("view", "click")
 REJECTED = ("unknown_tool", "unexpected_argument", "bad_arguments", "failed")
 EMPTY = ("not_found", "not_precomputed", "match_count=0")
@@ -148,13 +147,10 @@ class RunViews:
 
     # ---------------------------------------------------------------- vectors
     def centroids(self) -> DataFrame:
-        """(label, vector): the mean vector of every label, the retrieval queries. Their number is checked."""
+        """(label, vector): the mean vector of every label, the retrieval queries."""
         vec = array_to_vector(F.transform("embedding", lambda x: x.cast("double")))
-        df = self._stage("centroids", lambda: self.table("embeddings").groupBy("label")
+        return self._stage("centroids", lambda: self.table("embeddings").groupBy("label")
                          .agg(Summarizer.mean(vec).alias("m")).select("label", vector_to_array("m").alias("vector")))
-        if df.count() > MAX_LABELS:
-            raise ValueError(f"more than {MAX_LABELS} labels")
-        return df
 
     def vec_docs(self) -> DataFrame:
         """(vec_id, feature, embedding, label): the vector index with the names of its documents."""

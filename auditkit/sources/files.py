@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+from urllib.parse import quote, unquote
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,6 +14,8 @@ from pyspark.sql import types as T
 from auditkit.operators.columns import CheckFailed
 
 _BAD = "_bad_line"
+#: Stores that a task reads as a stream, and the bytes it holds at once.
+STREAMED, PIECE = ("file", "hdfs", "s3", "gs", "gcs", "abfs", "abfss"), 8 << 20
 
 
 # ---------------------------------------------------------------- CSV
@@ -117,9 +124,32 @@ def upsert(base: DataFrame, updates: DataFrame, key: str, order: str | None = No
 
 
 def file_hashes(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """(file, sha256) of every file in a folder; one file must fit into a task (under 2 GB)."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.sha2("content", 256).alias("sha256"))
+    """(file, sha256) of every file in a folder, of any size, empty ones included.
+
+    Spark lists the files and deals them out; each is read in its task as a stream, ``PIECE`` bytes at a time. A store that Arrow
+    has no file system for is read by Spark instead, where a file has to fit into a cell of 2 GB."""
+    scan = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
+    uris = [unquote(u) for u in scan.inputFiles()]  # the list that Spark's own file index holds
+    listed = spark.createDataFrame([(u.rsplit("/", 1)[-1], u) for u in uris], "file string, uri string")
+    if any(u.split(":", 1)[0] not in STREAMED for u in uris):
+        whole = scan.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.sha2("content", 256).alias("sha256"))
+        return listed.select("file").join(whole, "file", "left").select("file", F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("sha256"))  # scans skip empty files
+
+    def work(batches):
+        from pyarrow.fs import FileSystem, LocalFileSystem
+        for b in batches:
+            found = []
+            for uri in b.column(1).to_pylist():
+                local = re.match("file:/+", uri)
+                store, at = (LocalFileSystem(), "/" + uri[local.end():]) if local else FileSystem.from_uri(quote(uri, safe=":/"))
+                digest = hashlib.sha256()
+                with store.open_input_stream(at, buffer_size=0) as stream:
+                    while piece := stream.read(PIECE):
+                        digest.update(piece)
+                found.append(digest.hexdigest())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.string())], names=["file", "sha256"])
+
+    return listed.repartition(max(1, min(len(uris), 1_000))).mapInArrow(work, "file string, sha256 string")
 
 
 def compare_hashes(current: DataFrame, manifest: DataFrame) -> DataFrame:

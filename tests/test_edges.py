@@ -1,5 +1,6 @@
 """Rows that once gave wrong answers or stopped a query."""
 
+import hashlib
 import pytest
 from pyspark.sql import functions as F
 
@@ -82,3 +83,16 @@ def test_null_outcomes_and_configurations(spark):
     none = spark.createDataFrame([], "run string, metric string")
     only = runs.gates(table, (), none).filter("metric = 'M18'").first()
     assert (only["status"], only["reason"]) == ("excluded", "scope_not_canary")
+
+
+def test_sample_of_any_size(spark, monkeypatch):
+    """The n first by draw, whether the threshold falls early, late, about few rows or among repeats of one key."""
+    monkeypatch.setattr(ranked, "_EDGE", 40)
+    keys = list(range(3000)) + [17] * 500
+    df = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "k long, i long").repartition(6)
+    order = sorted(keys, key=lambda k: (hashlib.md5(f"9|{k}".encode()).hexdigest(), k))
+    place = order.index(17)
+    for n in (-1, 0, 1, 5, 1750, place + 1, place + 250, place + 501, 3499, 3500, 9999):
+        got = ranked.seeded_sample(df, "k", 9, n).collect()
+        assert sorted(r["k"] for r in got) == sorted(order[:max(n, 0)]) and len({r["i"] for r in got}) == len(got)
+    assert ranked.seeded_sample(df.limit(0), "k", 9, 5).count() == 0

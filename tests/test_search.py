@@ -71,19 +71,43 @@ def test_empty_index_is_an_error(spark):
         search.vector_hits(docs(spark).withColumn("skip", F.lit(None)).limit(0), probes(spark).withColumn("cutoff", F.lit(1.0)))
 
 
-def test_keyword_passes_agree(spark):
+def test_keyword_hits(spark):
     texts = ["Alpha beta", "beta GAMMA delta", "", None, "alphabet"]
     d = spark.createDataFrame([(i, f"name_{i}{'_beta' if i == 4 else ''}", t) for i, t in enumerate(texts)] + [(9, None, "none")], "pos long, feature string, description string")
-    q = spark.createDataFrame([("q1", "beta"), ("q2", "ALPHA"), ("q3", "a"), ("q4", "none such"), ("q5", "beta"), ("q6", " \n\t")], "query string, text string")
+    q = spark.createDataFrame([("q1", "beta"), ("q2", "ALPHA"), ("q3", "a"), ("q4", "none such"), ("q5", "beta"), ("q6", " \n\t"), ("q7", None)], "query string, text string")
     want = {("q1", 4, 1), ("q5", 4, 1), ("q1", 0, 2), ("q5", 0, 2), ("q1", 1, 2), ("q5", 1, 2), ("q2", 0, 2), ("q2", 4, 2)} | {
         ("q3", i, 1) for i in range(5)}
-    got = [{(r["query"], r["pos"], r["tier"]) for r in search.keyword_hits(d, q).collect()}]
-    spark.conf.set(search.QUERY_BYTES, "8")
-    got.append({(r["query"], r["pos"], r["tier"]) for r in search.keyword_hits(d, q).collect()})
-    spark.conf.unset(search.QUERY_BYTES)
-    assert got == [want] * 2
+    got = search.keyword_hits(d, q).collect()
+    assert {(r["query"], r["pos"], r["tier"]) for r in got} == want and len(got) == len(want)
     ranks = [(r["pos"], r["rank"]) for r in search.ranked(search.keyword_hits(d, q)).filter("query = 'q1'").orderBy("rank").collect()]
     assert ranks == [(4, 1), (0, 2), (1, 3)]
+    assert search.keyword_hits(d, q.filter("query in ('q6', 'q7')")).count() == 0 == search.keyword_hits(d.limit(0), q).count()
+
+
+def test_keyword_hits_are_substrings(spark):
+    """Many queries of every length against brute force: repeats, line ends, accents, characters beyond 16 bits, special signs."""
+    rng = np.random.default_rng(6)
+    letters = list("abAé \n.*(\U0001f600")
+    texts = ["".join(rng.choice(letters, size=rng.integers(0, 60))) for _ in range(80)] + ["aaaaaaaa" * 900]
+    d = [(i, "".join(rng.choice(letters, size=rng.integers(0, 9))), t) for i, t in enumerate(texts)]
+    asked = ["".join(rng.choice(letters, size=rng.integers(1, 6))) for _ in range(400)] + [t[5:25] for t in texts] + ["a" * 7000, "zzz", "a\U0001f600"]
+    got = search.keyword_hits(spark.createDataFrame(d, "pos long, feature string, description string"),
+                              spark.createDataFrame(list(enumerate(asked)), "query long, text string")).collect()
+    low = lambda t: t.lower()
+    want = {(j, i, 1 if low(t.strip()) in low(n) else 2) for j, t in enumerate(asked) if t.strip()
+            for i, n, x in d if low(t.strip()) in low(n) or low(t.strip()) in low(x)}
+    assert {(r["query"], r["pos"], r["tier"]) for r in got} == want and len(got) == len(want)
+
+
+def test_keyword_search_collects_no_query(spark, monkeypatch):
+    d = spark.createDataFrame([(1, "name", "some text")], "pos long, feature string, description string")
+    q = spark.range(50_000).select("id", F.concat(F.lit("text"), "id").alias("text")).withColumnRenamed("id", "query").unionByName(
+        spark.createDataFrame([(-1, "me te")], "query long, text string"))
+    rows, whole = [], type(d).collect
+    monkeypatch.setattr(type(d), "collect", lambda self: rows.append(whole(self)) or rows[-1])
+    got = search.keyword_hits(d, q)
+    assert sum(map(len, rows)) <= search.GRAM
+    assert [tuple(r) for r in whole(got)] == [(-1, 1, "name", 2)]
 
 
 def test_evaluation(spark):

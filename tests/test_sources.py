@@ -1,5 +1,6 @@
 """Files: strict lines, null cells, run directories as they lie on disk, manifests, staging."""
 
+import hashlib
 import json
 
 import pytest
@@ -69,6 +70,18 @@ def test_hashes(spark, tmp_path):
     assert got == {"a": "ok", "b": "changed", "c": "missing", "d": "unlisted"}
 
 
+def test_hashes_stream_in_pieces(spark, tmp_path, monkeypatch):
+    """A file of many pieces, an empty one and an odd name; nothing of a file is held beyond a piece."""
+    content = {"large": bytes(range(256)) * 50_000, "empty": b"", "an odd name %20": b"x"}
+    for n, b in content.items():
+        (tmp_path / n).write_bytes(b)
+    want = {n: hashlib.sha256(b).hexdigest() for n, b in content.items()}
+    assert {r["file"]: r["sha256"] for r in files.file_hashes(spark, str(tmp_path)).collect()} == want
+    monkeypatch.setattr(files, "STREAMED", ())
+    assert {r["file"]: r["sha256"] for r in files.file_hashes(spark, str(tmp_path)).collect()} == want
+    assert files.file_hashes(spark, str(tmp_path), "la*").count() == 1
+
+
 def test_upsert_replaces(spark):
     base = spark.createDataFrame([("a", 1), ("b", 2)], "k string, v int")
     new = spark.createDataFrame([("b", 3), ("c", 4)], "k string, v int")
