@@ -234,7 +234,7 @@ SELECT doc_id, size, text_crc32, 'key' AS law, CAST(shard AS INTEGER) AS shard,
   row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, size, text_crc32) - 1 AS slot FROM c JOIN w USING (r)"""
 
 
-@query("op13_rendezvous_shards")
+@query("op13_rendezvous_shards", SHARD_SQL)
 def rendezvous_shards(spark, sf_dir):
     placed = shards.assign(table(spark, sf_dir, "documents"), [1.0] * SHARDS, more=1.0)
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
