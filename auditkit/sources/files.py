@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from fnmatch import fnmatchcase
 from urllib.parse import quote, unquote
 
 import pyarrow as pa
@@ -123,17 +124,26 @@ def upsert(base: DataFrame, updates: DataFrame, key: str, order: str | None = No
     return base.join(updates.select(key), key, "left_anti").unionByName(updates)
 
 
+def _plain(uri: str) -> str:
+    """A uri with one slash after its scheme, as Hadoop spells paths."""
+    return re.sub("^([^/:]+):/+", r"\1:/", uri)
+
+
 def file_hashes(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """(file, sha256) of every file in a folder, of any size, empty ones included.
+    """(file, sha256) of every file in a folder, of any size, empty ones included. A table kept as a folder of files is one entry: the
+    digest of its files' names and digests in the order of their names.
 
     Spark lists the files and deals them out; each is read in its task as a stream, ``PIECE`` bytes at a time. A store that Arrow
     has no file system for is read by Spark instead, where a file has to fit into a cell of 2 GB."""
-    scan = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
-    uris = [unquote(u) for u in scan.inputFiles()]  # the list that Spark's own file index holds
-    listed = spark.createDataFrame([(u.rsplit("/", 1)[-1], u) for u in uris], "file string, uri string")
+    scan = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    root = _plain(folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(folder).toString()).rstrip("/") + "/"
+    uris = [_plain(unquote(u)) for u in scan.inputFiles()]  # the list that Spark's own file index holds
+    uris = [u for u in uris if fnmatchcase(u[len(root):].split("/", 1)[0], pattern)]
+    listed = spark.createDataFrame([(u[len(root):], u) for u in uris], "name string, uri string")
     if any(u.split(":", 1)[0] not in STREAMED for u in uris):
-        whole = scan.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.sha2("content", 256).alias("sha256"))
-        return listed.select("file").join(whole, "file", "left").select("file", F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("sha256"))  # scans skip empty files
+        whole = scan.select(F.regexp_replace("path", "^([^/:]+):/+", "$1:/").alias("uri"), F.sha2("content", 256).alias("sha256"))
+        return _entries(listed.join(whole, "uri", "left").select("name", F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("sha256")))  # scans skip empty files
 
     def work(batches):
         from pyarrow.fs import FileSystem, LocalFileSystem
@@ -141,15 +151,23 @@ def file_hashes(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame
             found = []
             for uri in b.column(1).to_pylist():
                 local = re.match("file:/+", uri)
-                store, at = (LocalFileSystem(), "/" + uri[local.end():]) if local else FileSystem.from_uri(quote(uri, safe=":/"))
+                store, at = (LocalFileSystem(), "/" + uri[local.end():]) if local else FileSystem.from_uri(quote(uri.replace(":/", "://", 1), safe=":/"))
                 digest = hashlib.sha256()
                 with store.open_input_stream(at, buffer_size=0) as stream:
                     while piece := stream.read(PIECE):
                         digest.update(piece)
                 found.append(digest.hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.string())], names=["file", "sha256"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.string())], names=["name", "sha256"])
+
+    return _entries(listed.repartition(max(1, min(len(uris), 1_000))).mapInArrow(work, "name string, sha256 string"))
+
 
-    return listed.repartition(max(1, min(len(uris), 1_000))).mapInArrow(work, "file string, sha256 string")
+def _entries(files: DataFrame) -> DataFrame:
+    """(name, sha256) of files to one row for each file or folder at the top; a folder's group holds a line for each of its files."""
+    line = F.concat("name", F.lit("\n"), "sha256", F.lit("\n"))
+    per = files.groupBy(F.substring_index("name", "/", 1).alias("file")).agg(
+        F.max(F.when(~F.contains("name", F.lit("/")), F.col("sha256"))).alias("own"), F.sort_array(F.collect_list(line)).alias("lines"))
+    return per.select("file", F.coalesce("own", F.sha2(F.array_join("lines", ""), 256)).alias("sha256"))
 
 
 def compare_hashes(current: DataFrame, manifest: DataFrame) -> DataFrame:

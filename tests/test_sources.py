@@ -82,6 +82,23 @@ def test_hashes_stream_in_pieces(spark, tmp_path, monkeypatch):
     assert files.file_hashes(spark, str(tmp_path), "la*").count() == 1
 
 
+def test_hashes_of_tables_kept_as_folders(spark, tmp_path, monkeypatch):
+    (tmp_path / "one.parquet").write_bytes(b"1")
+    (tmp_path / "many.parquet").mkdir()
+    (tmp_path / "many.parquet" / "part-0").write_bytes(b"2")
+    (tmp_path / "many.parquet" / "part-1").write_bytes(b"")
+    (tmp_path / "other").mkdir()
+    (tmp_path / "other" / "x.parquet").write_bytes(b"3")
+    got = {r["file"]: r["sha256"] for r in files.file_hashes(spark, str(tmp_path), "*.parquet").collect()}
+    assert set(got) == {"one.parquet", "many.parquet"} and got["one.parquet"] == hashlib.sha256(b"1").hexdigest()
+    monkeypatch.setattr(files, "STREAMED", ())
+    assert {r["file"]: r["sha256"] for r in files.file_hashes(spark, str(tmp_path), "*.parquet").collect()} == got
+    monkeypatch.undo()
+    (tmp_path / "many.parquet" / "part-1").write_bytes(b"x")
+    again = {r["file"]: r["sha256"] for r in files.file_hashes(spark, str(tmp_path), "*.parquet").collect()}
+    assert again["one.parquet"] == got["one.parquet"] and again["many.parquet"] != got["many.parquet"]
+
+
 def test_upsert_replaces(spark):
     base = spark.createDataFrame([("a", 1), ("b", 2)], "k string, v int")
     new = spark.createDataFrame([("b", 3), ("c", 4)], "k string, v int")
