@@ -119,6 +119,27 @@ def test_order_partitions_company_and_ways_change_nothing(spark, bins, monkeypat
     assert same(one, many[1]) and not same(one, many[2]) and len(many[0].trees) == 3
 
 
+def test_blocks_for_every_core_and_sums_handed_over(spark, bins, monkeypatch):
+    """A small table is cut for all cores, joint bins add up to plain ones, and sums that skip the shuffle change no bit."""
+    monkeypatch.setattr(boost, "LEAST_BLOCK", 100)
+    n = bins.table.count()
+    blocks = boost._pack(bins.table, len(bins.names), 1, n).map(lambda b: (b[0].shape, len(b[1]))).collect()
+    assert len(blocks) == min(8, n // 100) and sum(rows for _, rows in blocks) == n and all(s == (len(bins.names), rows) for s, rows in blocks)
+    rng = np.random.default_rng(5)
+    widths, rows = [3, 200, 2, 5, 3], 4000
+    own, slot = np.stack([rng.integers(0, w, rows) for w in widths], axis=1).astype(np.uint8), rng.integers(0, 2, rows)
+    g, h = rng.integers(-99, 99, rows), rng.integers(0, 99, rows)
+    got, at = boost._add_up(own, slot, g, h, 2, [0, 1, 2, 3, 4], widths), 0
+    assert len(boost._joint([0, 1, 2, 3, 4], widths, 512)) == 2
+    for c, w in enumerate(widths):
+        want = np.stack([np.bincount(slot * w + own[:, c], v, 2 * w).reshape(2, w) for v in (g, h, None)], axis=2)
+        assert (got[:, at:at + w] == want).all()
+        at += w
+    spec = boost.Spec({"n_estimators": 3, "max_depth": 4})
+    a, b = (boost.boost(bins.table, bins.names, bins.cuts, [spec], small=k)[0] for k in (None, 50))
+    assert all((x.column == y.column).all() and (x.value == y.value).all() and (x.cover == y.cover).all() for x, y in zip(a.trees, b.trees))
+
+
 def test_one_class_and_no_rows(spark, bins):
     for where in ("label = 1", "false"):
         table = model.materialize(bins.table.filter(where))
