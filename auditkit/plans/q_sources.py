@@ -78,12 +78,9 @@ def json_document(v):
 def run_directories(v):
     root = _path(v, "runs")
 
-    tasks = int(v.spark.conf.get("spark.sql.shuffle.partitions"))
-
     def put(df, kind, doc, at=F.lit(0)):
-        # One task per directory and stretch of rows: few files per directory, and a very large run is split over tasks.
-        rows = df.select(F.col("run").alias("dir"), doc.alias("value"), F.floor(at / 100_000).alias("stretch"))
-        rows.repartition(tasks, "dir", "stretch").drop("stretch").write.partitionBy("dir").text(f"{root}/{kind}")
+        # One file per directory and stretch of rows, so that a very large run is split over tasks.
+        files.write_directories(df.select(F.col("run").alias("dir"), doc.alias("value"), F.floor(at / 100_000).alias("stretch")), f"{root}/{kind}")
 
     skip_null = {"ignoreNullFields": "true"}
     put(v.runs(), "manifest", F.to_json(F.struct("config_id", "mode", "canary", "is_usable", "tool_calls", "turns"), skip_null))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
+from contextlib import contextmanager
 from fnmatch import fnmatchcase
 from urllib.parse import quote, unquote
 
@@ -81,6 +83,59 @@ LAYOUT = {"manifest": "*/manifest.json", "calls": "*/tool_call_log.json", "messa
 MESSAGES = "messages array<struct<role string, content variant>>"
 
 
+def write_directories(df: DataFrame, path: str) -> None:
+    """Lines (dir, stretch, value) below ``path``: a folder dir=... for each directory, with one text file for each of its stretches.
+
+    Spark's own partitioned writer starts a process for each file where Hadoop has no native library, and moves all folders again one by one; here
+    each file is streamed by its task and gets its name when it is whole, so a task that runs twice leaves the same files. A store that Arrow has no
+    file system for is written by Spark."""
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.select(F.col("dir").cast("string").alias("dir"), F.col("stretch").cast("long").alias("stretch"), F.col("value")).repartition(tasks, "dir", "stretch")
+    root = _qualified(df.sparkSession, path)
+    if root.split(":", 1)[0] not in STREAMED:
+        return dealt.drop("stretch").write.partitionBy("dir").text(path)
+
+    def work(batches):
+        store, base = _store(root)
+        at, stream, part, whole, files = None, None, None, None, 0
+
+        def close():
+            stream.close()
+            if store.get_file_info(whole).type.name == "File":  # of an earlier try; not every store moves over a file
+                store.delete_file(whole)
+            store.move(part, whole)
+
+        for b in batches:
+            for name, stretch, line in zip(*(c.to_pylist() for c in b.columns)):
+                if at != (name, stretch):
+                    if stream:
+                        close()
+                    at, files = (name, stretch), files + 1
+                    folder = f"{base}/dir={'__HIVE_DEFAULT_PARTITION__' if name is None else quote(name, safe=' ')}"
+                    store.create_dir(folder, recursive=True)
+                    whole = f"{folder}/part-{stretch:05d}.txt"
+                    part = f"{whole}.{uuid.uuid4().hex[:12]}.tmp"
+                    stream = store.open_output_stream(part)
+                stream.write(((line or "") + "\n").encode())
+        if stream:
+            close()
+        yield pa.RecordBatch.from_arrays([pa.array([files], pa.int64())], names=["files"])
+
+    dealt.sortWithinPartitions("dir", "stretch").mapInArrow(work, "files long").agg(F.sum("files")).collect()
+
+
+@contextmanager
+def _few_listing_tasks(spark: SparkSession):
+    """Spark lists many folders by a job of up to 10,000 tasks, each of which takes longer than its folder; a few for each core do."""
+    key, cores = "spark.sql.sources.parallelPartitionDiscovery.parallelism", spark.sparkContext.defaultParallelism
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(int(before), 4 * cores)))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def _with_run(df: DataFrame) -> DataFrame:
     """The run is named by the directory its file lies in."""
     return df.withColumn("run", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2))
@@ -93,6 +148,11 @@ def read_runs(spark: SparkSession, root: str, layout: dict[str, str] | None = No
     A record file is one document; with ``line_documents`` it is one small document per line.
     """
     at = {k: f"{root}/{p}" for k, p in {**LAYOUT, **(layout or {})}.items()}
+    with _few_listing_tasks(spark):
+        return _read_runs(spark, at, line_documents)
+
+
+def _read_runs(spark: SparkSession, at: dict[str, str], line_documents: bool) -> dict[str, DataFrame]:
     runs = _with_run(read_document(spark, at["manifest"], MANIFEST, line_documents))
     calls = (_with_run(read_document(spark, at["calls"], CALL_LOG, line_documents))
              .select("run", F.inline("calls")).withColumn("arguments", F.to_json("arguments")))
@@ -129,6 +189,20 @@ def _plain(uri: str) -> str:
     return re.sub("^([^/:]+):/+", r"\1:/", uri)
 
 
+def _qualified(spark: SparkSession, path: str) -> str:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return _plain(folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(folder).toString()).rstrip("/")
+
+
+def _store(uri: str):
+    """Arrow's file system of a plain uri, and the path in it."""
+    from pyarrow.fs import FileSystem, LocalFileSystem
+    local = re.match("file:/+", uri)
+    if local:
+        return LocalFileSystem(), "/" + uri[local.end():]
+    return FileSystem.from_uri(quote(uri.replace(":/", "://", 1), safe=":/"))
+
+
 def file_hashes(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """(file, sha256) of every file in a folder, of any size, empty ones included. A table kept as a folder of files is one entry: the
     digest of its files' names and digests in the order of their names.
@@ -136,8 +210,7 @@ def file_hashes(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame
     Spark lists the files and deals them out; each is read in its task as a stream, ``PIECE`` bytes at a time. A store that Arrow
     has no file system for is read by Spark instead, where a file has to fit into a cell of 2 GB."""
     scan = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    root = _plain(folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(folder).toString()).rstrip("/") + "/"
+    root = _qualified(spark, path) + "/"
     uris = [_plain(unquote(u)) for u in scan.inputFiles()]  # the list that Spark's own file index holds
     uris = [u for u in uris if fnmatchcase(u[len(root):].split("/", 1)[0], pattern)]
     listed = spark.createDataFrame([(u[len(root):], u) for u in uris], "name string, uri string")
@@ -146,12 +219,10 @@ def file_hashes(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame
         return _entries(listed.join(whole, "uri", "left").select("name", F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("sha256")))  # scans skip empty files
 
     def work(batches):
-        from pyarrow.fs import FileSystem, LocalFileSystem
         for b in batches:
             found = []
             for uri in b.column(1).to_pylist():
-                local = re.match("file:/+", uri)
-                store, at = (LocalFileSystem(), "/" + uri[local.end():]) if local else FileSystem.from_uri(quote(uri.replace(":/", "://", 1), safe=":/"))
+                store, at = _store(uri)
                 digest = hashlib.sha256()
                 with store.open_input_stream(at, buffer_size=0) as stream:
                     while piece := stream.read(PIECE):

@@ -115,3 +115,20 @@ def test_stage_is_built_once(spark):
     key = ("dir", "once")
     assert staging.stage(spark, key, build).count() == staging.stage(spark, key, build).count() == 5
     assert len(calls) == 1
+
+
+def test_directories_are_written_whole_and_listed_by_few_tasks(spark, tmp_path):
+    rows = [(f"r {i % 40}", i % 3, f"line {i} é") for i in range(600)] + [(None, 0, None)]
+    df = spark.createDataFrame(rows, "dir string, stretch long, value string")
+    for _ in range(2):  # a second try leaves the same files
+        files.write_directories(df, f"{tmp_path}/own")
+    df.drop("stretch").write.partitionBy("dir").text(f"{tmp_path}/spark")
+    own, theirs = (sorted((r["dir"] or "", r["value"]) for r in spark.read.text(f"{tmp_path}/{k}").collect()) for k in ("own", "spark"))
+    assert own == theirs and len(own) == 601
+    found = sorted(p for p in (tmp_path / "own").glob("*/*"))
+    assert len(found) == 121 and all(p.suffix == ".txt" for p in found)
+    key = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(key)
+    with files._few_listing_tasks(spark):
+        assert int(spark.conf.get(key)) <= 4 * spark.sparkContext.defaultParallelism
+    assert spark.conf.get(key) == before
