@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +24,12 @@ def to_long(wide: DataFrame, id_column: str = "row_id") -> DataFrame:
     return wide.unpivot([id_column], [q(c) for c in names], "feature", "shap_value")
 
 
+def by_column(wide: DataFrame, id_column: str = "row_id") -> DataFrame:
+    """The long form of a written wide table where each feature reads its own column, so a filter on the feature leaves one column to read."""
+    names = [c for c in wide.columns if c != id_column]
+    return reduce(DataFrame.unionAll, [wide.select(q(id_column), F.lit(c).alias("feature"), q(c).alias("shap_value")) for c in names])
+
+
 def round_trip(wide: DataFrame, long: DataFrame, id_column: str = "row_id") -> DataFrame:
     """Per feature: cells in both forms, cells in one only, cells whose bits differ."""
     a = to_long(wide, id_column).withColumnRenamed("shap_value", "a")

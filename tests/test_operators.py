@@ -245,3 +245,15 @@ def test_single_json_object(spark):
     texts = ['{"a": 1}', ' {} ', '[1]', '{"a": 1} x', '{"a": 1}, {"b": 2}', '{"a": 1}], [{}', '{"a": 1}, "y": {}', '{"a": 1}}', "NaN", "", None]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     assert [r[0] for r in df.select(validate.is_object(F.col("t"))).collect()] == [True, True] + [False] * 9
+
+
+def test_attributions_by_column_read_one_column_and_sort_nothing(spark, tmp_path):
+    from auditkit.operators import attribution
+    wide = spark.range(50).select(F.col("id").alias("row_id"), *[(F.col("id") * i - 9.5).alias(f"f {i}") for i in range(5)],
+                                  F.when(F.col("id") % 3 == 0, 1.0).alias("gaps"))
+    wide.write.parquet(f"{tmp_path}/wide")
+    written = spark.read.parquet(f"{tmp_path}/wide")
+    long = attribution.by_column(written)
+    assert sorted(map(str, long.collect())) == sorted(map(str, attribution.to_long(written).collect()))
+    plan = long.filter("feature = 'f 2'")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "f 1" not in plan and "Sort" not in plan
