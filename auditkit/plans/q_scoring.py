@@ -166,10 +166,10 @@ cte("finding_records", ("chunk_lines",), r"""
   FROM blocks b LEFT JOIN finding_records r ON r.run = b.run""", ("blocks", "finding_records"))
 def parse_findings(v):
     parsed = v.parsed_answers()
-    recs = findings.records(v.finding_chunks())
-    return parsed.select("run", "status").join(recs, "run", "left").select(
-        "run", "status", F.col("record").cast("long").alias("record"), "flag", "reason", F.md5("evidence").alias("evidence_md5"),
-        "confidence")
+    # Digests are taken before the join, so that it moves no evidence.
+    recs = findings.records(v.finding_chunks()).select(
+        "run", F.col("record").cast("long").alias("record"), "flag", "reason", F.md5("evidence").alias("evidence_md5"), "confidence")
+    return parsed.select("run", "status").join(recs, "run", "left").select("run", "status", "record", "flag", "reason", "evidence_md5", "confidence")
 
 
 @query("sc_14_finding_warnings")
