@@ -140,6 +140,39 @@ def test_blocks_for_every_core_and_sums_handed_over(spark, bins, monkeypatch):
     assert all((x.column == y.column).all() and (x.value == y.value).all() and (x.cover == y.cover).all() for x, y in zip(a.trees, b.trees))
 
 
+def test_models_in_tasks_are_those_of_passes(spark, bins, monkeypatch):
+    """Several models whose rows a task may hold make no pass at all; beyond that they do, and both ways give the same trees."""
+    specs = [boost.Spec({"n_estimators": 6}, folds=(0, 1)), boost.Spec({"n_estimators": 3, "max_depth": 9, "subsample": 0.6, "colsample_bytree": 0.7}, folds=(0,), seed=3),
+             boost.Spec({"n_estimators": 4, "gamma": 1.0, "reg_alpha": 2.0}, (0, 2), (1,)), boost.Spec({"n_estimators": 2}, folds=(7,))]
+    passes, step = [], boost._round
+    monkeypatch.setattr(boost, "_round", lambda *a: passes.append(a[3]) or step(*a))
+    alone = boost.boost(bins.table, bins.names, bins.cuts, specs)
+    assert not passes
+    monkeypatch.setattr(boost, "ALONE", 0)
+    together = boost.boost(bins.table, bins.names, bins.cuts, specs)
+    assert passes and all(passes)
+    monkeypatch.setattr(boost, "HANDED", 0)
+    shuffled = boost.boost(bins.table, bins.names, bins.cuts, specs)
+    assert not passes[-1] and all(same(a, b) and same(a, c) for a, b, c in zip(alone, together, shuffled, strict=True))
+
+
+def test_bundles_add_up_to_columns():
+    """Columns that exclude or determine each other share a code; sums, bins and walks are those of the columns."""
+    rng = np.random.default_rng(3)
+    level = rng.integers(0, 30, 5000)
+    x = np.stack([*[1 + (level == k) for k in range(30)], rng.integers(0, 256, 5000), level // 2]).astype(np.uint8)
+    widths, slot = [*[3] * 30, 256, 16], rng.integers(0, 3, 5000)
+    bundles = boost._bundles(x)
+    assert len(bundles) == 2 and (boost._unbundled(bundles, np.arange(5000)) == x).all()
+    g, h, rows, columns = rng.integers(-99, 99, 5000), rng.integers(0, 99, 5000), np.flatnonzero(rng.random(5000) < 0.5), [0, 3, 29, 30, 31]
+    got = boost._add_bundles(bundles, rows, slot[rows], g[rows], h[rows], 3, columns, widths)
+    assert (got == boost._add_up(x.T[rows], slot[rows], g[rows], h[rows], 3, columns, widths)).all()
+    tree = boost.Tree.empty(2)
+    tree.column[:3], tree.cut[:3] = [31, 30, 4], [7, 100, 1]
+    assert (boost._walk(tree, bundles, 5000) == tree.walk(x.T)).all()
+    assert boost._left_over({1: 5, 2: 9, 5: 4, 6: 4}) == {2, 5}
+
+
 def test_one_class_and_no_rows(spark, bins):
     for where in ("label = 1", "false"):
         table = model.materialize(bins.table.filter(where))
