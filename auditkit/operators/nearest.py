@@ -1,14 +1,14 @@
 """Cited figures and the numbers they may come from: the nearest number of the same run, matches, ties.
 
-Numbers and figures of a run are put in one order, dealt into ranges whatever run they belong to, and counted through (``cumulate``).
-The count at a figure is the position of the number below it, the next position is the number above it, so both neighbours come by an
-equi-join on (run, position). Each distinct number is kept once, whatever decimals the figures have, no pairs are formed, and neither a run
-with very many numbers nor a figure cited very often meets in one task.
+Numbers and figures of a run are put in one order and dealt into ranges whatever run they belong to. The neighbours of a figure are the last number
+before it and the first one after it in its range, or else what a table with one row for each run and range says of the ranges before and after.
+The numbers on a boundary are found by their positions, counted through the same order (``cumulate``). Each distinct number is kept once, whatever
+decimals the figures have, no pairs are formed, and neither a run with very many numbers nor a figure cited very often meets in one task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditkit.operators.cumulate import cumulate, q
@@ -24,11 +24,35 @@ def half_unit(decimals: Column) -> Column:
     return F.lit(0.5) * F.pow(F.lit(10.0), -decimals.cast("double"))
 
 
+def _finite(numbers: DataFrame, key: str) -> DataFrame:
+    """(key, at): each number of a run once."""
+    x = F.col("x").cast("double") + F.lit(0.0)  # one zero
+    return numbers.select(key, x.alias("at")).filter(q(key).isNotNull() & (F.abs("at") < float("inf"))).distinct()
+
+
+def _neighbours(cells: DataFrame, numbers: DataFrame, key: str) -> DataFrame:
+    """``cells`` (key, at, ...) with ``below`` and ``above``: the run's nearest numbers up to ``at`` and beyond it. The dealt rows are written once."""
+    number = F.col("at").alias("_x")
+    points = cells.withColumn("_x", F.lit(None).cast("double")).withColumn("_side", F.lit(_UP_TO))
+    rows = points.unionByName(_finite(numbers, key).select(key, "at", number, F.lit(_NUMBER).alias("_side")), allowMissingColumns=True)
+    dealt = materialize(rows.repartitionByRange(q(key), "at", "_side").withColumn("_range", F.spark_partition_id()), "ranges")
+    ranges = Window.partitionBy(key).orderBy("_range")
+    ends = dealt.groupBy(key, "_range").agg(F.min("_x").alias("_least"), F.max("_x").alias("_most")).select(
+        key, "_range", F.last("_most", True).over(ranges.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
+        F.first("_least", True).over(ranges.rowsBetween(1, Window.unboundedFollowing)).alias("_after"))
+    inside = Window.partitionBy(key, "_range").orderBy("at", "_side")
+    # Downwards, a point comes before the numbers it is equal to, so the last one met is the first beyond it.
+    back = Window.partitionBy(key, "_range").orderBy(F.desc("at"), F.desc("_side"))
+    up_to = [w.rowsBetween(Window.unboundedPreceding, -1) for w in (inside, back)]
+    near = dealt.select("*", *[F.last("_x", True).over(w).alias(n) for n, w in zip(("_low", "_high"), up_to)]).filter(F.col("_side") == _UP_TO)
+    known = F.col("at").isNotNull()
+    return near.join(ends, [key, "_range"]).select(*[q(c) for c in cells.columns], F.when(known, F.coalesce("_low", "_before")).alias("below"),
+                                                   F.when(known, F.coalesce("_high", "_after")).alias("above"))
+
+
 def _placed(numbers: DataFrame, points: DataFrame, key: str) -> DataFrame:
     """(key, at, side, before): ``before`` counts the run's distinct numbers ahead of a number or point. Written once."""
-    x = F.col("x").cast("double") + F.lit(0.0)  # one zero
-    finite = numbers.select(key, x.alias("at")).filter(q(key).isNotNull() & (F.abs("at") < float("inf")))
-    rows = (finite.distinct().select(key, "at", F.lit(_NUMBER).alias("side"), F.lit(1).cast("long").alias("number"))
+    rows = (_finite(numbers, key).select(key, "at", F.lit(_NUMBER).alias("side"), F.lit(1).cast("long").alias("number"))
             .unionByName(points.select(key, "at", "side").distinct().withColumn("number", F.lit(0).cast("long"))))
     placed = cumulate(rows, [key], ["at", "side"], ["number"])
     return materialize(placed.select(key, "at", "side", F.col("number_before").alias("before")), "placed")
@@ -46,22 +70,21 @@ def band_match(tokens: DataFrame, numbers: DataFrame, key: str = "run") -> DataF
     clearly inside, so that float representation decided. Tokens without a run or value match nothing; numbers that are null or
     not finite don't count. Repeated tokens are judged each time."""
     tokens = materialize(tokens, "figures")
-    cells = materialize(tokens.groupBy(key, "value", "decimals").agg(F.count("*").alias("_rows")), "cells")
     value = F.col("value").cast("double") + F.lit(0.0)
-    points = cells.filter(q(key).isNotNull() & F.col("value").isNotNull()).select(key, value.alias("at"), F.lit(_UP_TO).alias("side"))
-    placed = _placed(numbers, points, key)
-    sides = placed.filter(F.col("side") == _UP_TO).select(key, F.col("at").alias("_at"), F.explode(F.array("before", F.col("before") + 1)).alias("pos"))
-    gap = F.abs(F.col("x") - F.col("_at"))
-    near = sides.join(_numbers(placed, key), [key, "pos"]).groupBy(key, "_at").agg(
-        F.min(F.struct(gap.alias("gap"), F.col("x").alias("x"))).alias("_near"), F.collect_set(gap).alias("_gaps"))  # two at most
+    cells = tokens.groupBy(key, "value", "decimals").agg(F.count("*").alias("_rows")).withColumn("at", value)
+    told = cells.filter(q(key).isNotNull())
+    gaps = [F.abs(F.col(n) - F.col("at")) for n in ("below", "above")]
     half = half_unit(F.col("decimals"))
     band = F.lit(TIE_EPSILON) * half
-    tied = F.exists("_gaps", lambda g: F.abs(g - half) <= band)
-    least = F.col("_near.gap")
-    judged = cells.withColumn("_at", value).join(near, [key, "_at"], "left").select(
-        key, "value", "decimals", "_rows", F.col("_near.x").alias("nearest"),
+    tied = F.coalesce(F.abs(gaps[0] - half) <= band, F.lit(False)) | F.coalesce(F.abs(gaps[1] - half) <= band, F.lit(False))
+    least = F.least(*gaps)
+    judged = _neighbours(told, numbers, key).select(
+        key, "value", "decimals", "_rows", F.when(gaps[0].isNotNull() & F.coalesce(gaps[0] <= gaps[1], F.lit(True)), F.col("below")).otherwise(F.col("above")).alias("nearest"),
         F.coalesce((least < half) | (least == 0), F.lit(False)).alias("matched"),
         F.coalesce(tied & ~((least < half - band) | (least == 0)), F.lit(False)).alias("on_tie"))
+    none = F.lit(False)
+    judged = judged.unionByName(cells.filter(q(key).isNull()).select(key, "value", "decimals", "_rows", F.lit(None).cast("double").alias("nearest"),
+                                                                     none.alias("matched"), none.alias("on_tie")))
     return look_up(tokens, materialize(judged, "judged"), [key, "value", "decimals"], "_rows")
 
 

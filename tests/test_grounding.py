@@ -72,6 +72,23 @@ def test_numbers_are_kept_once_whatever_the_decimals(spark):
     assert tuple(got) == (3000 + 1, True, 5.0)
 
 
+def test_neighbours_come_from_the_ranges(spark, monkeypatch):
+    """Neighbours cross ranges of one run and never its ends, and no table of positions is made for them."""
+    monkeypatch.setattr(nearest, "_placed", None)
+    rng = random.Random(8)
+    numbers = [(k, round(rng.uniform(0, 50), 2)) for k in "abc" for _ in range(200)] + [("d", 7.0), (None, 3.0)]
+    cells = [(k, x, i) for i, (k, x) in enumerate([(k, round(rng.uniform(-1, 51), 1)) for k in "abcde" for _ in range(300)] + [("a", None), ("a", numbers[0][1])])]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else all of it is one range
+    try:
+        got = nearest._neighbours(spark.createDataFrame(cells, "run string, at double, i int"), spark.createDataFrame(numbers, NUMBERS), "run").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = {(k, x, i, max((n for r, n in numbers if r == k and x is not None and n <= x), default=None),
+             min((n for r, n in numbers if r == k and x is not None and n > x), default=None)) for k, x, i in cells}
+    assert {tuple(r) for r in got} == want and len(got) == len(cells)
+    assert judged(spark, [("a", numbers[0][1], 2)], numbers).first()["matched"]
+
+
 def test_nothing_to_match(spark):
     assert judged(spark, [], [("a", 1.0)]).count() == 0
     assert [tuple(r) for r in judged(spark, [("a", 1.0, 1)], []).collect()] == [("a", 1.0, 1, None, False, False)]
