@@ -17,15 +17,17 @@ MATERIAL = ((0.002, "negligible"), (0.005, "small"))
 
 
 def attach(matrix: DataFrame, lookup: DataFrame, key: str, column: str) -> DataFrame:
-    """Add one column by key. Keys of the lookup must be unique and every row must find a value."""
+    """Add one column by key. Keys of the lookup must be unique and every row must find a value; both are told by one join of the keys."""
     lookup = lookup.select(key, column)
-    if lookup.groupBy(key).agg(F.count("*").alias("n")).filter("n > 1").head(1):
+    known = lookup.groupBy(key).agg(F.count("*").alias("_n"), F.first(column).alias("_value"))
+    asked = matrix.select(key, F.lit(1).alias("_rows"))
+    twice, lost = known.join(asked, key, "full_outer").agg(
+        F.coalesce(F.max("_n"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("_value").isNull(), F.col("_rows"))), F.lit(0))).head()
+    if twice > 1:
         raise CheckFailed(f"{key} is not unique in the lookup")
-    out = matrix.join(lookup, key, "left")
-    lost = out.filter(q(column).isNull()).agg(F.count("*")).head()[0]
     if lost:
         raise CheckFailed(f"{lost} rows have no {column}")
-    return out
+    return matrix.join(lookup, key)
 
 
 # ---------------------------------------------------------------- alignment gate

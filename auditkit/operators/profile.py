@@ -40,19 +40,24 @@ def by_scope(hist: DataFrame) -> DataFrame:
             .withColumn("neg", F.col("n") - F.col("pos")))
 
 
-def moments(hist: DataFrame) -> DataFrame:
-    """Per (scope, feature): counts, mean, centred sum of squares, covariance sum with the label."""
+def totals(hist: DataFrame) -> DataFrame:
+    """Per (scope, feature): counts and the mean, from one scan that shuffles a row per scope and column and task."""
     v, n = F.col("value"), F.col("n")
-    base = hist.groupBy("scope", "feature").agg(
+    return hist.groupBy("scope", "feature").agg(
         F.sum("n").alias("n_rows"), F.count("*").alias("n_unique"), F.sum("pos").alias("n_pos"),
         F.sum(F.when(v == 0, n).otherwise(0)).alias("n_zero"),
         F.sum(F.when(v == SENTINEL, n).otherwise(0)).alias("n_sentinel"),
         F.sum(F.when(v > 0, n).otherwise(0)).alias("n_above"),
         F.sum(F.when(v > 0, F.col("pos")).otherwise(0)).alias("pos_above"),
         F.try_divide(F.sum(v * n), F.sum("n").cast("double")).alias("mean"))
-    # One row per scope and column: small next to the histogram.
-    off = v - F.col("mean")
-    spread = (hist.join(base.select("scope", "feature", "mean"), ["scope", "feature"])
+
+
+def moments(hist: DataFrame) -> DataFrame:
+    """``totals`` with the centred sum of squares and the covariance sum with the label."""
+    base, n = totals(hist), F.col("n")
+    off = F.col("value") - F.col("mean")
+    # One row per scope and column: sent to all, so that the histogram stays where it is.
+    spread = (hist.join(F.broadcast(base.select("scope", "feature", "mean")), ["scope", "feature"])
               .groupBy("scope", "feature")
               .agg(F.sum(n * off * off).alias("ssq"), F.sum(F.col("pos") * off).alias("sxy")))
     return base.join(spread, ["scope", "feature"])

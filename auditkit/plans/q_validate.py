@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from auditkit.functions.numbers import r6
 from auditkit.operators import attribution, profile, validate
 from auditkit.operators.columns import first_by
 from auditkit.operators.cumulate import positions
@@ -20,7 +21,7 @@ TOP = 10
   FROM (SELECT feature, abs(avg(mean) FILTER (scope IN ('1996', '1997', '1998')) - max(mean) FILTER (scope = 'train')) AS miss
         FROM coverage GROUP BY feature)""", ("coverage",))
 def tolerance_diff(v):
-    cov = profile.coverage(v.hist())
+    cov = profile.totals(v.hist()).select("scope", "feature", r6(F.col("mean")).alias("mean"))
     plain = cov.filter(F.col("scope").isin("1996", "1997", "1998")).groupBy("feature").agg(F.avg("mean").alias("mean"))
     out = validate.tolerance_diff(plain, cov.filter("scope = 'train'"), "feature", "mean", 1e-4)
     return out.withColumn("largest_miss", F.round("largest_miss", 6))

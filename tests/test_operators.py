@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from auditkit.operators import align, columns, findings, nearest, prep, ranked, runs, scoring, sets, validate
+from auditkit.operators import align, columns, findings, nearest, prep, profile, ranked, runs, scoring, sets, validate
 from auditkit.operators.columns import CheckFailed
 
 
@@ -60,6 +60,33 @@ def test_attach_refuses_duplicates_and_gaps(spark):
         align.attach(m, lookup.filter("row_id <> 3"), "row_id", "x")
 
 
+def test_attach_tells_of_keys_beyond_the_rows_and_of_nulls(spark):
+    m = matrix(spark).select("row_id")
+    lookup, beyond = m.withColumn("x", F.lit(1.0)), spark.createDataFrame([(10**9, 1.0)] * 2, "row_id long, x double")
+    with pytest.raises(CheckFailed, match="not unique"):
+        align.attach(m, lookup.unionAll(beyond), "row_id", "x")
+    with pytest.raises(CheckFailed, match="3 rows have no x"):  # two null keys meet nothing, one key meets a null
+        align.attach(m.unionAll(spark.createDataFrame([(None,), (None,)], "row_id long")), lookup.withColumn("x", F.when(F.col("row_id") != 3, 1.0)), "row_id", "x")
+    assert align.attach(m.unionAll(m), lookup, "row_id", "x").count() == 100
+
+
+def test_moments_leave_the_histogram_where_it_is(spark):
+    """Means need one scan and no median; the second scan meets them by broadcast, whatever Spark thinks of their size."""
+    hist = spark.range(1000).select(F.lit("s").alias("scope"), (F.col("id") % 3).cast("string").alias("feature"), F.col("id").cast("double").alias("value"),
+                                    F.lit(2).alias("n"), F.lit(1).alias("pos"), F.lit(1).alias("neg"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = profile.moments(hist).filter("feature = '1'").select("ssq")._jdf.queryExecution().executedPlan().toString()
+        got = profile.moments(hist).orderBy("feature").collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in plan
+    want = [list(range(i, 1000, 3)) for i in range(3)]
+    assert [r["mean"] for r in got] == [pytest.approx(sum(w) / len(w)) for w in want]
+    assert [r["ssq"] for r in got] == [pytest.approx(2 * sum((x - sum(w) / len(w)) ** 2 for x in w)) for w in want]
+    assert [r["mean"] for r in profile.totals(hist).orderBy("feature").collect()] == [r["mean"] for r in got]
+
+
 # ---------------------------------------------------------------- preparation
 def loans(spark):
     train = [("train", 1996, 1.0, None, None, "x", 1), ("train", 1996, 3.0, 5.0, 2.0, None, 1), ("train", 1997, None, 7.0, 4.0, "y", 1)]
