@@ -173,6 +173,18 @@ def test_bundles_add_up_to_columns():
     assert boost._left_over({1: 5, 2: 9, 5: 4, 6: 4}) == {2, 5}
 
 
+def test_sums_of_bundles_take_one_pass_and_are_exact(monkeypatch):
+    """Largest slopes, more rows of a cell than are added up at once, and no further passes over the rows for hessians and counts."""
+    n, unit = 100_000, int(boost.UNIT)
+    x = np.stack([np.ones(n), np.arange(n) % 3]).astype(np.uint8)
+    g, h, slot = np.where(np.arange(n) % 5, unit, -unit), np.full(n, unit // 4), np.arange(n) // 90_000
+    want = boost._add_up(x.T, slot, g, h, 2, [0, 1], [2, 3])
+    passes, at = [], boost._bundles(x)
+    bincount = np.bincount
+    monkeypatch.setattr(np, "bincount", lambda *a, **k: passes.append(1) or bincount(*a, **k))
+    assert (boost._add_bundles(at, np.arange(n), slot, g, h, 2, [0, 1], [2, 3]) == want).all() and not passes
+
+
 def test_one_class_and_no_rows(spark, bins):
     for where in ("label = 1", "false"):
         table = model.materialize(bins.table.filter(where))
