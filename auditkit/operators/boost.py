@@ -40,7 +40,7 @@ UNIT, LEAST_GAIN, CHECKPOINT = 2.0**24, 1e-6, 25
 #: Rows of a block, cells of a histogram that meet under one key, and rows of a node that is finished in one task.
 BLOCK, CHUNK, SMALL = 1 << 18, 1 << 21, 1 << 16
 #: Rows that make a block worth a task, and joint bins of columns that are added up together.
-LEAST_BLOCK, JOINT = 1 << 12, 512
+LEAST_BLOCK, JOINT = 1 << 16, 512
 #: Rows that are added up at once: their counts fit below their hessians in the 53 bits of a double.
 SLICE = (1 << 15) - 1
 #: Bytes of sums that all tasks of a pass together may hand to the driver; more of them meet by column chunk.

@@ -79,22 +79,24 @@ def _tables(tree: Tree) -> list[tuple]:
     for depth, level in enumerate(_levels(tree)):
         leaves = level[tree.column[level] < 0]
         if depth and len(leaves):
-            out.append((depth, leaves, *_table(tree, leaves, depth)))
+            column, table = _table(tree, leaves, depth)
+            out.append((depth, leaves, column, np.ascontiguousarray(table.transpose(0, 2, 1))))
     return out
 
 
 def _add(phi: np.ndarray, x: np.ndarray, tree: Tree, tables: list[tuple]) -> None:
     """Adds one tree's attributions of the rows ``x`` to ``phi``, which has a row for each feature."""
-    rows = len(x)
+    rows, share = len(x), np.empty(len(x))
     wanted = {depth: (leaves, column, table) for depth, leaves, column, table in tables}
     numbers = np.zeros((1, rows), np.int32)
     for depth, level in enumerate(_levels(tree)):
         if depth in wanted:
             leaves, column, table = wanted[depth]
             for i, at in enumerate(np.searchsorted(level, leaves)):
-                got = table[i][numbers[at]]
+                number = numbers[at].astype(np.intp)
                 for j, c in enumerate(column[i]):
-                    phi[c] += got[:, j]
+                    table[i, j].take(number, out=share, mode="clip")  # no number lies outside; other modes copy
+                    phi[c] += share
         inner = np.flatnonzero(tree.column[level] >= 0)
         if len(inner):
             node = level[inner]

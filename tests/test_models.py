@@ -185,6 +185,11 @@ def test_sums_of_bundles_take_one_pass_and_are_exact(monkeypatch):
     assert (boost._add_bundles(at, np.arange(n), slot, g, h, 2, [0, 1], [2, 3]) == want).all() and not passes
 
 
+def test_few_rows_make_few_blocks(bins):
+    """A task costs more than adding up some ten thousand rows."""
+    assert [boost._pack(bins.table, len(NAMES), 1, n).getNumPartitions() for n in (600, 130_000, 10**9)] == [1, 1, 8]
+
+
 def test_one_class_and_no_rows(spark, bins):
     for where in ("label = 1", "false"):
         table = model.materialize(bins.table.filter(where))
