@@ -322,6 +322,25 @@ def test_search_is_seeded(bins):
     assert one == two and [r[0] for r in one] == list(range(13)) and len({r[3:] for r in one}) > 6
 
 
+def test_registered_search_draws_from_all_ranges(spark, bins, monkeypatch):
+    """Trees of a trial go up to the 1,000 of the full space."""
+    from auditkit.plans import q_models
+    from auditkit.plans.views import Views
+
+    asked = []
+
+    def seen(b, specs):
+        asked.extend(s.params for s in specs)
+        return [boost.Model(b.names, b.cuts, []) for _ in specs]
+    monkeypatch.setattr(model, "fit_trees", seen)
+    monkeypatch.setattr(model, "evaluate_each", lambda scored, names: {n: {"roc_auc": 0.5} for n in names})
+    monkeypatch.setattr(q_models, "_bins", lambda v: bins)
+    monkeypatch.setattr(Views, "_stage", lambda self, name, build, partition_by=(): build())
+    assert q_models._search(Views(spark, "/none")).count() == len(asked) == 50
+    trees = [p["n_estimators"] for p in asked]
+    assert all(100 <= n <= 1000 and n % 50 == 0 for n in trees) and max(trees) > 800
+
+
 # ---- experiments
 
 def test_planted_column_moves_the_score(data):
