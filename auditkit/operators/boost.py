@@ -7,8 +7,8 @@ saves a shuffle. A node of at most ``SMALL`` rows sends the rows themselves, and
 task they meet in grows its whole subtree, so that a pass can finish many levels (after the PLANET paper). Sums are of whole numbers
 (gradients in units of 2^-24 of the largest weight), so neither way, nor the order of rows, nor their partitioning changes a tree.
 
-Several models that share the rows (the trials of a search, the refits of an ablation) are dealt out, each to a task of its own, as long as the
-bins of their rows keep within ``ALONE`` bytes; beyond that they grow in step: one pass serves all of them. Sums that reach the driver are kept
+As long as the bins of their rows keep within ``ALONE`` bytes, models (one, the trials of a search, the refits of an ablation) are dealt out, each to a
+task of its own; beyond that they grow in step: one pass serves all of them. Sums that reach the driver are kept
 for a level, so that of two children only the one of fewer rows is added up; the other is what its parent has left.
 
 The rows' margins travel with the blocks. They are kept in memory and on disk, and every ``CHECKPOINT`` trees written to the shared folder, so
@@ -41,11 +41,11 @@ UNIT, LEAST_GAIN, CHECKPOINT = 2.0**24, 1e-6, 25
 BLOCK, CHUNK, SMALL = 1 << 18, 1 << 21, 1 << 16
 #: Rows that make a block worth a task, and joint bins of columns that are added up together.
 LEAST_BLOCK, JOINT = 1 << 16, 512
-#: Rows that are added up at once: their counts fit below their hessians in the 53 bits of a double.
+#: Rows that are added up at once: their counts fit below their hessians in the 53 bits of a double, and what is read of them in a core's cache.
 SLICE = (1 << 15) - 1
 #: Bytes of sums that all tasks of a pass together may hand to the driver; more of them meet by column chunk.
 HANDED = 1 << 24
-#: Bytes of bins that a task may hold to grow one of several models by itself.
+#: Bytes of bins that a task may hold to grow a model by itself.
 ALONE = 1 << 27
 
 
@@ -368,28 +368,40 @@ def _pull(g: np.ndarray, alpha: float) -> np.ndarray:
 
 def best_splits(sums: np.ndarray, columns: list[int], widths: list[int], p: dict, unit: float) -> list[tuple]:
     """Per slot (gain, column, cut, left g, h and rows, all g, h and rows): the best split among ``columns``, ties to the lower column and cut."""
+    return _best(*np.ascontiguousarray(sums.transpose(2, 0, 1)), columns, widths, p, unit)
+
+
+def _best(g: np.ndarray, h: np.ndarray, rows: np.ndarray | None, columns: list[int], widths: list[int], p: dict, unit: float) -> list[tuple]:
+    """``best_splits`` of whole numbers by slot and bin; ``rows`` are None where nobody asks for them, and told as 0."""
     ends = np.cumsum([widths[c] for c in columns])
     starts = ends - [widths[c] for c in columns]
-    run = sums.cumsum(axis=1)
-    before = np.where((starts > 0)[None, :, None], run[:, np.maximum(starts - 1, 0)], 0)
-    left = (run - np.repeat(before, ends - starts, axis=1)).astype(float)
-    left[..., :2] *= unit
-    total = run[:, ends[0] - 1].astype(float)[:, None, :]
-    total[..., :2] *= unit
-    right = total - left
     lam, alpha = p["reg_lambda"], p["reg_alpha"]
 
-    def worth(s):
-        with np.errstate(divide="ignore", invalid="ignore"):
-            return np.where(s[..., 1] + lam > 0, _pull(s[..., 0], alpha) ** 2 / (s[..., 1] + lam), 0)
-
-    gain = worth(left) + worth(right) - worth(total)
+    def sides(s, unit):
+        run = s.cumsum(axis=1)
+        total = run[:, ends[0] - 1:ends[0]].astype(float) * unit
+        before = run[:, starts - 1]
+        before[:, starts == 0] = 0
+        run -= np.repeat(before, ends - starts, axis=1)
+        return run.astype(float) * unit, total
+
+    def worth(g, h):
+        pulled, below = _pull(g, alpha) if alpha else g, h + lam
+        return np.divide(pulled * pulled, below, out=np.zeros(g.shape), where=below > 0)
+
+    (left_g, all_g), (left_h, all_h) = sides(g, unit), sides(h, unit)
+    right_h = all_h - left_h
+    gain = worth(left_g, left_h)
+    gain += worth(all_g - left_g, right_h)
+    gain -= worth(all_g, all_h)
     least = max(p["min_child_weight"], 1e-12)
-    gain[(left[..., 1] < least) | (right[..., 1] < least)] = -np.inf
+    gain[(left_h < least) | (right_h < least)] = -np.inf
     gain[:, ends - 1] = -np.inf  # nothing is beyond a column's last bin
     at = gain.argmax(axis=1)
-    which = np.searchsorted(ends, at, side="right")
-    return [(float(gain[s, a]), int(columns[c]), int(a - starts[c]), *left[s, a].tolist(), *total[s, 0].tolist()) for s, (a, c) in enumerate(zip(at, which))]
+    which, every = np.searchsorted(ends, at, side="right"), np.arange(len(at))
+    left_n, all_n = (np.zeros((len(at), 1)),) * 2 if rows is None else sides(rows, 1.0)
+    return list(zip(gain[every, at].tolist(), np.array(columns)[which].tolist(), (at - starts[which]).tolist(), left_g[every, at].tolist(),
+                    left_h[every, at].tolist(), left_n[every, at if rows is not None else 0].tolist(), all_g[:, 0].tolist(), all_h[:, 0].tolist(), all_n[:, 0].tolist()))
 
 
 def boost(table: DataFrame, names: list[str], cuts: list[np.ndarray], specs: list[Spec], small: int | None = None) -> list[Model]:
@@ -413,7 +425,7 @@ def boost(table: DataFrame, names: list[str], cuts: list[np.ndarray], specs: lis
     used = sorted({f for s in specs for f in s.folds})
     fitted = sum(n for (f, _), n in counts.items() if f in used)
     wanted = table.filter(F.col("fold").isin(*used))
-    if small is None and len(specs) > 1 and fitted * len(names) <= ALONE:
+    if small is None and fitted * len(names) <= ALONE:
         return [Model(list(names), cuts, trees) for trees in _each_alone(_pack(wanted, len(names), 0, fitted), specs, names, widths, scale)]
     keyed = any(s.params["subsample"] < 1 for s in specs)
     state = _pack(wanted, len(names), len(specs), fitted).map(lambda block: _lighter(block, keyed)).persist(StorageLevel.MEMORY_AND_DISK)
@@ -540,39 +552,95 @@ def _each_alone(state: RDD, specs: list[Spec], names: list[str], widths: list[in
 
 
 def grow_alone(turned: np.ndarray, y: np.ndarray, key: np.ndarray, spec: Spec, names: list[str], widths: list[int], scale: tuple) -> list[Tree]:
-    """All trees of one model on rows at hand: the same levels as passes make."""
-    p, unit, bundles = spec.params, scale[0] / UNIT, _bundles(turned)
-    margins, grown = np.zeros(len(y)), []
+    """All trees of one model on rows at hand: the same levels as passes make.
+
+    The rows are gone through ``SLICE`` at a time, so that what a level reads and writes of them stays in a core's cache. A row adds one complex
+    number to its cell, g and h. ``ALONE`` keeps all their sums below 2^53, so doubles hold them exactly."""
+    p, unit, bundles, rows = spec.params, scale[0] / UNIT, _bundles(turned), len(y)
+    spans = [(lo, min(lo + SLICE, rows)) for lo in range(0, rows, SLICE)]
+    # A row's codes lie side by side, in a width that is copied at once.
+    width = next((w for w in (1, 2, 4, 8, 16, 32) if w >= len(bundles)), len(bundles))
+    blocks = [np.zeros((hi - lo, width), np.uint8) for lo, hi in spans]
+    for (lo, hi), block in zip(spans, blocks):
+        for b, (code, _, _) in enumerate(bundles):
+            block[:, b] = code[lo:hi]
+    bundles = [(None, members, bins) for _, members, bins in bundles]
+    place = {c: (b, i) for b, (_, members, _) in enumerate(bundles) for i, c in enumerate(members)}
+    margins, grown = np.zeros(rows), []
+    place_of = np.uint16 if p["max_depth"] < 16 else np.uint32
+    at, slopes = np.zeros(rows, place_of), np.empty(rows, complex)
+    cell, every = np.empty(min(SLICE, rows), np.int64), np.arange(min(SLICE, rows)) * width
     for t in range(p["n_estimators"]):
         tree, columns = Tree.empty(p["max_depth"]), _columns(spec, t, names)
-        g, h = (v.astype(float) for v in _slopes(margins, y, scale[1]))
-        inside = {0: np.arange(len(y)) if p["subsample"] == 1 else np.flatnonzero(_draw(key, _salt(spec, t)) < p["subsample"])}
-        above: dict[int, np.ndarray] = {}
-        ends = np.zeros(len(y), np.int64)  # where the rows come to rest; rows that weren't drawn have to walk
-        while inside:
-            left_over = _left_over({i: len(r) for i, r in inside.items()}) if above else set()
-            counted = [i for i in inside if i not in left_over]
-            large, rows = [*counted, *[i for i in inside if i in left_over]], np.concatenate([inside[i] for i in counted])
-            slot = np.repeat(np.arange(len(counted)), [len(inside[i]) for i in counted])
-            sums = _completed(_add_bundles(bundles, rows, slot, g[rows], h[rows], len(counted), columns, widths), large, len(counted), above)
+        for lo, hi in spans:
+            slopes.real[lo:hi], slopes.imag[lo:hi] = _slopes(margins[lo:hi], y[lo:hi], scale[1])
+        drawn = _draw(key, _salt(spec, t)) < p["subsample"] if p["subsample"] < 1 else None
+        starts = dict(zip(columns, np.cumsum([0, *[widths[c] for c in columns]])))
+        wanted = [(b, bins, mine) for b, (_, members, bins) in enumerate(bundles) if (mine := [(i, c) for i, c in enumerate(members) if c in starts])]
+        at[:] = 0
+        # Where a row goes on from its node, by the code of the bundle that the node asks; at rest it stays.
+        after = np.repeat(np.arange(len(tree.column), dtype=place_of), 256).reshape(-1, 256)
+        asked, moving = np.zeros(len(tree.column), np.int64), False
+        open_, above = [0], {}
+        while open_ or moving:
+            left_over = _left_over({i: tree.cover[i] for i in open_}) if above else set()
+            counted = [i for i in open_ if i not in left_over]
+            base_of = np.full(len(tree.column), -1, np.int64)
+            base_of[counted] = np.arange(len(counted)) * 256
+            met = np.zeros((len(wanted), len(counted) * 256), complex)
+            for (lo, hi), block in zip(spans, blocks):
+                if moving:
+                    node = at[lo:hi].astype(np.int64)
+                    step = asked.take(node)
+                    step += every[:hi - lo]
+                    node <<= 8
+                    node += block.reshape(-1).take(step)
+                    at[lo:hi] = after.reshape(-1).take(node)
+                if counted:
+                    base = base_of.take(at[lo:hi])
+                    here = np.flatnonzero(base >= 0 if drawn is None else (base >= 0) & drawn[lo:hi])
+                    got, weight = block, slopes[lo:hi]
+                    if len(here) < hi - lo:
+                        base, got, weight = base.take(here), block.take(here, axis=0), weight.take(here)
+                    mine = cell[:len(here)]
+                    for (b, _, _), sums in zip(wanted, met):
+                        np.add(base, got[:, b], out=mine)
+                        np.add.at(sums, mine, weight)
+            if not counted:
+                break
+            large = [*counted, *[i for i in open_ if i in left_over]]
+            sums = _by_column(met, wanted, starts, sum(widths[c] for c in columns), len(counted))
+            sums = _completed(sums, large, len(counted), above)
             above = dict(zip(large, sums))
-            below = split(tree, large, best_splits(sums, columns, widths, p, unit), p)
-            deeper = {}
+            below = split(tree, large, _best(*np.ascontiguousarray(sums.transpose(1, 0, 2)), None, columns, widths, p, unit), p)
+            after[large], moving = np.array(large, place_of)[:, None], False
             for i in large:
-                if tree.column[i] < 0:
-                    ends[inside[i]] = i
-                    continue
-                right = turned[tree.column[i]].take(inside[i]) > tree.cut[i]
-                if 2 * i + 1 in below:
-                    deeper |= {2 * i + 1: inside[i][~right], 2 * i + 2: inside[i][right]}
-                else:
-                    ends[inside[i]] = 2 * i + 1 + right
-            inside = deeper
-        margins += tree.value[ends if p["subsample"] == 1 else _walk(tree, bundles, len(y))]
+                if tree.column[i] >= 0:
+                    b, k = place[int(tree.column[i])]
+                    bins = bundles[b][2][:, k]
+                    asked[i], moving = b, True
+                    after[i, :len(bins)] = 2 * i + 1 + (bins > tree.cut[i])
+            open_ = sorted(below)
+        margins += tree.value.take(at)
         grown.append(tree)
     return grown
 
 
+def _by_column(met: np.ndarray, wanted: list[tuple], starts: dict[int, int], cells: int, n: int) -> np.ndarray:
+    """(slot, g or h, bin of the columns side by side) of sums by (bundle, slot and code)."""
+    out = np.zeros((n, 2, cells))
+    for (_, bins, mine), sums in zip(wanted, met.reshape(len(wanted), n, 256)):
+        sums = np.stack([sums.real, sums.imag], axis=1)[:, :, :len(bins)]
+        for i, c in mine:
+            here = out[:, :, starts[c]:]
+            if bins.shape[1] == 1:
+                here[:, :, :len(bins)] = sums
+            else:
+                for b in np.unique(bins[:, i]):
+                    here[:, :, b] = sums[:, :, bins[:, i] == b].sum(axis=2)
+    return out
+
+
 def finish(root: int, x: np.ndarray, g: np.ndarray, h: np.ndarray, columns: list[int], widths: list[int], p: dict, unit: float) -> tuple:
     """The subtree of a node from its own rows: its nodes with their column, cut, value and cover."""
     tree = Tree.empty(p["max_depth"])
@@ -600,8 +668,9 @@ def split(tree: Tree, nodes: list[int], found: list[tuple], p: dict) -> dict[int
     lam, alpha, rate, leaf_from = p["reg_lambda"], p["reg_alpha"], p["learning_rate"], 2 ** p["max_depth"] - 1
 
     def leaf(i, g, h):
+        pulled = max(abs(g) - alpha, 0.0)
         tree.cover[i] = h
-        tree.value[i] = -rate * float(_pull(np.float64(g), alpha)) / (h + lam) if h + lam > 0 else 0.0
+        tree.value[i] = -rate * (pulled if g > 0 else -pulled if g < 0 else 0.0) / (h + lam) if h + lam > 0 else 0.0
 
     for i, (gain, column, cut, lg, lh, ln, g, h, n) in zip(nodes, found):
         leaf(i, g, h)

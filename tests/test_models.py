@@ -156,6 +156,30 @@ def test_models_in_tasks_are_those_of_passes(spark, bins, monkeypatch):
     assert not passes[-1] and all(same(a, b) and same(a, c) for a, b, c in zip(alone, together, shuffled, strict=True))
 
 
+def test_a_model_in_a_task_goes_through_its_rows_in_slices(bins, monkeypatch):
+    """Nothing that is worked on at once grows with the rows, and slices change no bit, drawn rows and columns included."""
+    rows = bins.table.filter("fold < 2").toPandas()
+    x = np.stack([np.frombuffer(b, np.uint8) for b in rows.bins], axis=1)
+    y, key, widths = rows.label.to_numpy().astype(np.int8), rows.key.to_numpy().astype(np.uint64), [len(c) + 1 for c in bins.cuts]
+    w = (y == 0).sum() / y.sum()
+    scale = (max(w, 1.0), (1 / max(w, 1.0), w / max(w, 1.0)))
+    for p in ({"n_estimators": 5}, {"n_estimators": 5, "max_depth": 9, "subsample": 0.6, "colsample_bytree": 0.7, "reg_alpha": 0.5, "min_child_weight": 0.1}):
+        spec = boost.Spec(p, folds=(0, 1))
+        want, = boost.boost(bins.table, bins.names, bins.cuts, [spec], small=0)
+        sizes, slopes = [], boost._slopes
+        with monkeypatch.context() as m:
+            m.setattr(boost, "SLICE", 90)
+            m.setattr(boost, "_slopes", lambda margins, *a: sizes.append(len(margins)) or slopes(margins, *a))
+            got = boost.grow_alone(x, y, key, spec, bins.names, widths, scale)
+        assert max(sizes) <= 90 and same(boost.Model(bins.names, bins.cuts, got), want)
+
+
+def test_a_single_model_makes_no_passes(bins, monkeypatch):
+    monkeypatch.setattr(boost, "_round", lambda *a: pytest.fail("a pass"))
+    fitted, = boost.boost(bins.table, bins.names, bins.cuts, [boost.Spec({"n_estimators": 2}, folds=(0, 1))])
+    assert (fitted.trees[1].column >= 0).any()
+
+
 def test_bundles_add_up_to_columns():
     """Columns that exclude or determine each other share a code; sums, bins and walks are those of the columns."""
     rng = np.random.default_rng(3)
