@@ -380,6 +380,19 @@ def test_ablation_of_the_signal_costs(bins):
     assert delta["a"] < -0.1 < delta["c"]
 
 
+def test_ablated_features_grow_the_full_model_once(spark, monkeypatch):
+    import __spark_entry__ as entry
+
+    grown, fit = [], model.fit_trees
+
+    def seen(b, specs):
+        grown.append(len(specs))
+        return fit(b, [boost.Spec({"n_estimators": 2, "max_depth": 2}, s.columns, s.folds) for s in specs])
+    monkeypatch.setattr(model, "fit_trees", seen)
+    got = entry.queries()["ml_05_ablated_features"](spark, "/root/testdata/sf0.001/.").collect()  # a folder name of its own: nothing is kept for others
+    assert grown == [21] and len(got) == 20 and all(r["one_base"] for r in got)
+
+
 def test_evaluations_agree(spark):
     rng = np.random.default_rng(4)
     rows = [(int(y), float(s), float(s) / 2) for y, s in zip(rng.integers(0, 2, 300), rng.integers(0, 40, 300) / 40)]
