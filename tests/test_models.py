@@ -174,6 +174,11 @@ def test_a_model_in_a_task_goes_through_its_rows_in_slices(bins, monkeypatch):
         assert max(sizes) <= 90 and same(boost.Model(bins.names, bins.cuts, got), want)
 
 
+def test_costly_models_start_first():
+    """One task each, in the order of trees times depth."""
+    assert boost._dealt([boost.Spec({"n_estimators": n, "max_depth": d}) for n, d in ((100, 3), (1000, 9), (900, 10), (300, 6))]) == [3, 0, 1, 2]
+
+
 def test_a_single_model_makes_no_passes(bins, monkeypatch):
     monkeypatch.setattr(boost, "_round", lambda *a: pytest.fail("a pass"))
     fitted, = boost.boost(bins.table, bins.names, bins.cuts, [boost.Spec({"n_estimators": 2}, folds=(0, 1))])
